@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessitura.llm.mixing import OP2_SQL, op2_mixing
 from tessitura.llm.pii import op1_pii
+from tessitura.llm.secrets import op5_secrets
 
-QUERIES = {f.__name__: f for f in (op1_pii,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op5_secrets)}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
