@@ -28,17 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 NO_SPANS = "cast(array() as array<struct<a:int,b:int,v:string,c:string>>)"
 
 
-def spans_of(df: DataFrame, text: str, found: dict[str, str], context: int = 24) -> DataFrame:
-    """For each name -> pattern add a column `name`, an array of structs (a, b, v, c): start and end in
-    code points (end exclusive), the matched text and up to `context` characters before it.
+def spans_of(df: DataFrame, text: str, found: dict[str, tuple[str, Column]], context: int = 24) -> DataFrame:
+    """For each name -> (pattern, guard) add a column `name`, an array of structs (a, b, v, c): start and end in
+    code points (end exclusive), the matched text and up to `context` characters before it. A guard is a cheaper
+    condition that any text with a match meets; the pattern runs on those texts.
 
     The matches come from regexp_extract_all and the gaps between them from split with the same pattern;
     a fold over both gives the positions, so no character is looked at outside the regex engine.
     `text` must not be null.
     """
-    raw = {f"__m_{k}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, p in found.items()}
+    none = F.array().cast("array<string>")
+    raw = {f"__m_{k}": F.when(guard, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(none) for k, (p, guard) in found.items()}
     df = df.withColumns(raw)
-    gaps: dict[str, Column] = {f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(F.col(text), p, -1)) for k, p in found.items()}
+    gaps: dict[str, Column] = {f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(F.col(text), p, -1)) for k, (p, _) in found.items()}
     df = df.withColumns(gaps)
     fold = """if(size(__m_{k}) = 0, {none}, aggregate(
         arrays_zip(__g_{k}, __m_{k}),

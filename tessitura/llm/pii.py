@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import boost
-from tessitura.llm.common import spans_of, table
+from tessitura.llm.common import spans_of, staged, table
 
 LOCAL = "A-Za-z0-9._%+\u0001-"
 #: Patterns over a copy of the text in which a dot between label characters (for emails) or a space or hyphen
@@ -23,12 +23,15 @@ LOCAL = "A-Za-z0-9._%+\u0001-"
 #: engine matches in a loop and not by recursion, however long the run is.
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]+"
 CARD = r"[0-9][0-9\x01]*[0-9]"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Generators beyond the base kinds.
-WRITTEN_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,63}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,12}"
-LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-NUMBER = r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9,19})(?![0-9A-Za-z])"
+#: Generators beyond the base kinds. Patterns test a character before they look behind it: that fails fast.
+AT = r"[\[(]at[\])]"
+WRITTEN_EMAIL = rf"[A-Za-z0-9._-](?<![A-Za-z0-9._-]{{2}})[A-Za-z0-9._-]{{1,63}}\x20?{AT}\x20?[A-Za-z0-9-]{{2,63}}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{{2,12}}"
+LOCAL_PHONE = r"[(0-9](?<![0-9+.-][(0-9])(?:(?<=\()[0-9])?[0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+NUMBER = r"[0-9](?<![0-9A-Za-z][0-9])(?:[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{8,18})(?![0-9A-Za-z])"
+IBAN = r"[A-Z](?<![0-9A-Za-z][A-Z])[A-Z][0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"
+DIGITS = r"[0-9](?:[\x20-]?[0-9]){8}"
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_like", "ip_like", "card_like", "phone_like", "number_like")
@@ -71,15 +74,23 @@ _FEATURES = (
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column __cand: the proposed spans (k, a, b, y, f) with their kind, place, whether they pass the
     base rule of their kind, and their feature mask. Proposals of different kinds may overlap."""
-    d = docs.withColumn("__t", F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001", "\u0002"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = docs.withColumn("__t", F.when(F.contains(t, F.lit("\u0001")), F.translate(t, "\u0001", "\u0002")).otherwise(t))
     d = d.withColumns({
-        "__te": F.regexp_replace("__t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "\u0001"),
-        "__tc": F.regexp_replace("__t", r"(?<=[0-9])[\x20-](?=[0-9])", "\u0001"),
+        "__at": F.contains("__t", F.lit("@")),
+        "__plus": F.contains("__t", F.lit("+")),
+        "__num": F.col("__t").rlike("[0-9]"),
     })
-    d = spans_of(d, "__te", {"__email": EMAIL})
-    d = spans_of(d, "__tc", {"__card": CARD})
-    d = spans_of(d, "__t", {"__ip": IP, "__phone": PHONE, "__wmail": WRITTEN_EMAIL, "__lphone": LOCAL_PHONE, "__number": NUMBER})
-    d = d.drop("__t", "__te", "__tc")
+    d = d.withColumn("__long", F.col("__num") & F.col("__t").rlike(DIGITS))
+    d = d.withColumns({
+        "__te": F.when(F.col("__at"), F.regexp_replace("__t", r"\.(?<=[A-Za-z0-9-]\.)(?=[A-Za-z0-9-])", "\u0001")),
+        "__tc": F.when(F.col("__long"), F.regexp_replace("__t", r"[\x20-](?<=[0-9][\x20-])(?=[0-9])", "\u0001")),
+    })
+    num = F.col("__num")
+    d = spans_of(d, "__te", {"__email": (EMAIL, F.col("__at"))})
+    d = spans_of(d, "__tc", {"__card": (CARD, F.col("__long"))})
+    d = spans_of(d, "__t", {"__ip": (IP, num), "__phone": (PHONE, F.col("__plus")), "__wmail": (WRITTEN_EMAIL, F.col("__t").rlike(AT)), "__lphone": (LOCAL_PHONE, num), "__number": (NUMBER, num), "__iban": (IBAN, num)})
+    d = d.drop("__t", "__te", "__tc", "__at", "__plus", "__num", "__long")
 
     def made(col: str, kind: str, like: str, valid: str) -> str:
         digits = f"transform({col}, x -> named_struct('a', x.a, 'b', x.b, 'v', x.v, 'c', x.c, 'd', regexp_replace(x.v, '[^0-9]', '')))"
@@ -87,11 +98,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         return f"""transform({digits}, x -> named_struct('k', if({valid}, '{kind}', '{like}'), 'a', x.a, 'b', x.b, 'y', {valid}, 'f', {mask}, 'h', pmod(xxhash64(x.v), 2L) = 0))"""
 
     parts = [made(f"__{k}", k, f"{k}_like", _VALID[k]) for k in BASE]
-    # cards of fewer than 9 digits are plain numbers; they pass no rule and are no proposal
-    parts[2] = f"filter({parts[2]}, x -> x.f & 1 <> 0)".replace("x.f & 1 <> 0", "(x.f & 1) <> 0")
-    parts += [made("__wmail", "email_like", "email_like", "false"), made("__lphone", "phone_like", "phone_like", "false"), made("__number", "number_like", "number_like", "false")]
+    # fewer than 9 digits, or digits inside a longer word, pass no rule and are no proposal either
+    parts[2] = f"filter({parts[2]}, x -> x.y or ((x.f & 1) <> 0 and (x.f & 16) = 0))"
+    parts += [made("__wmail", "email_like", "email_like", "false"), made("__lphone", "phone_like", "phone_like", "false"), made("__number", "number_like", "number_like", "false"), made("__iban", "number_like", "number_like", "false")]
     d = d.withColumn("__cand", F.expr(f"concat({', '.join(parts)})"))
-    return d.drop("__email", "__card", "__ip", "__phone", "__wmail", "__lphone", "__number")
+    return d.drop("__email", "__card", "__ip", "__phone", "__wmail", "__lphone", "__number", "__iban")
 
 
 def fit(cand: DataFrame, precision: float = 0.9, rounds: int = 16) -> tuple[list[boost.Tree], float]:
@@ -118,7 +129,7 @@ def selected(cand: DataFrame, trees: list[boost.Tree], threshold: float) -> Data
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", precision: float = 0.9) -> DataFrame:
     """One row per document with the counts of base spans and all spans as text and as an array."""
-    cand = candidates(docs.select(F.col(id_col), F.col(text)), text)
+    cand = staged(candidates(docs.select(F.col(id_col), F.col(text)), text).drop(text), "pii-candidates")
     spans = selected(cand, *fit(cand, precision))
     joined = "array_join(transform({0}, x -> concat(x.k, ':', x.a, ':', x.b)), ',')"
     return spans.select(
@@ -133,7 +144,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", precision:
 def redact(docs: DataFrame, text: str = "text", precision: float = 0.9) -> DataFrame:
     """docs with every selected span of `text` replaced by its kind in brackets; overlapping spans merge into the
     first one's. A null text stays null. All columns are kept."""
-    cand = candidates(docs, text)
+    cand = staged(candidates(docs, text), "pii-documents")
     d = selected(cand, *fit(cand, precision))
     out = f"""if(size(__spans) = 0, `{text}`, aggregate(__spans,
         named_struct('p', 0, 's', cast(array() as array<string>)),

@@ -21,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import spans_of, table
+from tessitura.llm.common import spans_of, staged, table
 
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+ASSIGN = r"""(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 #: The same up to group 2, to measure that group.
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+TOKEN = r"[A-Za-z0-9+/_-](?<![A-Za-z0-9+/_-]{2})[A-Za-z0-9+/_-]{15,}+={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 BINS = 20
 
@@ -38,7 +38,9 @@ _P = "2 * (1 - 1 / (1 + exp(-least(1.5976 * abs({z}) + 0.070565992 * pow(abs({z}
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __base (k, a, b) and __tokens (a, b, target, n, p): target tells a proposal from a decoy word."""
     d = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    d = spans_of(d, "__t", {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX, "__tok": TOKEN}, context=0)
+    some = F.lit(True)
+    d = d.withColumns({"__set": F.contains("__t", F.lit("=")) | F.contains("__t", F.lit(":")), "__akia": F.contains("__t", F.lit("AKIA"))})
+    d = spans_of(d, "__t", {"__assign": (ASSIGN, F.col("__set")), "__access": (ACCESS, F.col("__akia")), "__hex": (HEX, some), "__tok": (TOKEN, some)}, context=0)
     span = "transform({0}, x -> named_struct('a', x.a, 'o', {1}, 'b', x.b, 'k', '{2}'))"
     d = d.withColumn("__assign", F.filter("__assign", lambda x: F.length(F.regexp_replace(x["v"], ASSIGN_HEAD, "")) >= 6))
     d = d.withColumn("__base", F.expr(f"concat({span.format('__assign', 0, 'assign')}, {span.format('__access', 1, 'access')}, {span.format('__hex', 2, 'hex')})"))
@@ -70,7 +72,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         'zs', if(x.sqv - x.n * x.m * x.m <= 0, 9D, (x.lag - (x.n - 1) * x.m * x.m) / (x.sqv - x.n * x.m * x.m) * sqrt(x.n))))"""))
     low = "least(" + ", ".join(_P.format(z=f"x.{z}") for z in ("zc", "zr", "zs")) + ")"
     d = d.withColumn("__tokens", F.expr(f"transform(__tok, x -> named_struct('a', x.a, 'b', x.b, 'target', x.target, 'l', cast(least(log2(x.n), 31) as int), 'p', least(1D, 3 * {low})))"))
-    return d.drop("__t", "__assign", "__access", "__hex", "__tok")
+    return d.drop("__t", "__set", "__akia", "__assign", "__access", "__hex", "__tok")
 
 
 def thresholds(cand: DataFrame, fdr: float = 0.05) -> dict[int, float]:
@@ -102,7 +104,7 @@ def selected(cand: DataFrame, limits: dict[int, float]) -> DataFrame:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fdr: float = 0.05) -> DataFrame:
     """One row per document with the counts of base spans and all spans."""
-    cand = candidates(docs.select(F.col(id_col), F.col(text)), text)
+    cand = staged(candidates(docs.select(F.col(id_col), F.col(text)), text).drop(text), "secret-candidates")
     d = selected(cand, thresholds(cand, fdr))
     joined = "array_join(transform({0}, x -> concat(x.k, ':', x.a, ':', x.b)), ',')"
     return d.select(
