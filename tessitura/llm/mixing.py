@@ -10,9 +10,9 @@ drawn by hash; word c of its stream, repeated as often as the target asks, is tr
 cumulative demand reaches c: the integral inverted by its quadratic formula. Documents sorted by the position of
 their first word are the training order.
 
-The running word counts per source come from two levels: a document falls into one of the bins of its source (so
-many that a bin has about `bin_rows` rows, however large the source), sums by bin give the bin's start, and a window
-inside the bin the rest. No task sees a whole source.
+The running word counts per source come from two levels: a source of n documents has the square root of n bins of
+about as many documents each; sums by bin give the bin's start, and a window inside the bin the rest. No task sees a
+whole source, nor more than the square root of its rows at once.
 
 Defined results: a null or empty text has size 0 and takes 0; where all sizes are 0 so are the targets; null
 sources are one source; ties in the drawn order fall back to id, size and text hash; repeated rows each have a place;
@@ -57,7 +57,7 @@ def position(words: Column, target: Column, slope: Column) -> Column:
     return F.when(target > 0, F.when(slope == 0, x).otherwise(root))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3, bin_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted), `whole` (full repeats),
     `part` (words of the last, partial one) and `position` (of its first word, null if none is taken)."""
     d = docs.select(
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     d = d.join(t, d["source"].eqNullSafe(t["source"])).drop(t["source"])
     # the first 28 bits of the draw as a fraction choose the bin, so bins follow each other in the drawn order
     share = F.conv(F.substring("draw", 1, 7), 16, 10).cast("long") / F.lit(float(16**7))
-    d = d.withColumn("bin", F.floor(share * F.ceil(F.col("rows") / bin_rows)).cast("int"))
+    d = d.withColumn("bin", F.floor(share * F.ceil(F.sqrt("rows"))).cast("int"))
     bins = d.groupBy("rank", "bin").agg(F.sum("size").alias("words"))
     starts = bins.select("rank", "bin", (F.sum("words").over(W.partitionBy("rank").orderBy("bin")) - F.col("words")).alias("bin_start"))
     inside = W.partitionBy("rank", "bin").orderBy("draw", "id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
