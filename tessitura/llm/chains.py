@@ -5,11 +5,12 @@ probabilities of the categories before it. While fitting, those probabilities co
 row: the sample is cut in folds, and each fold is predicted by a model of the others. The models of the chain are then
 fitted on the whole sample, and each category's threshold is the one with the best F1 on the out-of-fold probabilities.
 
-Features of a text are its distinct words (letters of any script, case folded) and their beginnings of 4 to 6 letters;
+Features of a text are its distinct words (letters of any script, case folded), their beginnings of 4 to 6 letters,
+its runs of signs (their first three) and whether it has words in capitals;
 of those in the sample the `features` with the largest chi-squared statistic against the category are used.
 
 The models are fitted on at most `sample` labelled rows for each value of each category, chosen by the hash of the id; the
-driver gets the distinct words of those texts. Everything else, the scoring of all texts, is distributed.
+driver gets the distinct words and signs of those texts. Everything else, the scoring of all texts, is distributed.
 
 Defined results: null and empty texts have no feature and so the base rate; a category without both values in the sample
 has its rate as probability and rejects nothing; labels that are null take no part, ids with several label rows or
@@ -34,21 +35,33 @@ from pyspark.sql import functions as F
 from tessitura.llm import words
 from tessitura.llm.common import ship, table
 
-SAMPLE, FEATURES, FOLDS = 2_500, 4_096, 3
+SAMPLE, FEATURES, FOLDS = 2_500, 1_024, 3
 #: A feature speaks for or against a category from this chi-squared statistic on (odds of chance below 1 in 10,000).
 STRONG = 15.1
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> set[str]:
-    """Of what stands between two spaces."""
-    out = set()
-    for w in _LETTERS.findall(word.lower()):
-        out.add(w)
-        out.update(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)
+_SIGNS = re.compile(r"[^\w\s]+")
+
+
+def atoms(word: str) -> set[str]:
+    """Of what stands between two spaces: its words, its runs of signs and whether it is in capitals."""
+    out = {w.lower() for w in _LETTERS.findall(word)}
+    out.update("~" + x[:3] for x in _SIGNS.findall(word))
+    if len(word) > 3 and word.isupper():
+        out.add("^")
     return out
 
 
+def expanded(atom: str) -> list[str]:
+    """An atom, and the beginnings of a word."""
+    return [atom, *(atom[:n] + "*" for n in (4, 5, 6) if len(atom) > n)] if atom[0] not in "~^" else [atom]
+
+
+def features(word: str) -> set[str]:
+    return {f for a in atoms(word) for f in expanded(a)}
+
+
 @dataclass(frozen=True)
 class Link:
     """One category's model: weights by feature, one for each earlier category, and the bias."""
@@ -86,7 +99,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _logistic(x: _Matrix, y: np.ndarray, ridge: float = 0.02, rounds: int = 150) -> np.ndarray:
+def _logistic(x: _Matrix, y: np.ndarray, ridge: float = 1.0, rounds: int = 150) -> np.ndarray:
     """Weights and bias; gradient steps scaled by their running size."""
     w, seen = np.zeros(x.width + x.dense.shape[1] + 1), 0.0
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
@@ -115,8 +128,8 @@ def _select(rows: list[set[str]], y: np.ndarray, most: int) -> list[str]:
 
 
 def fit(sample: list[tuple[str, tuple[int, ...]]], categories: list[str], most: int = FEATURES, folds: int = FOLDS) -> list[Link]:
-    """sample: the distinct words of a text joined by spaces, and its category values."""
-    rows = [set().union(*(features(w) for w in t.split(" "))) if t else set() for t, _ in sample]
+    """sample: the atoms of a text joined by spaces, and its category values."""
+    rows = [{f for a in t.split(" ") for f in expanded(a)} if t else set() for t, _ in sample]
     fold = np.array([zlib.crc32(t.encode()) % folds for t, _ in sample], np.int64)
     earlier = np.zeros((len(rows), 0))
     chain = []
@@ -169,8 +182,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.chunks(batches, "text"):
             distinct, index, offsets = words.split(b.column("text"))
-            found = [[" ".join(_LETTERS.findall(w.lower()))] for w in distinct]
-            texts = [" ".join(sorted({x for k in set(index[i:j].tolist()) for x in found[k][0].split()})) for i, j in zip(offsets[:-1], offsets[1:])]
+            found = [atoms(w) for w in distinct]
+            texts = [" ".join(sorted(set().union(*(found[k] for k in set(index[i:j].tolist()))))) for i, j in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string()), *(b.column(y) for y in ys)], ["id", "words", *ys])
 
     kind = d.schema["id"].dataType.simpleString()
