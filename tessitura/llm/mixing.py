@@ -85,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     taken = F.col("whole") * F.col("size") + F.col("part")
     d = d.withColumn("taken", taken)
     where = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("slope")))
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "whole", "part", where.alias("position"), "draw")
+    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "whole", "part", where.alias("position"), "draw", "tie")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -95,14 +95,17 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs as the mix takes them: each document as often as it is repeated, the last, partial repeat with the first
-    `part` words of its text, in training order. Ids must be unique in docs. All columns of docs are kept."""
-    plan = mixed.where("taken > 0").select(F.col(id_col).alias("__id"), "whole", "part", "position", "draw")
-    d = docs.join(plan, docs[id_col].eqNullSafe(F.col("__id")))
-    d = d.withColumn("__copy", F.explode(F.expr("sequence(1, cast(whole + if(part > 0, 1, 0) as int))")))
-    first = F.expr(f"array_join(slice(split(trim(regexp_replace(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), ' '), 1, cast(part as int)), ' ')")
-    partial = (F.col("__copy") > F.col("whole"))
+    `part` words of its text, in training order. Rows that repeat both id and text share one place in that order. All
+    columns of docs are kept."""
+    plan = mixed.where("taken > 0").dropDuplicates([id_col, "tie"])
+    plan = plan.select(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), *(F.col(c).alias(f"__{c}") for c in ("whole", "part", "position", "draw")))
+    d = docs.withColumn("__own", F.xxhash64(F.col(text)))
+    d = d.join(plan, d[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie")))
+    d = d.withColumn("__copy", F.explode(F.expr("sequence(1, cast(__whole + if(__part > 0, 1, 0) as int))")))
+    first = F.expr(f"array_join(slice(split(trim(regexp_replace(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), ' '), 1, cast(__part as int)), ' ')")
+    partial = F.col("__copy") > F.col("__whole")
     d = d.withColumn(text, F.when(partial, first).otherwise(F.col(text)))
-    return d.orderBy("position", "draw", "__copy").drop("__id", "whole", "part", "position", "draw", "__copy")
+    return d.orderBy("__position", "__draw", "__copy").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
