@@ -12,8 +12,12 @@ are used.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +34,62 @@ END_ID = 1
 _caches: dict[str, words.Cache] = {}
 
 
-def encoder(path: str) -> words.Cache:
-    """A cache over the tokenizer in that file. Its normaliser and pre-tokeniser never look across a space or a line
-    feed, so a text's ids are those of its words between them."""
-    if path not in _caches:
-        import os
+#: Characters that lower case and composition treat one by one, so a word of these can be cut before it is normalised.
+_PLAIN = re.compile("[\0-\u012f\u0131-\u024f]*")
+# Fixed value: the pre-tokeniser's pattern.
+_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(other)) for b in range(256)}
+
 
+class Words:
+    """Ids, as bytes, of what stands between two spaces. The tokenizer's model encodes each distinct pre-token once; a
+    word with other than plain characters goes through the whole tokenizer."""
+
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        _caches[path] = words.Cache(lambda ws: [e.ids for e in tok.encode_batch_fast(ws, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.limit, self.known = self.tokenizer.model, limit, {}
+        self.letters, self.pattern = _byte_letters(), regex.compile(_PRETOKEN)
+        shape = json.loads(self.tokenizer.to_str())
+        split = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        steps = [x.get("type") for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        self.short = split.get("pattern", {}).get("Regex") == _PRETOKEN and steps == ["NFC", "Replace", "Lowercase"]
+
+    def piece(self, p: str) -> bytes:
+        got = self.known.get(p)
+        if got is None:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            got = self.known[p] = array("i", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, p.encode())))]).tobytes()
+        return got
+
+    def word(self, w: str) -> bytes:
+        if not self.short or not _PLAIN.fullmatch(w):
+            return array("i", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        w = w.lower()
+        if w.isalpha():
+            return self.piece(w)
+        core = w.rstrip(".,!?;:")
+        if core.isalpha():
+            return self.piece(core) + self.piece(w[len(core):])
+        return b"".join(map(self.piece, self.pattern.findall(w)))
+
+
+def encoder(path: str) -> words.Cache:
+    """A cache over the tokenizer in that file. Its normaliser and pre-tokeniser never look across a space or a line
+    feed, so a text's ids are those of its words between them."""
+    if path not in _caches:
+        w = Words(path)
+        _caches[path] = words.Cache(lambda ws: [w.word(x) for x in ws], limit=600_000)
     return _caches[path]
 
 

@@ -28,10 +28,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) ->
 
 
 def spread(per_word: list, index: np.ndarray, offsets: np.ndarray, dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
-    """per_word: a sequence of numbers for each distinct word; index: the distinct word at each place; offsets: where
-    each text begins among the places. The numbers of all texts in a row, and where each text begins among them."""
+    """per_word: a sequence of numbers for each distinct word, or its bytes; index: the distinct word at each place;
+    offsets: where each text begins among the places. The numbers of all texts in a row, and where each text begins among them."""
     lens = np.fromiter(map(len, per_word), np.int64, len(per_word))
-    flat = np.fromiter(chain.from_iterable(per_word), dtype, int(lens.sum()))
+    if per_word and isinstance(per_word[0], bytes):
+        flat = np.frombuffer(b"".join(per_word), dtype)
+        lens = lens // flat.itemsize
+    else:
+        flat = np.fromiter(chain.from_iterable(per_word), dtype, int(lens.sum()))
     starts = np.cumsum(lens) - lens
     n = lens[index]
     ends = np.cumsum(n)
