@@ -161,8 +161,9 @@ def release_detail(c: Catalog, release_id: int) -> DataFrame:
     return d.select("release_id", F.to_json(F.struct("album", "artists", "edition", "release_date", "status", "media", "assets")).alias("json"))
 
 
-def track_detail(c: Catalog, track_id: int) -> DataFrame:
-    t = c.tracks.where(F.col("id") == track_id).withColumnRenamed("id", "track_id")
+def track_detail(c: Catalog, track_id: int | None = None) -> DataFrame:
+    """A visible track, or all of them, with release, album, file and best package."""
+    t = (c.tracks if track_id is None else c.tracks.where(F.col("id") == track_id)).withColumnRenamed("id", "track_id")
     m = c.media.select(F.col("id").alias("media_id"), "release_id", "disc_number")
     g = c.groups.select(F.col("id").alias("group_id"), F.col("title").alias("album"))
     a = c.audio.select("track_id", F.col("path").alias("audio_path"), "size", "mime")

@@ -78,9 +78,9 @@ def release_detail(spark, sf_dir):
 
 @query("track_detail", SQL + """select t.id as track_id, t.title, t.number, m.disc_number, m.release_id, g.id as group_id, g.title as album, a.path as audio_path, a.size, a.mime, b.package_id, b.status
 from tracks t join media m on m.id = t.media_id join releases r on r.id = m.release_id join groups g on g.id = r.group_id join audio a on a.track_id = t.id join best b on b.release_id = r.id
-where t.id = 21 and b.status not in ('invalid', 'unavailable')""")
+where b.status not in ('invalid', 'unavailable')""")
 def track_detail(spark, sf_dir):
-    return ops.track_detail(catalog(spark, sf_dir), 21)
+    return ops.track_detail(catalog(spark, sf_dir))
 
 
 @query("resolve_audio", SQL + "select t.id as track_id, b.package_id, b.status, b.package_path || '/' || a.path as file, a.size, a.mime from tracks t join media m on m.id = t.media_id join audio a on a.track_id = t.id join best b on b.release_id = m.release_id")
