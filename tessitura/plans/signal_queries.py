@@ -1 +1,128 @@
-"""Registered queries."""
+"""Signal queries over the driver's tables: embeddings are frames, events a channel for each user."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessitura.operators import signal as ops
+from tessitura.plans.catalog_tables import read
+from tessitura.plans.registry import query
+
+
+def _frames(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("track"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return e
+
+
+@query("frame_quantised", "select vec_id as id, array_to_string([cast(least(greatest(round_even(cast(x as double) * 20, 0) + 7, 0), 14) as int) for x in embedding], ',') as q from embeddings")
+def frame_quantised(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", F.array_join(ops.quantised(F.col("x"), F.lit(20.0), 7), ",").alias("q"))
+
+
+@query("frame_peaks", "select vec_id as id, round(list_max([abs(cast(x as double)) for x in embedding[1:16]]), 9) as p0, round(list_max([abs(cast(x as double)) for x in embedding[17:32]]), 9) as p1 from embeddings")
+def frame_peaks(spark, sf_dir):
+    p = ops.block_peaks(F.col("x"), 2, 16)
+    return _frames(spark, sf_dir).select("id", F.round(p[0], 9).alias("p0"), F.round(p[1], 9).alias("p1"))
+
+
+@query("frame_energy", "select vec_id as id, round(list_sum([cast(x as double) * x for x in embedding]), 6) as energy, len([x for x in embedding if x <> 0]) = 0 as silent from embeddings")
+def frame_energy(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", F.round(ops.energy(F.col("x")), 6).alias("energy"), ops.silent(F.col("x")).alias("silent"))
+
+
+@query("mid_side", "select vec_id as id, round(list_sum([(cast(embedding[i] as double) + embedding[i + 32]) / 2 for i in range(1, 33)]), 6) as mid, round(list_sum([(cast(embedding[i] as double) - embedding[i + 32]) / 2 for i in range(1, 33)]), 6) as side from embeddings")
+def mid_side(spark, sf_dir):
+    m, s = ops.mid_side(F.slice("x", 1, 32), F.slice("x", 33, 32))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
+    return _frames(spark, sf_dir).select("id", total(m).alias("mid"), total(s).alias("side"))
+
+
+@query("mid_side_choice")
+def mid_side_choice(spark, sf_dir):
+    sq = lambda c: F.transform(c, lambda v: v * v * 100)
+    l, r = F.slice("x", 1, 32), F.slice("x", 33, 32)
+    m, s = ops.mid_side(l, r)
+    return _frames(spark, sf_dir).select("id", ops.use_mid_side(sq(l), sq(r), sq(m), sq(s)).alias("use"))
+
+
+@query("noise_ratio", """with q as (select vec_id as id, [cast(x as double) for x in embedding] as x, [round_even(cast(x as double) * 16, 0) / 16 for x in embedding] as y from embeddings)
+select id, round(list_sum([(x[i] - y[i]) * (x[i] - y[i]) for i in range(1, 65)]) / list_sum([v * v for v in x]), 6) as ratio from q""")
+def noise_ratio(spark, sf_dir):
+    d = _frames(spark, sf_dir).withColumn("y", ops.restored(ops.quantised(F.col("x"), F.lit(16.0), 64), F.lit(1 / 16), 64))
+    return d.select("id", F.round(ops.noise_to_signal(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+@query("scale_factors", "select vec_id as id, round(pow(10.0, -0.1::double * (vec_id % 60 - 1) / 1.26::double), 9) as factor from embeddings")
+def scale_factors(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", F.round(ops.scale_factor(F.col("id") % 60), 9).alias("factor"))
+
+
+@query("signal_to_mask", "select vec_id as id, round(list_sum([cast(x as double) * x for x in embedding[1:16]]) / 16 / 0.5::double, 6) as b0, round(list_sum([cast(x as double) * x for x in embedding[49:64]]) / 16 / 0.5::double, 6) as b3 from embeddings")
+def signal_to_mask(spark, sf_dir):
+    p, t = F.transform("x", lambda v: v * v), F.transform("x", lambda v: F.lit(0.5))
+    b = ops.signal_to_mask(p, t)
+    return _frames(spark, sf_dir).select("id", F.round(b[0], 6).alias("b0"), F.round(b[3], 6).alias("b3"))
+
+
+@query("bit_allocation", "select vec_id as id, array_to_string([case when abs(x) <= 0.05 then 0 else cast(least(17, ceil(log2(abs(cast(x as double)) / 0.05) / 2)) as int) end for x in embedding], ',') as bits from embeddings")
+def bit_allocation(spark, sf_dir):
+    s, m = F.transform("x", lambda v: F.abs(v)), F.transform("x", lambda v: F.lit(0.05))
+    return _frames(spark, sf_dir).select("id", F.array_join(ops.allocate(s, m), ",").alias("bits"))
+
+
+@query("power_spectra")
+def power_spectra(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", ops.power_spectrum(F.col("x")).alias("power"), ops.cepstrum(F.col("x")).alias("cepstrum"))
+
+
+@query("masked_thresholds")
+def masked_thresholds(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", ops.masking(ops.power_spectrum(F.col("x")), 44100).alias("threshold"))
+
+
+@query("prediction")
+def prediction(spark, sf_dir):
+    return _frames(spark, sf_dir).select("id", ops.predictors(F.col("x")).alias("coefficients"), ops.shaped(F.col("x"), [0.5, -0.25], 0.05).alias("shaped"))
+
+
+@query("spectral_chaos")
+def spectral_chaos(spark, sf_dir):
+    d = _frames(spark, sf_dir).withColumn("p", ops.power_spectrum(F.col("x")))
+    return ops.unpredictability(d, "track", "id", "p").select("track", "id", "chaos")
+
+
+@query("pre_echo")
+def pre_echo(spark, sf_dir):
+    d = _frames(spark, sf_dir).withColumn("t", F.transform("x", lambda v: F.abs(v)))
+    return ops.pre_echo_limited(d, "track", "id", "t").select("track", "id", "limited")
+
+
+@query("subband_frames")
+def subband_frames(spark, sf_dir):
+    return ops.subbands(_frames(spark, sf_dir), "track", "id", "x")
+
+
+def _program(spark, sf_dir):
+    f = _frames(spark, sf_dir).withColumn("l", F.flatten(F.array_repeat("x", 40)))
+    return f.withColumn("r", F.reverse("l")).withColumn("album", F.col("track") % 3)
+
+
+@query("track_loudness")
+def track_loudness(spark, sf_dir):
+    return ops.loudness(_program(spark, sf_dir), ["track"], ["id"], 8000)
+
+
+@query("album_loudness")
+def album_loudness(spark, sf_dir):
+    p = _program(spark, sf_dir)
+    tracks = ops.loudness(p, ["album", "track"], ["id"], 8000)
+    whole = ops.loudness(p, ["album"], ["track", "id"], 8000).select("album", "lufs")
+    return whole.join(ops.album_peak(tracks, "album"), "album")
+
+
+@query("worst_spectrum", "select a.vec_id as id, round(list_sum([greatest(cast(a.embedding[i] as double), b.embedding[i]) for i in range(1, 65)]), 6) as total from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def worst_spectrum(spark, sf_dir):
+    a = _frames(spark, sf_dir)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))
+    return a.join(b, "id").select("id", F.round(F.aggregate(ops.worst(F.col("x"), F.col("y")), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
