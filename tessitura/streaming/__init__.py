@@ -1 +1 @@
-
+"""Structured Streaming: continuous scans and bounded replay."""
