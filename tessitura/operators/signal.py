@@ -242,7 +242,8 @@ def masking(power: Column, rate: int) -> Column:
 def cosine_bank(bands: int = BANDS, taps: int = 512) -> np.ndarray:
     """A cosine-modulated bank: rows are analysis filters of a windowed low pass."""
     n = np.arange(taps)
-    proto = np.sinc((n - (taps - 1) / 2) / (2 * bands)) * np.kaiser(taps, 9.0)
+    # a cutoff at which neighbouring bands add up to one, to within 0.01 of the amplitude
+    proto = np.sinc(1.12 * (n - (taps - 1) / 2) / (2 * bands)) * np.kaiser(taps, 7.0)
     proto /= proto.sum()
     k = np.arange(bands)[:, None]
     return 2 * proto * np.cos((2 * k + 1) * np.pi / (2 * bands) * (n - (taps - 1) / 2) + (-1.0) ** k * np.pi / 4)
@@ -259,9 +260,10 @@ def analysed(x: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def synthesised(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The inverse, delayed by a filter's length less one."""
     h = cosine_bank(bands)[:, ::-1]
-    out = np.zeros(len(s) * bands + h.shape[1])
+    out = np.zeros((len(s) + 1) * bands + h.shape[1])
     for i, row in enumerate(s @ h):
-        out[i * bands : i * bands + h.shape[1]] += row
+        at = (i + 1) * bands - 1
+        out[at : at + h.shape[1]] += row
     return out[: len(s) * bands] * bands
 
 
