@@ -5,12 +5,12 @@ probabilities of the categories before it. While fitting, those probabilities co
 row: the sample is cut in folds, and each fold is predicted by a model of the others. The models of the chain are then
 fitted on the whole sample, and each category's threshold is the one with the best F1 on the out-of-fold probabilities.
 
-Features of a text are its distinct words (letters of any script, case folded), their beginnings of 4 to 6 letters,
+Features are known by their 32-bit checksum. Those of a text are its distinct words (letters of any script, case folded), their beginnings of 4 to 6 letters,
 its runs of signs (their first three) and whether it has words in capitals;
 of those in the sample the `features` with the largest chi-squared statistic against the category are used.
 
 The models are fitted on at most `sample` labelled rows for each value of each category, chosen by the hash of the id; the
-driver gets the distinct words and signs of those texts. Everything else, the scoring of all texts, is distributed.
+driver gets their checksums, four bytes a feature. Everything else, the scoring of all texts, is distributed.
 
 Defined results: null and empty texts have no feature and so the base rate; a category without both values in the sample
 has its rate as probability and rejects nothing; labels that are null take no part, ids with several label rows or
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -58,8 +57,17 @@ def expanded(atom: str) -> list[str]:
     return [atom, *(atom[:n] + "*" for n in (4, 5, 6) if len(atom) > n)] if atom[0] not in "~^" else [atom]
 
 
-def features(word: str) -> set[str]:
-    return {f for a in atoms(word) for f in expanded(a)}
+def code(feature: str) -> int:
+    return zlib.crc32(feature.encode())
+
+
+def features(word: str) -> set[int]:
+    return {code(f) for a in atoms(word) for f in expanded(a)}
+
+
+def codes(text: str) -> np.ndarray:
+    """The features of a text, sorted."""
+    return np.unique(np.array([f for w in {*text.split()} for f in features(w)], np.uint32))
 
 
 @dataclass(frozen=True)
@@ -67,7 +75,7 @@ class Link:
     """One category's model: weights by feature, one for each earlier category, and the bias."""
 
     category: str
-    weights: dict[str, float]
+    weights: dict[int, float]
     earlier: tuple[float, ...]
     bias: float
     threshold: float
@@ -76,10 +84,8 @@ class Link:
 class _Matrix:
     """Binary features by row, and dense columns."""
 
-    def __init__(self, rows: list[np.ndarray], width: int, dense: np.ndarray):
-        self.n, self.width, self.dense = len(rows), width, dense
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    def __init__(self, row: np.ndarray, col: np.ndarray, width: int, dense: np.ndarray):
+        self.n, self.width, self.dense, self.row, self.col = len(dense), width, dense, row, col
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n) + self.dense @ w[self.width :]
@@ -88,11 +94,8 @@ class _Matrix:
         return np.concatenate([np.bincount(self.col, g[self.row], self.width), g @ self.dense])
 
     def part(self, keep: np.ndarray) -> "_Matrix":
-        out = object.__new__(_Matrix)
-        out.width, out.n, out.dense = self.width, int(keep.sum()), self.dense[keep]
         there = keep[self.row]
-        out.row, out.col = (np.cumsum(keep) - 1)[self.row[there]], self.col[there]
-        return out
+        return _Matrix((np.cumsum(keep) - 1)[self.row[there]], self.col[there], self.width, self.dense[keep])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -112,56 +115,62 @@ def _logistic(x: _Matrix, y: np.ndarray, ridge: float = 1.0, rounds: int = 150)
     return w
 
 
-def _select(rows: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """The features that speak most for or against y."""
-    n, p = len(y), y.sum()
-    all_, pos = Counter(), Counter()
-    for r, v in zip(rows, y):
-        all_.update(r)
-        if v:
-            pos.update(r)
-    def chi(f: str) -> float:
-        a, b = pos[f], all_[f]
-        return n * (a * (n - p) - (b - a) * p) ** 2 / (p * (n - p) * b * (n - b)) if 0 < b < n else 0.0
-    strong = [(-s, f) for f, c in all_.items() if c >= 3 and (s := chi(f)) >= STRONG]
-    return [f for _, f in sorted(strong)[:most]]
-
-
-def fit(sample: list[tuple[str, tuple[int, ...]]], categories: list[str], most: int = FEATURES, folds: int = FOLDS) -> list[Link]:
-    """sample: the atoms of a text joined by spaces, and its category values."""
-    rows = [{f for a in t.split(" ") for f in expanded(a)} if t else set() for t, _ in sample]
-    fold = np.array([zlib.crc32(t.encode()) % folds for t, _ in sample], np.int64)
-    earlier = np.zeros((len(rows), 0))
+class _Sample:
+    """All rows' features in a row, and the row of each."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *rows])
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def select(self, keep: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+        """The features that speak most for or against y in the rows to keep, sorted."""
+        n, p = keep.sum(), y[keep].sum()
+        mine = keep[self.row]
+        names, all_ = np.unique(self.flat[mine], return_counts=True)
+        pos = np.bincount(np.searchsorted(names, self.flat[mine & (y[self.row] > 0)]), minlength=len(names)).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chi = np.nan_to_num(n * (pos * (n - p) - (all_ - pos) * p) ** 2 / (p * (n - p) * all_ * (n - all_)))
+        chi[(all_ < 3) | (all_ >= n)] = 0
+        strong = np.flatnonzero(chi >= STRONG)
+        return np.sort(names[strong[np.lexsort((names[strong], -chi[strong]))][:most]])
+
+    def matrix(self, names: np.ndarray, earlier: np.ndarray) -> _Matrix:
+        at = np.minimum(np.searchsorted(names, self.flat), max(len(names) - 1, 0))
+        hit = names[at] == self.flat if len(names) else np.zeros(len(self.flat), bool)
+        return _Matrix(self.row[hit], at[hit], len(names), earlier)
+
+
+def fit(sample: list[tuple[np.ndarray, tuple[int, ...]]], categories: list[str], most: int = FEATURES, folds: int = FOLDS) -> list[Link]:
+    """sample: the features of each text, sorted, and its category values."""
+    rows = _Sample([c for c, _ in sample])
+    fold = np.array([zlib.crc32(c.tobytes()) % folds for c, _ in sample], np.int64)
+    everywhere = np.ones(len(sample), bool)
+    earlier = np.zeros((len(sample), 0))
     chain = []
     for k, name in enumerate(categories):
         y = np.array([v[k] for _, v in sample], float)
         if not len(y) or y.min() == y.max():
             rate = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
             chain.append(Link(name, {}, (0.0,) * k, float(np.log(rate / (1 - rate))), 2.0))
-            earlier = np.column_stack([earlier, np.full(len(rows), rate)])
+            earlier = np.column_stack([earlier, np.full(len(y), rate)])
             continue
-        out_of_fold = np.zeros(len(rows))
+        out_of_fold = np.zeros(len(y))
         for f in range(folds):
             train = fold != f
             if not train.any() or train.all():
                 continue
-            names = _select([r for r, t in zip(rows, train) if t], y[train], most)
-            x = _matrix(rows, names, earlier)
+            x = rows.matrix(rows.select(train, y, most), earlier)
             w = _logistic(x.part(train), y[train])
             out_of_fold[~train] = _sigmoid(x.times(w[:-1]) + w[-1])[~train]
-        names = _select(rows, y, most)
-        w = _logistic(_matrix(rows, names, earlier), y)
+        names = rows.select(everywhere, y, most)
+        w = _logistic(rows.matrix(names, earlier), y)
         m = len(names)
-        chain.append(Link(name, dict(zip(names, w[:m].tolist())), tuple(w[m:-1].tolist()), float(w[-1]), _threshold(out_of_fold, y)))
+        chain.append(Link(name, dict(zip(names.tolist(), w[:m].tolist())), tuple(w[m:-1].tolist()), float(w[-1]), _threshold(out_of_fold, y)))
         earlier = np.column_stack([earlier, out_of_fold])
     return chain
 
 
-def _matrix(rows: list[set[str]], names: list[str], earlier: np.ndarray) -> _Matrix:
-    at = {f: i for i, f in enumerate(names)}
-    return _Matrix([np.array(sorted(at[f] for f in r if f in at), np.int64) for r in rows], len(names), earlier)
-
-
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """Halfway between the probabilities around the cut with the best F1."""
     order = np.argsort(-p, kind="stable")
@@ -171,7 +180,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[i]] + (p[order[i + 1]] if i + 1 < len(y) else 0.0)) / 2)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[tuple[str, tuple[int, ...]]]:
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[tuple[np.ndarray, tuple[int, ...]]]:
     """The bounded sample: up to `sample` rows for each value of each category."""
     named = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values()))).dropna()
     picks = [named.where(f"y{i} = {v}").orderBy(F.xxhash64("id"), "id").limit(sample) for i in range(len(categories)) for v in (0, 1)]
@@ -182,13 +191,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.chunks(batches, "text"):
             distinct, index, offsets = words.split(b.column("text"))
-            found = [atoms(w) for w in distinct]
-            texts = [" ".join(sorted(set().union(*(found[k] for k in set(index[i:j].tolist()))))) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string()), *(b.column(y) for y in ys)], ["id", "words", *ys])
+            got, at = words.spread([tuple(features(w)) for w in distinct], index, offsets, np.uint32)
+            rows = [np.unique(got[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(b.column(y) for y in ys)], ["features", *ys])
 
-    kind = d.schema["id"].dataType.simpleString()
-    rows = d.mapInArrow(run, f"id {kind}, words string, " + ", ".join(f"{y} int" for y in ys)).collect()
-    return sorted(((r.words, tuple(r[y] for y in ys)) for r in rows))
+    rows = d.mapInArrow(run, "features binary, " + ", ".join(f"{y} int" for y in ys)).collect()
+    return [(np.frombuffer(c, np.uint32), v) for c, v in sorted((bytes(r.features), tuple(r[y] for y in ys)) for r in rows)]
 
 
 def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", text: str = "text") -> DataFrame:

@@ -145,10 +145,10 @@ def test_chain_uses_earlier_categories():
     for i in range(600):
         junk, mean = r.random() < 0.3, r.random() < 0.5
         words = {r.choice("abcdefghij") * 5 for _ in range(6)} | ({"rubbish"} if junk else set()) | ({"nasty"} if mean else set())
-        rows.append((" ".join(sorted(words)), (int(junk), int(junk and mean))))
+        rows.append((chains.codes(" ".join(sorted(words))), (int(junk), int(junk and mean))))
     chain = chains.fit(rows, ["junk", "toxic"])
-    assert chain[1].earlier[0] > 0.5 and chain[0].weights["rubbish"] > 1 and chain[1].weights["nasty"] > 1
-    assert chains.fit([], ["junk"])[0].threshold == 2.0 and chains.fit([("a", (0,))], ["junk"])[0].weights == {}
+    assert chain[1].earlier[0] > 0.5 and chain[0].weights[chains.code("rubbish")] > 1 and chain[1].weights[chains.code("nasty")] > 1
+    assert chains.fit([], ["junk"])[0].threshold == 2.0 and chains.fit([(chains.codes("a"), (0,))], ["junk"])[0].weights == {}
 
 
 def test_toxic_documents_are_found(spark):
