@@ -5,11 +5,11 @@ without a piece an edge with a score below all others, written in byte pieces (o
 Viterbi pass gives the best score from the start to each node; going back from the end, A-star search uses those
 scores as its estimate of the rest, which is exact, so it settles the N best paths in order and expands little else.
 
-No piece of the usual vocabularies spans from a letter to a following space mark, or holds a line feed; where that holds for the given
-vocabulary (it is looked up), the lattice of a text is a chain of independent ones, cut there. Each distinct one is
-searched once a batch; the N best segmentations of the text are those of the chain: only the N - 1 links whose
-second-best path loses least can differ from their best one, and the combinations of their paths are searched.
-Otherwise a text is one lattice.
+Where two neighbouring characters stand side by side in no piece of the vocabulary, every path passes between them: the
+lattice of a text is a chain of independent ones, cut there (before a word's space mark, after a line feed, before most
+punctuation). Each distinct one is searched once; the N best segmentations of the text are those of the chain: only the
+N - 1 links whose second-best path loses least can differ from their best one, and the combinations of their paths are
+searched.
 
 Defined results: null text counts as empty; an empty text has no ids, score 0 and no alternatives; ties between paths
 go to the one found first, which is the same on each run; repeated rows keep a row each; an empty table gives an empty
@@ -33,18 +33,43 @@ from tessitura.llm import words
 from tessitura.llm.common import ship, table
 
 MARK = "▁"
+#: Characters below this, and the space mark in the last place, have their neighbours in a table.
+_TABLE = 0x300
 Path = tuple[float, tuple[int, ...]]
 
 
+def _place(chars: np.ndarray) -> np.ndarray:
+    """Where in the table a character is; out of it if it has none."""
+    out = chars.astype(np.int64)
+    out[out == _TABLE - 1] = _TABLE
+    out[out == ord(MARK)] = _TABLE - 1
+    return out
+
+
 class Lattice:
     """The search over one vocabulary: piece -> (id, score)."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unknown: int):
         self.pieces, self.byte_ids, self.unknown = pieces, byte_ids, unknown
-        self.heads = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        #: Every beginning of a piece; with the piece's ids and score where it is one itself.
+        self.heads: dict[str, tuple] = {p[:i]: () for p in pieces for i in range(1, len(p))}
+        self.heads |= {p: ((i,), s) for p, (i, s) in pieces.items()}
         self.low = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        self.cut_marks = not any(MARK in p[1:] and p.strip(MARK) and MARK in p.lstrip(MARK) for p in pieces)
-        self.cut_lines = not any("\n" in p for p in pieces)
+        pairs = {(ord(a) << 21) | ord(b) for p in pieces for a, b in zip(p, p[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.near = np.zeros((_TABLE, _TABLE), bool)
+        a, b = _place(self.pairs >> 21), _place(self.pairs & 0x1FFFFF)
+        known = (a < _TABLE) & (b < _TABLE)
+        self.near[a[known], b[known]] = True
+
+    def joined(self, chars: np.ndarray) -> np.ndarray:
+        """For each neighbouring two of the characters whether some piece has them side by side."""
+        place = _place(chars)
+        a, b = place[:-1], place[1:]
+        out = self.near[np.minimum(a, _TABLE - 1), np.minimum(b, _TABLE - 1)]
+        rare = np.flatnonzero((a >= _TABLE) | (b >= _TABLE))
+        out[rare] = np.isin(chars[rare].astype(np.int64) << 21 | chars[rare + 1], self.pairs)
+        return out
 
     def without_piece(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
@@ -56,17 +81,20 @@ class Lattice:
             return [(0.0, ())]
         score = [0.0] + [-np.inf] * size
         into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]
-        pieces, heads = self.pieces, self.heads
+        get = self.heads.get
         for i in range(size):
-            at, single, j = score[i], False, i + 1
-            while j <= size and (p := text[i:j]) in heads:
-                e = pieces.get(p)
+            at, j = score[i], i + 1
+            single = e = get(text[i])
+            while e is not None:
                 if e:
-                    into[j].append((i, (e[0],), e[1]))
-                    if at + e[1] > score[j]:
-                        score[j] = at + e[1]
-                    single = single or j == i + 1
+                    ids, s = e
+                    into[j].append((i, ids, s))
+                    if at + s > score[j]:
+                        score[j] = at + s
                 j += 1
+                if j > size:
+                    break
+                e = get(text[i:j])
             if not single:
                 into[i + 1].append((i, self.without_piece(text[i]), self.low))
                 score[i + 1] = max(score[i + 1], at + self.low)
@@ -106,13 +134,19 @@ def load(path: str) -> tuple:
 
 def links(texts: list[str], lattice: Lattice) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Normalised texts as chains of independent lattices: distinct links, their index at each place, text offsets."""
-    if not (lattice.cut_marks and lattice.cut_lines):
-        return words.coded(pa.array([[t] if t else [] for t in texts], pa.list_(pa.string())))
     joined = "".join(texts)
-    sep = next(chr(c) for c in range(0x10FFFF, 0, -1) if chr(c) not in joined)
-    a = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", f"{sep}\n{sep}")
-    a = pc.replace_substring_regex(a, f"([^{MARK}]){MARK}", rf"\1{sep}{MARK}")
-    return words.coded(pc.split_pattern(a, sep))
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    if not len(chars):
+        return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    cut = ~lattice.joined(chars)
+    cut[ends[(ends > 0) & (ends < len(chars))] - 1] = True  # a text begins a chain of its own
+    at = np.flatnonzero(cut) + 1
+    sep = next(c for c in range(0x10FFFF, 0, -1) if chr(c) not in joined)
+    marked = np.insert(chars, at, sep).tobytes().decode("utf-32-le")
+    distinct, index, _ = words.coded(pc.split_pattern(pa.array([marked], pa.large_string()), chr(sep)))
+    offsets = np.searchsorted(np.concatenate([[0], at]), np.concatenate([[0], ends]))
+    return distinct, index, offsets
 
 
 def combined(paths: list[list[Path]], n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
