@@ -19,7 +19,9 @@ result; other columns are ignored. Decoding gives the text back, but for space m
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import product
 
@@ -149,60 +151,97 @@ def links(texts: list[str], lattice: Lattice) -> tuple[list[str], np.ndarray, np
     return distinct, index, offsets
 
 
-def combined(paths: list[list[Path]], n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
-    """The n best of a chain given each link's best paths: score and the ids of the links that differ from their best."""
-    base = sum(p[0][0] for p in paths)
-    loss = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(paths) if len(p) > 1)[: n - 1]
-    return _combos(base, [(k, paths[k]) for _, k in loss], n)
-
-
-def _combos(base: float, open_: list[tuple[int, list[Path]]], n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+def combined(base: float, open_: list[tuple[int, list[Path]]], n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+    """The n best of a chain whose best scores `base`, given the places that may differ from it with their paths: score
+    and the ids at the places that do."""
     made = []
     for choice in product(*(range(len(p)) for _, p in open_)):
-        made.append((sum((p[c][0] - p[0][0] for c, (_, p) in zip(choice, open_)), base), choice))
+        made.append((base + sum(p[c][0] - p[0][0] for c, (_, p) in zip(choice, open_)), choice))
     made.sort(key=lambda x: (-x[0], x[1]))
     return [(s, {k: p[c][1] for c, (k, p) in zip(choice, open_) if c}) for s, choice in made[:n]]
 
 
+_caches: dict[str, words.Cache] = {}
+
+
+def _cache(model: str) -> words.Cache:
+    """For each link the ids of its best path as bytes, the score, and what the second best loses."""
+    if model not in _caches:
+        lattice = load(model)[1]
+
+        def one(text: str) -> tuple[bytes, float, float]:
+            p = lattice.best(text, 2)
+            return array("i", p[0][1]).tobytes(), p[0][0], p[0][0] - p[1][0] if len(p) > 1 else np.inf
+
+        _caches[model] = words.Cache(lambda ws: [one(w) for w in ws], limit=300_000)
+    return _caches[model]
+
+
+def segmented(texts: list[str], model: str, n_best: int) -> tuple[np.ndarray, np.ndarray, list[float], list[list[dict]]]:
+    """Ids of all texts in a row, where each text begins among them, its best score, and its next n_best - 1
+    segmentations as edits of the best."""
+    sp, lattice = load(model)
+    distinct, index, offsets = links([n if t else "" for n, t in zip(sp.normalize(texts), texts)], lattice)
+    found = _cache(model).get(distinct)
+    ids, at = words.spread([f[0] for f in found], index, offsets)
+    size = np.fromiter((len(f[0]) // 4 for f in found), np.int64, len(found))
+    top = np.fromiter((f[1] for f in found), np.float64, len(found))
+    loss = np.fromiter((f[2] for f in found), np.float64, len(found))[index]
+    before = np.concatenate([[0], np.cumsum(size[index])])
+    total = np.concatenate([[0.0], np.cumsum(top[index])])
+    scores, others = [], []
+    for i, j in zip(offsets[:-1], offsets[1:]):
+        base, mine = float(total[j] - total[i]), loss[i:j]
+        scores.append(base)
+        keep = min(n_best - 1, len(mine))
+        edge = np.partition(mine, keep - 1)[keep - 1] if keep else -np.inf
+        near = np.flatnonzero(mine <= edge) if edge < np.inf else np.flatnonzero(mine < np.inf)
+        near = near[np.argsort(mine[near], kind="stable")][:keep]
+        places = [(int(k), lattice.best(distinct[index[i + k]], n_best)) for k in near]
+        others.append([{"score": s, "edits": [{"at": int(before[i + k] - before[i]), "n": int(size[index[i + k]]), "ids": list(new)} for k, new in sorted(e.items())]} for s, e in combined(base, places, n_best)[1:]])
+    return ids, at, scores, others
+
+
 ALTERNATIVES = "array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
 _EDIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _ALTERNATIVE = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))]))
 
 
 def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, ids, score, alternatives): the best segmentation, and the next n_best - 1 as edits of it (at token
-    `at`, n tokens become ids)."""
+    """(id, ids, score, alternatives): the best segmentation, and the next n_best - 1 as edits of it (at token `at`, n
+    tokens become ids)."""
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, lattice = load(model)
-        cache = words.Cache(lambda ws: [lattice.best(w, n_best) for w in ws], limit=200_000)
         for b in words.chunks(batches, "text"):
-            normal = sp.normalize(b.column("text").to_pylist())
-            distinct, index, offsets = links([x if t else "" for x, t in zip(normal, b.column("text").to_pylist())], lattice)
-            paths = cache.get(distinct)
-            ids, at = words.spread([p[0][1] for p in paths], index, offsets)
-            size = np.fromiter((len(p[0][1]) for p in paths), np.int64, len(paths))
-            top = np.fromiter((p[0][0] for p in paths), np.float64, len(paths))
-            loss = np.fromiter((p[0][0] - p[1][0] if len(p) > 1 else np.inf for p in paths), np.float64, len(paths))
-            before = np.concatenate([[0], np.cumsum(size[index])])
-            total = np.concatenate([[0.0], np.cumsum(top[index])])
-            scores, others = [], []
-            for i, j in zip(offsets[:-1], offsets[1:]):
-                base = float(total[j] - total[i])
-                scores.append(base)
-                mine = loss[index[i:j]]
-                keep = min(n_best - 1, len(mine))
-                edge = np.partition(mine, keep - 1)[keep - 1] if keep else -np.inf
-                near = np.flatnonzero(mine <= edge) if edge < np.inf else np.flatnonzero(mine < np.inf)
-                near = near[np.argsort(mine[near], kind="stable")][:keep]
-                found = _combos(base, [(int(k), paths[index[i + k]]) for k in near], n_best)[1:]
-                others.append([{"score": s, "edits": [{"at": int(before[i + k] - before[i]), "n": int(size[index[i + k]]), "ids": list(new)} for k, new in sorted(e.items())]} for s, e in found])
+            ids, at, scores, others = segmented(b.column("text").to_pylist(), model, n_best)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), lists, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVE)], ["id", "text", "ids", "score", "alternatives"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVE)], ["id", "ids", "score", "alternatives"])
 
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, text string, ids array<int>, score double, alternatives {ALTERNATIVES}")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, score double, alternatives {ALTERNATIVES}")
+
+
+def summary(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_crc32, score, next_scores, edits, round_trip): what `encode` gives, digested where it is made,
+    and whether decoding its ids gives the text back."""
+    ship(docs.sparkSession)
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = ["id", "n_tokens", "ids_crc32", "score", "next_scores", "edits", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, _ = load(model)
+        for b in words.chunks(batches, "text"):
+            texts = b.column("text").to_pylist()
+            ids, at, scores, others = segmented(texts, model, n_best)
+            raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+            same = [sp.decode(ids[i:j].tolist()) == t.replace(MARK, " ") for i, j, t in zip(at[:-1], at[1:], texts)]
+            yield pa.RecordBatch.from_arrays([
+                b.column("id"), pa.array(np.diff(at)), pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])], pa.int64()), pa.array(scores, pa.float64()),
+                pa.array([[a["score"] for a in o] for o in others], pa.list_(pa.float64())), pa.array([json.dumps([a["edits"] for a in o]) for o in others], pa.string()), pa.array(same, pa.bool_()),
+            ], names)
+
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_crc32 bigint, score double, next_scores array<double>, edits string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -221,22 +260,6 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """encoded with ids_crc32, of its ids as little-endian 32-bit integers; without ids."""
-    cols = [c for c in encoded.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("ids")
-            at = lists.offsets.to_numpy()
-            ids = memoryview(np.ascontiguousarray(lists.values.to_numpy(), dtype="<u4")).cast("B")
-            crc = [zlib.crc32(ids[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(crc, pa.int64())], [*cols, "ids_crc32"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids")
-    return encoded.mapInArrow(run, f"{schema}, ids_crc32 bigint")
-
-
 def default_model() -> str:
     import public_tokenizers
 
@@ -244,8 +267,4 @@ def default_model() -> str:
 
 
 def op8_segment(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    model = model or default_model()
-    e = decode(encode(table(spark, sf_dir, "documents"), model), model)
-    e = e.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "score", F.transform("alternatives", lambda x: x["score"]).alias("next_scores"),
-                 F.to_json("alternatives").alias("edits"), (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"), "ids")
-    return digests(e)
+    return summary(table(spark, sf_dir, "documents"), model or default_model()).withColumnRenamed("id", "doc_id")

@@ -60,7 +60,7 @@ def coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Cache:
-    """What `work` gives for words, kept between batches up to `limit` words."""
+    """What `work` gives for words, kept between batches for the first `limit` distinct ones: frequent words come early."""
 
     def __init__(self, work: Callable[[list[str]], list], limit: int = 400_000):
         self.work, self.limit, self.known = work, limit, {}
@@ -70,8 +70,6 @@ class Cache:
         out = [known.get(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
             made = self.work([words[i] for i in missing])
             for i, x in zip(missing, made):
                 out[i] = x

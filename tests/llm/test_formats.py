@@ -154,13 +154,17 @@ def test_n_best_equals_enumeration(word):
     assert [x[0] for x in l.best(word, 6)] == pytest.approx(_all(l, word)[:6])
 
 
-@pytest.mark.parametrize("text", ["the cat\nsat  on é mat", "a b c", "\n\nfoo bar "])
+@pytest.mark.parametrize("text", ["the cat\nsat  on é mat", "a b c", "\n\nfoo bar ", "中文 a,b˿", "don't stop!!"])
 def test_chain_equals_whole_lattice(text):
     sp, l = segment.load(segment.default_model())
     n = sp.normalize(text)
-    distinct, index, _ = segment.links([n], l)
-    paths = [l.best(x, 4) for x in distinct]
-    assert [x[0] for x in segment.combined([paths[i] for i in index], 4)] == pytest.approx([x[0] for x in l.best(n, 4)])
+    distinct, index, offsets = segment.links([n, "x", n], l)
+    for k in (0, 2):
+        paths = [l.best(distinct[i], 4) for i in index[offsets[k] : offsets[k + 1]]]
+        got = segment.combined(sum(p[0][0] for p in paths), list(enumerate(paths)), 4)
+        assert [x[0] for x in got] == pytest.approx([x[0] for x in l.best(n, 4)])
+    ids, at, scores, others = segment.segmented([text, "", text], segment.default_model(), 4)
+    assert [scores[2], *(a["score"] for a in others[2])] == pytest.approx([x[0] for x in l.best(n, 4)]) and at[1] == at[2]
 
 
 def test_segmentation_round_trip_and_edits(docs):
@@ -168,10 +172,15 @@ def test_segmentation_round_trip_and_edits(docs):
     rows = segment.decode(segment.encode(docs, model), model).collect()
     sp, l = segment.load(model)
     assert len(rows) == len(TEXTS) + 2
+    by_id = {}
     for r in rows:
-        assert r.decoded == r.text
+        text = (TEXTS[r.id] if r.id is not None else "null id") or ""
+        by_id[r.id] = r
+        assert r.decoded == text
         for a in r.alternatives:
             ids = list(r.ids)
             for e in reversed(a.edits):
                 ids[e.at : e.at + e.n] = e.ids
-            assert a.score <= r.score and ids != list(r.ids) and sp.decode(ids) == r.text
+            assert a.score <= r.score and ids != list(r.ids) and sp.decode(ids) == text
+    for r in segment.summary(docs, model).collect():
+        assert r.round_trip and r.ids_crc32 == zlib.crc32(np.array(by_id[r.id].ids, "<u4").tobytes()) and r.score == by_id[r.id].score
