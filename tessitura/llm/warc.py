@@ -41,9 +41,12 @@ MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
 def dictionary(pages: DataFrame, id_col: str = "page_id", payload: str = "html") -> bytes:
-    """Trained on a bounded sample of pages, chosen by the hash of their ids."""
-    some = pages.where(F.length(payload) > 0).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES).select(F.substring(payload, 1, SAMPLE_CHARS)).collect()
-    samples = [r[0].encode() for r in some]
+    """Trained on a bounded sample of pages, chosen by the hash of their ids: a share of them that makes about the sample's
+    size, so tasks send no more than that to the driver however many they are."""
+    share = min(1.0, SAMPLE_PAGES / max(pages.count(), 1))
+    chosen = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) <= int(share * (1 << 40))
+    some = pages.where(chosen & (F.length(payload) > 0)).select(F.substring(payload, 1, SAMPLE_CHARS)).limit(2 * SAMPLE_PAGES).collect()
+    samples = sorted(r[0].encode() for r in some)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself serves
