@@ -142,8 +142,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     if common is None:
         return rows.sparkSession.createDataFrame([], schema)
     e = e.where(F.size("vec") == common.n)
-    sample = e.orderBy("entry", "vec").limit(SAMPLE).select("vec").collect()
-    model = fit(np.array([r.vec for r in sample]), k, bits)
+    # a share of the entries, by their hash, that makes about the sample's size
+    share = F.pmod(F.xxhash64("entry", F.lit(3)), F.lit(1 << 40)) <= int(min(1.0, SAMPLE / common["count"]) * (1 << 40))
+    sample = e.where(share).select("vec").limit(2 * SAMPLE).collect()
+    model = fit(np.array(sorted(r.vec for r in sample)), k, bits)
     n_blocks = max(1, -(-common["count"] // INDEX_BLOCK))
     index = e.withColumn("block", F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(n_blocks)))
     # queries by distinct vector: their ids are only needed at the end
