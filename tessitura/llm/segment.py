@@ -101,10 +101,11 @@ class Lattice:
                 into[i + 1].append((i, self.without_piece(text[i]), self.low))
                 score[i + 1] = max(score[i + 1], at + self.low)
         out: list[Path] = []
-        heap: list = [(-score[size], 0, size, 0.0, None)]
+        # of equal estimates the one nearest the start goes first, so ties don't widen the search
+        heap: list = [(-score[size], size, 0, 0.0, None)]
         count = 1
         while heap and len(out) < n:
-            f, _, node, done, tail = heapq.heappop(heap)
+            _, node, _, done, tail = heapq.heappop(heap)
             if node == 0:
                 ids: list[int] = []
                 while tail:
@@ -113,7 +114,7 @@ class Lattice:
                 out.append((done, tuple(ids)))
                 continue
             for i, own, s in into[node]:
-                heapq.heappush(heap, (-(score[i] + done + s), count, i, done + s, (own, tail)))
+                heapq.heappush(heap, (-(score[i] + done + s), i, count, done + s, (own, tail)))
                 count += 1
         return out
 
