@@ -36,7 +36,7 @@ DIGITS = r"[0-9](?:[\x20-]?[0-9]){8}"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_like", "ip_like", "card_like", "phone_like", "number_like")
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
-N_FEATURES = 16
+N_FEATURES = 15
 
 
 def _luhn(d: str) -> str:
@@ -50,6 +50,10 @@ _VALID = {
     "card": f"length(x.d) between 14 and 19 and {_luhn('x.d')}",
     "phone": "length(x.d) between 10 and 15",
 }
+#: Forms that base kinds and added generators share, so that what has no label has the features of what has one: an
+#: e-mail with its signs; a phone with a country code, without brackets and dots.
+_PLAIN_EMAIL = r"regexp_replace(regexp_replace(x.v, '\\x20?[\\[(]at[\\])]\\x20?', '@'), '\\x20?(?:[.]|[\\[(]dot[\\])])\\x20?', '\u0001')"
+_PHONE = "translate({}, '().', '   ')"
 #: Format features from the span, context features from the 24 characters before it.
 _FEATURES = (
     "length(x.d) >= 9",
@@ -59,7 +63,6 @@ _FEATURES = (
     "x.c rlike '[A-Za-z0-9]$'",
     r"x.v rlike '[\\x01 -]'",
     "instr(x.v, '.') > 0",
-    "instr(x.v, '(') > 0",
     "startswith(x.v, '+')",
     "x.v rlike '[A-Za-z]'",
     "x.v rlike '@|[(\\\\[]at'",
@@ -92,23 +95,29 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     d = spans_of(d, "__t", {"__ip": (IP, num), "__phone": (PHONE, F.col("__plus")), "__wmail": (WRITTEN_EMAIL, F.col("__t").rlike(AT)), "__lphone": (LOCAL_PHONE, num), "__number": (NUMBER, num), "__iban": (IBAN, num)})
     d = d.drop("__t", "__te", "__tc", "__at", "__plus", "__num", "__long")
 
-    def made(col: str, kind: str, like: str, valid: str) -> str:
-        digits = f"transform({col}, x -> named_struct('a', x.a, 'b', x.b, 'v', x.v, 'c', x.c, 'd', regexp_replace(x.v, '[^0-9]', '')))"
+    def made(col: str, kind: str, like: str, valid: str, v: str = "x.v", half: str = "pmod(xxhash64(x.v), 2L) = 0") -> str:
+        digits = f"transform(transform({col}, x -> named_struct('a', x.a, 'b', x.b, 'v', {v}, 'c', x.c)), x -> named_struct('a', x.a, 'b', x.b, 'v', x.v, 'c', x.c, 'd', regexp_replace(x.v, '[^0-9]', '')))"
         mask = " | ".join(f"if({f}, {1 << i}, 0)" for i, f in enumerate(_FEATURES))
-        return f"""transform({digits}, x -> named_struct('k', if({valid}, '{kind}', '{like}'), 'a', x.a, 'b', x.b, 'y', {valid}, 'f', {mask}, 'h', pmod(xxhash64(x.v), 2L) = 0))"""
+        return f"""transform({digits}, x -> named_struct('k', if({valid}, '{kind}', '{like}'), 'a', x.a, 'b', x.b, 'y', {valid}, 'f', {mask}, 'h', {half}))"""
 
-    parts = [made(f"__{k}", k, f"{k}_like", _VALID[k]) for k in BASE]
+    parts = [made(f"__{k}", k, f"{k}_like", _VALID[k], _PHONE.format("x.v") if k == "phone" else "x.v") for k in BASE]
     # fewer than 9 digits, or digits inside a longer word, pass no rule and are no proposal either
     parts[2] = f"filter({parts[2]}, x -> x.y or ((x.f & 1) <> 0 and (x.f & 16) = 0))"
-    parts += [made("__wmail", "email_like", "email_like", "false"), made("__lphone", "phone_like", "phone_like", "false"), made("__number", "number_like", "number_like", "false"), made("__iban", "number_like", "number_like", "false")]
+    added = {"__wmail": ("email_like", _PLAIN_EMAIL), "__lphone": ("phone_like", _PHONE.format("concat('+1 ', x.v)")), "__number": ("number_like", "x.v"), "__iban": ("number_like", "x.v")}
+    parts += [made(col, like, like, "false", v, "cast(null as boolean)") for col, (like, v) in added.items()]
     d = d.withColumn("__cand", F.expr(f"concat({', '.join(parts)})"))
     return d.drop("__email", "__card", "__ip", "__phone", "__wmail", "__lphone", "__number", "__iban")
 
 
+_COVERED = "exists(__base, z -> z.a <= x.a and z.b >= x.b)"
+
+
 def fit(cand: DataFrame, precision: float = 0.9, rounds: int = 16) -> tuple[list[boost.Tree], float]:
-    """Trees and the score threshold. Candidates of the four base kinds are labelled by their rule; half of them, by
-    the hash of the matched text, fit the trees and the other half calibrates. The driver gets counts by pattern."""
-    x = cand.select(F.explode("__cand").alias("x")).where(F.col("x.k").isin(*BASE, *(f"{k}_like" for k in BASE)))
+    """Trees and the score threshold. Matches of the four base patterns are labelled by their rule; half of them, by
+    the hash of the matched text, fit the trees and the other half calibrates. What a base span covers is no other
+    candidate, and the added generators' proposals (h is null) have no label. The driver gets counts by pattern."""
+    d = cand.select("__cand", F.expr("filter(__cand, x -> x.y)").alias("__base"))
+    x = d.select(F.explode(F.expr(f"filter(__cand, x -> x.h is not null and (x.y or not {_COVERED}))")).alias("x"))
     counts = x.groupBy(F.col("x.h").alias("h"), F.col("x.f").alias("f")).agg(F.count("*").alias("n"), F.sum(F.col("x.y").cast("long")).alias("p")).collect()
     rows = sorted((r.h, r.f, r.n, r.p) for r in counts)
     trees = boost.fit([r[1:] for r in rows if r[0]], N_FEATURES, rounds)
@@ -122,7 +131,7 @@ def selected(cand: DataFrame, trees: list[boost.Tree], threshold: float) -> Data
     keep = f"x.y or ({boost.score_sql(trees, 'x.f')}) >= {threshold!r}D" if threshold < float("inf") else "x.y"
     d = cand.withColumn("__base", F.expr("filter(__cand, x -> x.y)"))
     d = d.withColumn("__spans", F.expr(f"""array_sort(array_distinct(transform(
-        filter(__cand, x -> ({keep}) and (x.y or not exists(__base, z -> z.a <= x.a and z.b >= x.b))),
+        filter(__cand, x -> ({keep}) and (x.y or not {_COVERED})),
         x -> named_struct('a', x.a, 'o', {order}, 'b', x.b, 'k', x.k))))"""))
     return d.drop("__cand", "__base")
 

@@ -67,6 +67,18 @@ def test_redaction_replaces_base_spans_and_keeps_columns(docs):
     assert rows[0].text is None and rows[8].text == "é€😀 [EMAIL] 😀 [IP]" and rows[3].k == "own" and "@" not in rows[3].text
 
 
+def test_local_phones_and_written_mails_are_found(spark):
+    base = ["call me at +1 (017) 555-77{0}", "mail me: user{0}@example.com", "card 4111 1111 1111 1111", "host 10.0.0.{0}", "order 12345678901{0}", "v 999.1.1.{0} of part 300-20-10", "+12 34{0}", "no data {0}"]
+    rows = [(i, base[i % 8].format(10 + i // 8)) for i in range(480)]
+    alone = ["call me at (017) 555-7713", "Phone: 017-555-7713.", "write to jo.doe [at] example [dot] com now", "mail jo(at)example.org"]
+    rows += [(1000 + i, t) for i, t in enumerate(alone)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    want = ["phone_like:11:25", "phone_like:7:19", "email_like:9:38", "email_like:5:22"]
+    assert all(w in got[1000 + i].split(",") for i, w in enumerate(want)), got
+    kinds = [("phone",), ("email",), ("card",), ("ip",), (), (), (), ()]
+    assert all(tuple(s.split(":")[0] for s in got[i].split(",") if s) == kinds[i % 8] for i in range(480))
+
+
 def test_boosted_trees_learn_a_conjunction():
     patterns = [(m, 100, 95 if m & 1 and m & 4 else 3) for m in range(8)]
     trees = boost.fit(patterns, 3)
