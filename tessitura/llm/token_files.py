@@ -49,7 +49,7 @@ def _byte_letters() -> dict[int, str]:
 
 class Words:
     """Ids, as bytes, of what stands between two spaces. The tokenizer's model encodes each distinct pre-token once; a
-    word with other than plain characters goes through the whole tokenizer."""
+    word with other than plain characters or with an added token's content goes through the whole tokenizer."""
 
     def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,6 +60,8 @@ class Words:
         self.model, self.limit, self.known = self.tokenizer.model, limit, {}
         self.letters, self.pattern = _byte_letters(), regex.compile(_PRETOKEN)
         shape = json.loads(self.tokenizer.to_str())
+        added = [re.escape(x["content"].lower()) for x in shape["added_tokens"]]
+        self.added = re.compile("|".join(added) or "(?!)")
         split = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         steps = [x.get("type") for x in (shape["normalizer"] or {}).get("normalizers", [])]
         self.short = split.get("pattern", {}).get("Regex") == _PRETOKEN and steps == ["NFC", "Replace", "Lowercase"]
@@ -73,9 +75,10 @@ class Words:
         return got
 
     def word(self, w: str) -> bytes:
-        if not self.short or not _PLAIN.fullmatch(w):
+        low = w.lower()
+        if not self.short or not _PLAIN.fullmatch(w) or self.added.search(low):
             return array("i", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        w = w.lower()
+        w = low
         if w.isalpha():
             return self.piece(w)
         core = w.rstrip(".,!?;:")

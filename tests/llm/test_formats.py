@@ -58,6 +58,18 @@ def test_fast_path_equals_tokenizer():
     assert all(ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, at[:-1], at[1:]))
 
 
+def test_added_tokens_in_text_equal_tokenizer():
+    c = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    tok = token_files.Words(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<", "|", " ", "\n", "end", "Don't", "é", "ﬁ", "."]
+    rng = np.random.default_rng(4)
+    texts = ["end <|endoftext|> here"] + ["".join(rng.choice(parts, rng.integers(0, 8))) for _ in range(1000)]
+    distinct, index, offsets = words.split(pa.array(texts))
+    ids, at = words.spread(c.get(distinct), index, offsets)
+    assert ids[: at[1]].tolist() == [806, 49407, 763]
+    assert all(ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, at[:-1], at[1:]))
+
+
 PAGES = [(1, "http://a/é b", "x" * 150), (2, None, "x" * 150), (3, "u\r\nX: y", "x" * 99), (4, "u", "x" * 99), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (0, "u", "é" * 50), (8, "u", "<p>" + "word " * 50_000)]
 
 
