@@ -59,7 +59,8 @@ def position(words: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted), `whole` (full repeats),
-    `part` (words of the last, partial one) and `position` (of its first word, null if none is taken)."""
+    `part` (words of the last, partial one), `position` (of its first word, null if none is taken), and what the
+    positions of further repeats follow from: `start`, the source's words before it, and `slope`."""
     d = docs.select(
         F.col(id_col).alias("id"),
         F.col(source).alias("source"),
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     taken = F.col("whole") * F.col("size") + F.col("part")
     d = d.withColumn("taken", taken)
     where = F.when(F.col("taken") > 0, position(F.col("start").cast("double"), F.col("target"), F.col("slope")))
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "whole", "part", where.alias("position"), "draw", "tie")
+    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "whole", "part", where.alias("position"), "start", "slope", "draw", "tie")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -95,16 +96,19 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs as the mix takes them: each document as often as it is repeated, the last, partial repeat with the first
-    `part` words of its text, in training order. Rows that repeat both id and text share one place in that order. All
+    `part` words of its text, in training order: each repeat at the position of its own first word in the source's
+    repeated stream. Rows that repeat both id and text share one place in that order. All
     columns of docs are kept."""
     plan = mixed.where("taken > 0").dropDuplicates([id_col, "tie"])
-    plan = plan.select(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), *(F.col(c).alias(f"__{c}") for c in ("whole", "part", "position", "draw")))
+    plan = plan.select(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), *(F.col(c).alias(f"__{c}") for c in ("whole", "part", "start", "source_size", "target", "slope", "draw")))
     d = docs.withColumn("__own", F.xxhash64(F.col(text)))
     d = d.join(plan, d[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie")))
     d = d.withColumn("__copy", F.explode(F.expr("sequence(1, cast(__whole + if(__part > 0, 1, 0) as int))")))
     first = F.expr(f"array_join(slice(split(trim(regexp_replace(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), ' '), 1, cast(__part as int)), ' ')")
     partial = F.col("__copy") > F.col("__whole")
     d = d.withColumn(text, F.when(partial, first).otherwise(F.col(text)))
+    words = F.col("__start") + (F.col("__copy") - 1) * F.col("__source_size")
+    d = d.withColumn("__position", position(words.cast("double"), F.col("__target"), F.col("__slope")))
     return d.orderBy("__position", "__draw", "__copy").select(*docs.columns)
 
 

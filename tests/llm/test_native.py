@@ -118,3 +118,20 @@ def test_mix_applies_repeats_and_parts(spark):
     out = mixing.apply(d, m).collect()
     assert sum(len((r.text or "").split()) for r in out) == sum(r.taken for r in m.collect())
     assert out[0].asDict().keys() == {"doc_id", "text", "source", "id"}
+
+
+def test_repeats_stand_at_their_own_positions(spark):
+    rows = [(i, f"a{i}", "a") for i in range(4)] + [(100 + i, "w " * 10, "b") for i in range(40)] + [(200 + i, f"c{i} c", "c") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    plan = mixing.mix(d).collect()
+    assert {r.taken / r["size"] for r in plan if r.doc_id < 100 or r.doc_id >= 200} == {3.0}
+    out = [r.doc_id for r in mixing.apply(d, mixing.mix(d)).collect()]
+
+    def at(r, copy):
+        x, b = (r.start + copy * r.source_size) / r.target, r.slope
+        return x if b == 0 else (b - 1 + ((1 - b) ** 2 + 4 * b * x) ** 0.5) / (2 * b)
+
+    want = [(at(r, c), r.draw, r.doc_id) for r in plan for c in range(r.whole + (r.part > 0))]
+    assert out == [x[2] for x in sorted(want)]
+    for ids in ([x for x in out if x < 100], [x for x in out if x >= 200]):
+        assert len(ids) == 12 and ids[:4] == ids[4:8] == ids[8:] and len({*ids[:4]}) == 4
