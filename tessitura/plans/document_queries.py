@@ -46,7 +46,7 @@ def manifest_merge(spark, sf_dir):
 
 @query("manifest_pretty")
 def manifest_pretty(spark, sf_dir):
-    return ops.pretty(_manifests(spark, sf_dir).where("json like '%}' and id <= 50")).drop("json")
+    return ops.pretty(_manifests(spark, sf_dir).where("json like '%}'")).drop("json")
 
 
 def _tags(spark, sf_dir):

@@ -74,3 +74,17 @@ def test_identity_ignores_artist_order(spark):
     key = lambda artists, t="T": text.group_key(F.lit(None).cast("string"), F.lit(t), F.lit("1986"), F.lit("album"), artists)
     x, y, z, m = one(spark, key(a("p", "q")), key(a("q", "p")), key(a("p", "q"), "U"), text.group_key(F.lit("id"), F.lit("T"), F.lit(None).cast("string"), F.lit("album"), a("p")))
     assert x == y != z and m == "mb:id" and x.startswith("h:") and zlib.crc32(x.encode())
+
+
+def test_manifest_pretty_formats_every_order(spark, tmp_path):
+    import json
+
+    from tessitura.plans.registry import QUERIES, load
+
+    load()
+    rows = [(k, n, 7 * k + n, 0.05) for k in [*range(45, 56), 4000, 4140] for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.id: r.pretty for r in QUERIES["manifest_pretty"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {k for k, *_ in rows if k % 23}
+    assert all(json.dumps(json.loads(x), indent=2, ensure_ascii=False) == x for x in got.values())
+    assert [t["title"] for t in json.loads(got[4000])["media"][0]["tracks"]] == ["T28001", "T28002"]
