@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import fold
+from tessitura.session import staged
 
 #: path, manifest_sha256, fingerprint and problems (array; empty if the manifest is valid) of what a scan finds.
 FOUND = "path string, manifest_sha256 string, fingerprint string, problems array<string>, missing int"
@@ -19,13 +20,15 @@ PACKAGES = "id bigint, path string, manifest_sha256 string, fingerprint string,
 
 
 def next_ids(rows: DataFrame, order: str, start: Column) -> DataFrame:
-    """`id` from start + 1 on, by order: ranges number their rows, and each range begins where the ones before end."""
-    d = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__row", F.monotonically_increasing_id())
-    d = d.withColumn("__part", F.shiftright("__row", 33)).withColumn("__n", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
-    # row_number over a handful of new rows per partition total; partitions are few
-    totals = d.groupBy("__part").agg(F.count("*").alias("__c"))
-    before = totals.select(F.col("__part").alias("__p"), (F.sum("__c").over(W.orderBy("__part")) - F.col("__c")).alias("__b"))
-    return d.join(before, F.col("__part") == F.col("__p")).withColumn("id", start + F.col("__b") + F.col("__n") + 1).drop("__row", "__part", "__n", "__p", "__b")
+    """rows with `id` from start + 1 on, by order: ranges number their rows, and each range begins where the ones before
+    end. The numbered ranges are written once, as a second range partitioning would sample other bounds. All other
+    columns are kept; one named id is replaced."""
+    packed = rows.select(F.struct(*(c for c in rows.columns if c != "id")).alias("r"))
+    numbered = packed.repartitionByRange(F.col(f"r.{order}")).sortWithinPartitions(f"r.{order}").withColumn("at", F.monotonically_increasing_id())
+    d = staged(numbered.select("r", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("n")), "next-ids")
+    # one row a range; ranges are as many as shuffle partitions
+    before = d.groupBy("part").agg(F.count("*").alias("c")).select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("b"))
+    return d.join(F.broadcast(before), "part").select("r.*", (start + F.col("b") + F.col("n") + 1).alias("id"))
 
 
 def actions(packages: DataFrame, found: DataFrame) -> DataFrame:

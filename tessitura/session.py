@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir (local tests).
-LOCAL_SCRATCH = "/tmp/checkpoints/tessitura"
+LOCAL_SCRATCH = "/tmp/checkpoints"
+_SCRATCH: set[str] = set()
 
 
 def local_session(app: str = "tessitura", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -26,8 +27,22 @@ def local_session(app: str = "tessitura", cpus: str = "*", partitions: int = 8)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The application's folder under spark.checkpoint.dir, which every executor shares; it is deleted when the
+    application's JVM ends. Where that setting is absent a local session has a folder of its own, a cluster is refused."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_SCRATCH
+    path = f"{root}/tessitura-{context.applicationId}"
+    if path not in _SCRATCH:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _SCRATCH.add(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -354,8 +354,8 @@ def blocks(files: DataFrame) -> DataFrame:
 
 def ini_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of text files, lines numbered from 1."""
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    return t.select("file", F.posexplode("lines").alias("line", "text"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    return t.select("file", F.posexplode("lines").alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def ini_entries(lines: DataFrame) -> DataFrame:

@@ -149,3 +149,8 @@ def test_ini_chapters(spark, tmp_path):
     assert [(r.sample, [(t.key, t.value) for t in r.tags]) for r in rows] == [(0, [("title", "One")]), (44100, [("artist", "B"), ("title", "Two")])]
     lines = [r.value for r in files.chapter_lines(files.chapters(files.ini_entries(files.ini_lines(spark, str(tmp_path))))).collect()]
     assert lines == ["[0]", "title=One", "[44100]", "artist=B", "title=Two"]
+
+
+def test_ini_lines_count_from_one(spark, tmp_path):
+    (tmp_path / "a.ini").write_text("x\r\n\n[1]\n")
+    assert sorted((r.line, r.text) for r in files.ini_lines(spark, str(tmp_path)).collect()) == [(1, "x"), (2, ""), (3, "[1]"), (4, "")]
