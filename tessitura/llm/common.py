@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.session import scratch_dir, staged
 
-__all__ = ["scratch_dir", "staged", "table", "ship", "spans_of", "NO_SPANS"]
+__all__ = ["scratch_dir", "staged", "table", "ship", "packed", "let", "running", "spans_of", "NO_SPANS"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,16 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-NO_SPANS = "cast(array() as array<struct<a:int,b:int,v:string,c:string>>)"
+NO_SPANS = "cast(array() as array<struct<a:int,b:int,v:string,c:string,e:string>>)"
+#: Items that a running fold appends to one array; a longer input is folded in chunks of as many.
+CHUNK = 256
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of docs as one struct `row`, beside the named ones: no name of the caller's can clash."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)) if docs.columns else F.struct()
+    return docs.select(row.alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of body in which `name` is value, computed once: names inside lambdas are not copies of their expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running(items: str, value: str, combine: str, zero: str, emit: str) -> str:
+    """SQL of the array of emit(x, p) over the items x, p being the running fold of value(x) over the items before.
+    `combine` folds p and q; it must be associative, with `zero` as its neutral element.
+
+    An array that grows by one is copied each time. So chunks are folded first, then their totals, and then each chunk
+    on its own from its start: copies are bound by the chunk and the number of chunks.
+    """
+    step = lambda p, q: combine.replace("$p", p).replace("$q", q)
+    chunk = f"slice(z, k * {CHUNK} + 1, {CHUNK})"
+    total = f"aggregate({chunk}, {zero}, (p, x) -> {step('p', value)})"
+    starts = f"""aggregate(transform(ks, k -> {total}), named_struct('p', {zero}, 's', array_remove(array({zero}), {zero})),
+        (acc, t) -> named_struct('p', {step('acc.p', 't')}, 's', concat(acc.s, array(acc.p))), acc -> acc.s)"""
+    body = f"""aggregate({chunk}, named_struct('p', p0, 's', filter(transform(slice(z, 1, 1), x -> {let('p', zero, emit)}), x -> false)),
+        (acc, x) -> named_struct('p', {step('acc.p', value)}, 's', concat(acc.s, array({let('p', 'acc.p', emit)}))), acc -> acc.s)"""
+    inner = f"flatten(zip_with(ks, {starts}, (k, p0) -> {body}))"
+    return let("z", items, let("ks", f"sequence(0, cast(ceil(greatest(size(z), 1) / {CHUNK}) as int) - 1)", inner))
 
 
 def spans_of(df: DataFrame, text: str, found: dict[str, tuple[str, Column]], context: int = 24) -> DataFrame:
-    """For each name -> (pattern, guard) add a column `name`, an array of structs (a, b, v, c): start and end in
-    code points (end exclusive), the matched text and up to `context` characters before it. A guard is a cheaper
+    """For each name -> (pattern, guard) add a column `name`, an array of structs (a, b, v, c, e): start and end in
+    code points (end exclusive), the matched text, up to `context` characters before it and the one after it. A guard is a cheaper
     condition that any text with a match meets; the pattern runs on those texts.
 
     The matches come from regexp_extract_all and the gaps between them from split with the same pattern;
-    a fold over both gives the positions, so no character is looked at outside the regex engine.
+    a running sum over both gives the positions, so no character is looked at outside the regex engine.
     `text` must not be null.
     """
     none = F.array().cast("array<string>")
@@ -42,16 +73,10 @@ def spans_of(df: DataFrame, text: str, found: dict[str, tuple[str, Column]], con
     df = df.withColumns(raw)
     gaps: dict[str, Column] = {f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(F.col(text), p, -1)) for k, (p, _) in found.items()}
     df = df.withColumns(gaps)
-    fold = """if(size(__m_{k}) = 0, {none}, aggregate(
-        arrays_zip(__g_{k}, __m_{k}),
-        named_struct('p', 0, 's', {none}),
-        (acc, x) -> named_struct(
-            'p', acc.p + length(x.__g_{k}) + coalesce(length(x.__m_{k}), 0),
-            's', if(x.__m_{k} is null, acc.s, concat(acc.s, array(named_struct(
-                'a', acc.p + length(x.__g_{k}),
-                'b', acc.p + length(x.__g_{k}) + length(x.__m_{k}),
-                'v', x.__m_{k},
-                'c', right(x.__g_{k}, {n})))))),
-        acc -> acc.s))"""
-    df = df.withColumns({k: F.expr(fold.format(k=k, none=NO_SPANS, n=context)) for k in found})
-    return df.drop(*raw, *gaps)
+    emit = f"named_struct('a', p + length(x.g), 'b', p + length(x.g) + length(x.m), 'v', x.m, 'c', right(x.g, {context}), 'e', left(x.e, 1))"
+
+    def spans(k: str) -> str:
+        items = f"zip_with(__m_{k}, zip_with(slice(__g_{k}, 1, size(__m_{k})), slice(__g_{k}, 2, size(__m_{k})), (g, e) -> named_struct('g', g, 'e', e)), (m, y) -> named_struct('m', m, 'g', y.g, 'e', y.e))"
+        return f"if(size(__m_{k}) = 0, {NO_SPANS}, {running(items, 'length(x.g) + length(x.m)', '$p + $q', '0', emit)})"
+
+    return df.withColumns({k: F.expr(spans(k)) for k in found}).drop(*raw, *gaps)
