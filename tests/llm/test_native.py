@@ -160,19 +160,37 @@ def test_random_tokens_are_found_and_words_left(spark):
 
 
 def test_mix_equals_oracle_and_meets_targets(docs):
-    rows = mixing.mix(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
-    con = duckdb.connect()
     import pandas as pd
 
-    d = pd.DataFrame([(i, t, f"s{i % 3}" if i % 4 else None) for i, t in enumerate(TEXTS)], columns=["doc_id", "text", "source"])
-    con.register("documents", d)
-    want = {r[0]: r for r in con.execute(mixing.OP2_SQL).fetchall()}
-    for r in rows:
-        assert (r.size, r.source_size, r.target, r.taken, r.position) == want[r.doc_id][1:], r
-        assert r.taken <= 3 * r["size"]
+    given = [(i, t, f"s{i % 3}" if i % 4 else None) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "s0"), (None, TEXTS[4], None)]
+    given += [(None, f"text {i} of no id", "s1") for i in range(30)] + [(7, f"text {i} of one id", "s2") for i in range(30)] + [(7, "same", "s2")] * 20
+    d = docs.sparkSession.createDataFrame(given, "doc_id bigint, text string, source string").repartition(3)
+    rows = mixing.mix(d).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(given, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    nano = lambda r: ",".join(str(round(x * 1e9)) for x in r.positions)
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(((r.doc_id, r.size, r.source_size, r.target, r.taken, nano(r)) for r in rows), key=key)
+    want = con.execute(mixing.OP2_SQL).fetchall()
+    assert got == sorted(want, key=key)
+    assert all(r.taken <= 3 * r["size"] for r in rows)
     assert sum(r.taken for r in rows) == pytest.approx(sum(r["size"] for r in rows), abs=3)
 
 
+def test_copies_of_a_small_source_span_the_curriculum(spark):
+    rows = [(i, "w " * 5, "a") for i in range(3)] + [(10, None, "a")] + [(100 + i, "w " * 50, "b") for i in range(40)]
+    plan = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect() if r.source_size == 15]
+    at = sorted(x for r in plan for x in r.positions)
+    assert len(at) == 9 and at[0] == 0 and at[-1] > 0.8 and {len(r.positions) for r in plan} == {0, 3}
+
+
+def test_mix_keeps_columns_and_prefixes(spark):
+    d = spark.createDataFrame([(1, " a\tb  c ", "x", 7, 8, 9), (2, "d " * 9, "y", 7, 8, 9)], "doc_id int, text string, source string, __copy int, row int, position int")
+    out = mixing.apply(d, mixing.mix(d))
+    assert out.columns == d.columns and {tuple(r)[3:] for r in out.collect()} == {(7, 8, 9)}
+    assert all((" a\tb  c " if r.doc_id == 1 else "d " * 9).startswith(r.text) for r in out.collect())
+
+
 def test_mix_applies_repeats_and_parts(spark):
     d = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "g", "y", 2), (None, None, "y", 3), (2, "g h", "y", 4)], "doc_id bigint, text string, source string, id int")
     m = mixing.mix(d)
