@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words
-from tessitura.llm.common import ship, staged, table
+from tessitura.llm.common import packed, ship, staged, table
 from tessitura.llm.components import components
 
 WORDS, SLOTS, ROWS, THRESHOLD = 5, 64, 4, 0.8
@@ -261,9 +261,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = components(rest(members, bag, threshold), "near-rest-links")
     label = staged(_composed(label, more), "near-labels")
-    d = ids.join(label, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
-    c = d.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return d.join(c, "class").select(F.col("id").alias(id_col), "node", "class", "class_id", "class_size")
+    return _by_document(staged(ids, "near-ids"), label).select(F.col("id").alias(id_col), "node", "class", "class_id", "class_size")
+
+
+#: A key that more than one row in so many has is joined by broadcast: fewer than so many keys can be as common.
+HOT = 1_000
+
+
+def _spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to facts, one row for each key with the number n of rows that have it. Rows of a common key stay where
+    they are and its fact is broadcast, less than HOT facts in all; the rest is an ordinary join."""
+    hot = facts.where(F.col("n") * HOT > total)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(F.col("n") * HOT <= total), key))
+
+
+def _by_document(ids: DataFrame, label: DataFrame) -> DataFrame:
+    """ids (id, node) with class, class_id and class_size. Sizes and least ids are counted by text, then, over the texts
+    that have a link, by class; no join sees the rows of a class in one task."""
+    texts = staged(ids.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")), "near-texts")
+    # label leaves out nodes that are their own label
+    linked = label.unionByName(label.select(F.col("label").alias("node"), "label").distinct()).distinct()
+    linked = staged(texts.join(linked, "node").withColumnRenamed("label", "class"), "near-linked")
+    c = staged(linked.groupBy("class").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n")), "near-sizes")
+    found = _spread(linked.select("node", "class", F.col("n").alias("copies")), c, "class", linked.count()).drop("n").withColumnRenamed("copies", "n")
+    alone = texts.join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("class"), F.col("low").alias("class_id"), F.col("n").alias("class_size"), "n")
+    facts = staged(found.select(alone.columns).unionByName(alone), "near-facts")
+    return _spread(ids, facts, "node", ids.count()).drop("n")
 
 
 def _composed(label: DataFrame, more: DataFrame) -> DataFrame:
@@ -277,18 +301,20 @@ def _composed(label: DataFrame, more: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one document of each class: the one with the class id, or one of the rows that repeat
-    it. All columns are kept."""
+    it. All columns are kept, whatever their names."""
     c = staged(classes(docs, id_col, text, threshold).where("class_size > 1"), "near-classes")
-    own = F.col(id_col).eqNullSafe(F.col("class_id"))
-    d = docs.withColumn("__n", node(text))
-    gone = staged(c.where(~own).select(F.col(id_col).alias("__id"), F.col("node").alias("__node")).distinct(), "near-gone")
+    c = c.withColumnRenamed(id_col, "id").withColumn("own", F.col("id").eqNullSafe(F.col("class_id")))
+    d = packed(docs, id=docs[id_col], node=node(text))
+    gone = staged(c.where("not own").select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")).distinct(), "near-gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    d = d.join(few, d[id_col].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__node")), "left_anti")
-    again = c.where(own).groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    again = staged(c.where(own).join(again, "class", "left_semi").select(F.col("node").alias("__n"), F.col("class").alias("__class")).distinct(), "near-again")
+    d = d.join(few, d["id"].eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")), "left_anti")
+    # rows of one class that share the class id: of the least text among them one row stays
+    again = c.where("own").groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    again = staged(c.where("own").select("class", "node").distinct().join(again, "class").select("node", (F.col("node") == F.col("first")).alias("stays")), "near-again")
     if again.count():
-        d = d.join(again, "__n", "left_anti").unionByName(d.join(again, "__n").dropDuplicates(["__class"]).drop("__class"))
-    return d.drop("__n")
+        one = d.join(again.where("stays"), "node").groupBy("node").agg(F.first("row").alias("row"))
+        d = d.join(again, "node", "left_anti").select("row").unionByName(one.select("row"))
+    return d.select(*(F.col(f"row.`{x}`").alias(x) for x in docs.columns))
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,20 @@ def test_classes_equal_brute_force(spark):
     assert bagminhash.classes(d.where("false")).count() == 0
 
 
+def test_kept_with_repeated_and_null_ids(spark):
+    many = "a text of some words that all these rows have in common"
+    rows = [(1, many, 9, 9), (1, many, 9, 9), (1, many + " x", 9, 9), (2, "quite another text of more than five words", 9, 9), (None, "null one text with six words", 9, 9), (None, "null one text with six words", 9, 9), (1, "alone", 9, 9)]
+    rows += [(100 + i, many, 9, 9) for i in range(3000)] + [(5000 + i, f"text number {i} of its own and no other", 9, 9) for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, node int, __n int").repartition(6)
+    got = bagminhash.kept(d)
+    assert got.columns == d.columns
+    texts = [(r.doc_id, r.text, r.node, r["__n"]) for r in got.collect()]
+    alone = [r for r in texts if r[0] is None or r[0] >= 5000 or r[1] in ("alone", rows[3][1])]
+    assert len(alone) == 53 and len(texts) == 54 and {r[2:] for r in texts} == {(9, 9)}
+    c = {r.doc_id: (r.class_id, r.class_size) for r in bagminhash.classes(d).collect()}
+    assert c[105] == (1, 3003) and c[None] == (None, 2) and c[5001] == (5001, 1)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(200, 300), (300, 250)]
     d = spark.createDataFrame(edges, "u bigint, v bigint")
