@@ -38,6 +38,40 @@ def truncated_bits(n: Column, most: Column) -> Column:
     return F.when(n < spare, width - 1).otherwise(width)
 
 
+def truncated_code(n: Column, most: Column) -> Column:
+    """struct(code, bits) of the truncated binary code of n in 0..most: the lower numbers take a bit less."""
+    width = F.length(F.bin(most))
+    spare = F.expr("1L") * F.pow(F.lit(2.0), width).cast("long") - most - 1
+    return F.struct(F.when(n < spare, n).otherwise(n + spare).alias("code"), F.when(n < spare, width - 1).otherwise(width).alias("bits"))
+
+
+def from_truncated(code: Column, bits: Column, most: Column) -> Column:
+    """The number of such a code."""
+    width = F.length(F.bin(most))
+    return F.when(bits < width, code).otherwise(code - (F.pow(F.lit(2.0), width).cast("long") - most - 1))
+
+
+def field(data: Column, at: int, width: int) -> Column:
+    """`width` bits (up to 63) of a binary value from bit `at` on, the most significant first."""
+    first, last = at // 8, (at + width - 1) // 8
+    word = F.conv(F.hex(F.substring(data, first + 1, last - first + 1)), 16, 10).cast("long")
+    return F.shiftright(word, (last + 1) * 8 - at - width).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def enumerative_set(rank: Column, ones: Column, size: int) -> Column:
+    """The 0/1 array of that size and number of ones with that rank: from the top, a position is in the set if the rank
+    reaches its binomial."""
+    table = F.array(*(F.array(*(F.lit(comb(n, k)).cast("long") for k in range(size + 1))) for n in range(size)))
+    start = F.struct(rank.cast("long").alias("rank"), ones.cast("int").alias("k"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, i: Column) -> Column:
+        c = F.element_at(F.element_at(table, i + 1), a["k"] + 1)
+        hit = (a["k"] > 0) & (a["rank"] >= c)
+        return F.struct(F.when(hit, a["rank"] - c).otherwise(a["rank"]).alias("rank"), (a["k"] - hit.cast("int")).alias("k"), F.concat(F.array(hit.cast("int")), a["out"]).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(size - 1), F.lit(0), F.lit(-1)), start, step, lambda a: a["out"])
+
+
 def enumerative_index(bits: Column, size: int) -> Column:
     """The rank of a set of positions (a 0/1 array of that size) among all with as many ones: the sum over ones of the
     binomial of position and number of ones up to it. Binomials come from Pascal's rule."""

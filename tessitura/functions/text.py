@@ -46,6 +46,15 @@ def inside(base: Column, path: Column) -> Column:
     return (path == base) | F.startswith(path, F.concat(base, F.lit("/")))
 
 
+def contained(base: Column, path: Column) -> Column:
+    """A package-relative path below its base, null for one that isn't valid or leaves it."""
+    return F.when(path_ok(path), F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), path))
+
+
+def all_digits(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
+
+
 def is_uuid(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
 
@@ -68,6 +77,11 @@ def target_name(number: Column, title: Column, extension: Column) -> Column:
     return F.concat(F.format_string("%02d - ", number), path_component(title), F.lit("."), extension)
 
 
+def json_text(c: Column) -> Column:
+    """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
+    return F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', ""))
+
+
 def url_token(secret: Column) -> Column:
     """Unpadded URL-safe base 64."""
     return F.rtrim(F.translate(F.base64(secret), "+/", "-_"), F.lit("="))

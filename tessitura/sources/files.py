@@ -18,14 +18,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions import media
+from tessitura.functions.levels import cue_sample
 from tessitura.operators import documents
+from tessitura.operators.codec import Reader, Writer
 
-# The package suffix and the largest manifest; limits of tags and pictures; magic words of the formats.
+# The package suffix and the largest manifest; limits of tags and pictures; magic words of the formats;
+# sample rates by their code; extensions of sound and pictures.
 SUFFIX, MANIFEST_NAME, MANIFEST_BYTES = ".mpack", "manifest.json", 16 << 20
 KEY_BYTES, VALUE_BYTES, TAGS, PICTURE_BYTES = 256, 1 << 20, 4096, 32 << 20
 FLAC_MAGIC, APE_MAGIC, STREAM_MAGIC = b"fLaC", b"APETAGEX", b"MPCK"
 RATES = (44100, 48000, 37800, 32000)
 AUDIO = ("flac", "wav", "ogg", "mp3", "m4a")
+#: Of a cue sheet's commands in a track.
+CUE_KEYS = {"TITLE": "Title", "PERFORMER": "Artist", "SONGWRITER": "Songwriter", "ISRC": "ISRC"}
 PICTURES = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
 
 
@@ -313,8 +318,10 @@ def stream_blocks(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         at += size
 
 
-def block(key: str, payload: bytes, with_crc: bool = False) -> bytes:
-    payload = zlib.crc32(payload).to_bytes(4, "big") + payload if with_crc else payload
+def block(key: str, payload: bytes, with_crc: bool = False, least: int = 0) -> bytes:
+    """A block; with a checksum before its payload, and zeros after it up to `least` bytes of checksum and payload."""
+    checksum = zlib.crc32(payload).to_bytes(4, "big") if with_crc else b""
+    payload = (checksum + payload).ljust(least, b"\0")
     for width in range(1, 10):  # the size counts its own bytes
         size = to_varint(2 + width + len(payload))
         if len(size) == width:
@@ -341,8 +348,143 @@ def header_payload(samples: int, silence: int, rate: int, bands: int, channels:
 
 
 def gains(payload: bytes) -> dict:
-    """Of an RG block, in 1/256 dB."""
-    return dict(zip(("title_gain", "title_peak", "album_gain", "album_peak"), struct.unpack_from(">hHhH", payload, 1)))
+    """Of an RG block, in 1/256 dB; nothing where its version is unknown."""
+    return dict(zip(("title_gain", "title_peak", "album_gain", "album_peak"), struct.unpack_from(">hHhH", payload, 1))) if payload[0] == 1 else {}
+
+
+def gain_payload(title_gain: int = 0, title_peak: int = 0, album_gain: int = 0, album_peak: int = 0) -> bytes:
+    return struct.pack(">BhHhH", 1, title_gain, title_peak, album_gain, album_peak)
+
+
+def encoder_info(payload: bytes) -> dict:
+    """Of an EI block: profile in eighths, whether noise is substituted, and the packed version."""
+    return {"profile": (payload[0] >> 1) / 8, "noise": bool(payload[0] & 1), "version": int.from_bytes(payload[1:4], "big") << 8}
+
+
+def encoder_payload(profile: float, noise: bool, major: int, minor: int, build: int) -> bytes:
+    return bytes([int(profile * 8 + 0.5) << 1 | noise, major, minor, build])
+
+
+def seek_payload(offsets: list[int], power: int) -> bytes:
+    """An ST block: number of entries, power of two of frames between them, the first two offsets, then second differences
+    with their sign in the low bit."""
+    w = Writer()
+    for b in to_varint(len(offsets)):
+        w.put(b, 8)
+    w.put(power, 4)
+    for o in offsets[:2]:
+        for b in to_varint(o):
+            w.put(b, 8)
+    for i in range(2, len(offsets)):
+        d = offsets[i] - 2 * offsets[i - 1] + offsets[i - 2]
+        w.golomb(-2 * d + 1 if d < 0 else 2 * d, 12)
+    return w.data()
+
+
+def seek_offsets(payload: bytes, most: int = 65536) -> tuple[list[int], int]:
+    """Offsets and power of an ST block. A table of more than `most` entries is thinned by powers of two."""
+    r = Reader(payload)
+
+    def number() -> int:
+        n = 0
+        while (b := r.get(8)) > 127:
+            n = n << 7 | b & 127
+        return n << 7 | b
+
+    size, power = number(), r.get(4)
+    out = [number() for _ in range(min(size, 2))]
+    while len(out) < size:
+        code = r.golomb(12)
+        out.append((-(code >> 1) if code & 1 else code >> 1) + 2 * out[-1] - out[-2])
+    thin = 0
+    while size > most << thin:
+        thin += 1
+    return out[:: 1 << thin], power + thin
+
+
+# Samples of a frame, and what the older stream's last frame lacks where it isn't exact.
+FRAME_SAMPLES, SYNTH_DELAY, OLD_MAGIC = 1152, 481, b"MP+"
+
+
+def old_header(data: bytes) -> dict:
+    """Of a stream before version 8: one header of 32-bit words, each with its bytes reversed. Gains are converted to steps of
+    1/256 dB."""
+    at = skip_id3(data)
+    if data[at : at + 3] != OLD_MAGIC or data[at + 3] & 15 != 7:
+        raise ValueError("no stream of version 7")
+    words = data[at + 4 : at + 28]
+    if len(words) < 24:
+        raise ValueError("header ends early")
+    r = Reader(b"".join(words[i : i + 4][::-1] for i in range(0, 24, 4)))
+    frames = r.get(32)
+    r.get(1)
+    out = {"version": 7, "mid_side": bool(r.get(1)), "bands": r.get(6), "profile": r.get(4)}
+    r.get(2)
+    out["rate"] = RATES[r.get(2)]
+    r.get(16)
+    raw = {k: r.get(16) for k in ("title_gain", "title_peak", "album_gain", "album_peak")}
+    for k, v in raw.items():
+        if v and k.endswith("gain"):
+            v = int((64.82 - (v - 65536 if v > 32767 else v) / 100) * 256 + 0.5)
+            v = v if 0 <= v < 1 << 16 else 0
+        elif v:
+            v = int(np.log10(v) * 20 * 256 + 0.5)
+        out[k] = v
+    exact, last = r.get(1), r.get(11)
+    out["exact"], out["fast_seek"] = bool(exact), bool(r.get(1))
+    r.get(19)
+    out["encoder"] = r.get(8)
+    if last > FRAME_SAMPLES:
+        raise ValueError("last frame is too long")
+    out["samples"] = frames * FRAME_SAMPLES - (FRAME_SAMPLES - (last or FRAME_SAMPLES) if exact else SYNTH_DELAY)
+    out["channels"], out["block_power"] = 2, 0
+    if not 0 < out["bands"] < 32:
+        raise ValueError("header is out of bounds")
+    return out
+
+
+def old_header_data(frames: int, bands: int, profile: int, rate: int, last: int, encoder: int, mid_side: bool = True, gains: tuple[int, int, int, int] = (0, 0, 0, 0)) -> bytes:
+    """The same header, exact to the sample."""
+    w = Writer()
+    for v, n in ((frames, 32), (0, 1), (mid_side, 1), (bands, 6), (profile, 4), (0, 2), (RATES.index(rate), 2), (0, 16), *((g, 16) for g in gains), (1, 1), (last, 11), (0, 1), (0, 19), (encoder, 8), (0, 24)):
+        w.put(int(v), n)
+    words = w.data()
+    return OLD_MAGIC + bytes([7]) + b"".join(words[i : i + 4][::-1] for i in range(0, len(words), 4))
+
+
+HEADERS = "path string, version int, samples bigint, silence bigint, rate int, bands int, channels int, mid_side boolean, block_power int, profile double, encoder int, title_gain int, title_peak int, album_gain int, album_peak int, bitrate double, blocks int, error string"
+
+
+def stream_headers(files: DataFrame) -> DataFrame:
+    """One row for each stream file of either version: its header, gains, encoder and average bit rate, its number of sound
+    blocks, and `error` where a block or the header is broken, or sound comes before the header."""
+    names = [x.split()[0] for x in HEADERS.split(", ")][1:-1]
+
+    def work(data: bytes) -> Iterator[dict]:
+        at = skip_id3(data)
+        if data[at : at + 3] == OLD_MAGIC:
+            out = old_header(data) | {"silence": 0, "blocks": 0}
+        else:
+            out = {"blocks": 0}
+            for key, _, _, payload in stream_blocks(data):
+                if key == "SH":
+                    out |= stream_header(payload)
+                elif key == "RG":
+                    out |= gains(payload)
+                elif key == "EI":
+                    info = encoder_info(payload)
+                    out |= {"profile": info["profile"], "encoder": info["version"]}
+                elif key == "AP":
+                    if "samples" not in out:
+                        raise ValueError("sound before the header")
+                    out["blocks"] += 1
+            if "samples" not in out:
+                raise ValueError("no header")
+        played = out["samples"] - out["silence"]
+        out["bitrate"] = (len(data) - at) * 8.0 * out["rate"] / played if played > 0 else 0.0
+        yield out
+
+    return _per_file(files, HEADERS, work, lambda path, i, t, error: (path, *((t or {}).get(n) for n in names), error))
 
 
 def blocks(files: DataFrame) -> DataFrame:
@@ -350,6 +492,59 @@ def blocks(files: DataFrame) -> DataFrame:
                      lambda path, i, t, error: (path, i, *(t or (None, None, None, None)), error))
 
 
+def cut_stream(data: bytes, first: int, last: int) -> bytes:
+    """Samples first to last (exclusive; 0: the end) of a stream of version 8, cut at whole blocks: the header tells how many
+    samples of the first block are silence and how many there are in all. Gains are dropped, the encoder is kept."""
+    parts = list(stream_blocks(data))
+    h = stream_header(next(p for k, *_, p in parts if k == "SH"))
+    last, first = (last + h["silence"]) if last else h["samples"], first + h["silence"]
+    if not 0 <= first < last <= h["samples"]:
+        raise ValueError("samples out of the stream")
+    size = FRAME_SAMPLES << h["block_power"]
+    start = first // size
+    sound = [(k, p) for k, *_, p in parts if k == "AP"][start : -(-last // size)]
+    head = header_payload(last - start * size, first % size, h["rate"], h["bands"], h["channels"], h["mid_side"], h["block_power"])
+    out = STREAM_MAGIC + block("SH", head, True) + block("RG", gain_payload()) + b"".join(block(k, p) for k, *_, p in parts if k == "EI")
+    offsets = []
+    for k, p in sound:
+        offsets.append(len(out))
+        out += block(k, p)
+    return out + block("ST", seek_payload(offsets, 0)) + block("SE", b"")
+
+
+def tagged(files: DataFrame, tags_: DataFrame) -> DataFrame:
+    """(path, content, sha256): files (path, content) with the APE tag of their rows in tags_ (path, pos, key, value)."""
+    t = tags_.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "value"))).alias("tags"))
+
+    @F.pandas_udf("binary")
+    def run(content: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([with_ape_tags(bytes(c), [(x["key"], x["value"]) for x in r]) for c, r in zip(content, rows)])
+
+    d = files.join(t, "path").select("path", run("content", "tags").alias("content"))
+    return d.withColumn("sha256", F.sha2("content", 256))
+
+
+def write_files(files: DataFrame, path: str = "path", content: str = "content") -> None:
+    """Each row's bytes to its path, by the task that has them and through Arrow's file systems. A file is written beside its
+    place and moved there, so a task that runs again leaves whole files."""
+    out = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            for p, c in zip(b["path"], b["content"]):
+                system, at = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.part{zlib.crc32(bytes(c))}"
+                with system.open_output_stream(part) as f:
+                    f.write(bytes(c))
+                system.move(part, at)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    out.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+
 # ---- chapters ----------------------------------------------------------------
 
 def ini_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -373,6 +568,25 @@ def chapters(entries: DataFrame) -> DataFrame:
     return d.groupBy("file", F.col("section").cast("long").alias("sample")).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("tags"))
 
 
+def cue_entries(lines: DataFrame, rate: int) -> DataFrame:
+    """(file, track, sample, tags) of cue sheets: a track's place in minutes, seconds and 75ths, its number of the sheet's
+    tracks, and the values of its commands."""
+    t = F.trim("text")
+    word = F.upper(F.regexp_extract(t, r"^(\S+)", 1))
+    d = lines.withColumns({"word": word, "rest": F.trim(F.regexp_replace(t, r"^\S+", ""))})
+    number = F.when(F.col("word") == "TRACK", F.regexp_extract("rest", r"^([0-9]+)", 1).try_cast("int"))
+    d = d.withColumn("track", F.last(number, ignorenulls=True).over(W.partitionBy("file").orderBy("line"))).where("track is not null")
+    time = lambda i: F.regexp_extract("rest", r"^01\s+([0-9]+):([0-9]{2}):([0-9]{2})$", i).try_cast("long")
+    frame = F.when(F.col("word") == "INDEX", (time(1) * 60 + time(2)) * 75 + time(3))
+    value = F.regexp_replace("rest", '^"(.*)"$', "$1")
+    pair = F.when(F.col("word").isin(*CUE_KEYS), F.struct(F.element_at(F.create_map(*(F.lit(x) for kv in CUE_KEYS.items() for x in kv)), F.col("word")).alias("key"), value.alias("value")))
+    g = d.groupBy("file", "track").agg(F.max(frame).alias("frame"), F.array_sort(F.collect_list(pair)).alias("tags"))
+    n = F.count("*").over(W.partitionBy("file"))
+    place = F.row_number().over(W.partitionBy("file").orderBy("track"))
+    g = g.withColumn("tags", F.concat(F.array(F.struct(F.lit("Track").alias("key"), F.concat_ws("/", place, n).alias("value"))), "tags"))
+    return g.select("file", "track", cue_sample(F.col("frame"), F.lit(rate)).alias("sample"), "tags")
+
+
 def chapter_lines(rows: DataFrame) -> DataFrame:
     """The text of chapters, one line a row in order, for a text sink."""
     line = F.concat(F.array(F.concat(F.lit("["), "sample", F.lit("]"))), F.transform("tags", lambda t: F.concat_ws("=", t["key"], t["value"])))

@@ -154,3 +154,90 @@ def test_ini_chapters(spark, tmp_path):
 def test_ini_lines_count_from_one(spark, tmp_path):
     (tmp_path / "a.ini").write_text("x\r\n\n[1]\n")
     assert sorted((r.line, r.text) for r in files.ini_lines(spark, str(tmp_path)).collect()) == [(1, "x"), (2, ""), (3, "[1]"), (4, "")]
+
+
+def _stream(n=5, power=2):
+    ap = b"".join(files.block("AP", bytes([i]) * (100 + i)) for i in range(n))
+    return files.STREAM_MAGIC + files.block("SH", files.header_payload(n * 1152 << power, 100, 44100, 28, 2, True, power), True) + files.block("RG", files.gain_payload(-300, 20000, 5, 30000)) + files.block("EI", files.encoder_payload(10.5, True, 1, 30, 1)) + ap + files.block("SE", b"")
+
+
+def test_stream_headers_of_both_versions(spark):
+    old = files.old_header_data(100, 27, 10, 48000, 500, 115, True, (300, 20000, 65236, 0)) + bytes(5000)
+    early = files.STREAM_MAGIC + files.block("AP", b"x")
+    data = {"new": _stream(), "old": old, "early": early, "crc": _stream().replace(b"\x1c", b"\x1d", 1), "short": old[:20], "junk": b"RIFF"}
+    rows = {r.path: r for r in files.stream_headers(spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "path string, content binary")).collect()}
+    n, o = rows["new"], rows["old"]
+    assert (n.version, n.samples, n.silence, n.rate, n.bands, n.blocks, n.title_gain, n.album_peak, n.profile, n.encoder, n.error) == (8, 23040, 100, 44100, 28, 5, -300, 30000, 10.5, 1 << 24 | 30 << 16 | 1 << 8, None)
+    assert (o.version, o.samples, o.rate, o.bands, o.encoder, o.album_peak) == (7, 99 * 1152 + 500, 48000, 27, 115, 0)
+    assert (o.title_gain, o.title_peak, o.album_gain) == (int((64.82 - 3) * 256 + 0.5), int(np.log10(20000) * 5120 + 0.5), int((64.82 + 3) * 256 + 0.5))
+    assert o.bitrate == len(old) * 8.0 * 48000 / o.samples
+    assert all(rows[k].error for k in ("early", "crc", "short", "junk"))
+
+
+@pytest.mark.parametrize("offsets", [[], [7], [7, 300], [50, 900, 1800, 2500, 9000, 9001, 10**7]])
+def test_seek_tables_round_trip(offsets):
+    assert files.seek_offsets(files.seek_payload(offsets, 3)) == (offsets, 3)
+
+
+def test_long_seek_tables_are_thinned():
+    offsets = [i * 1000 + i % 7 for i in range(1000)]
+    assert files.seek_offsets(files.seek_payload(offsets, 1), 300) == (offsets[::4], 3)
+
+
+def test_blocks_are_padded():
+    b = files.block("ZZ", b"abc", True, 20)
+    assert len(b) == 3 + 20 and b.endswith(b"abc" + bytes(13)) and list(files.stream_blocks(files.STREAM_MAGIC + b))[0][2] == 23
+
+
+def test_cut_keeps_whole_blocks():
+    data = _stream(5, 0)
+    out = files.cut_stream(data, 1152 + 10, 1152 * 3)
+    parts = list(files.stream_blocks(out))
+    h = files.stream_header(parts[0][3])
+    # samples count from the end of the leading silence of 100
+    assert [k for k, *_ in parts] == ["SH", "RG", "EI", "AP", "AP", "AP", "ST", "SE"] and (h["silence"], h["samples"]) == (110, 1152 * 2 + 100)
+    assert [p[0] for k, *_, p in parts if k == "AP"] == [1, 2, 3] and files.seek_offsets(parts[-2][3])[0] == [at for k, at, *_ in parts if k == "AP"]
+    with pytest.raises(ValueError):
+        files.cut_stream(data, 0, 10**6)
+
+
+def test_cue_sheets(spark, tmp_path):
+    (tmp_path / "a.cue").write_text('PERFORMER "All"\nFILE "x.wav" WAVE\n  TRACK 01 AUDIO\n    TITLE "One"\n    INDEX 00 00:00:00\n    INDEX 01 00:02:37\n  TRACK 02 AUDIO\n    PERFORMER "B"\n    INDEX 01 01:00:00\n')
+    rows = files.cue_entries(files.ini_lines(spark, str(tmp_path)), 44100).orderBy("track").collect()
+    assert [(r.sample, [(t.key, t.value) for t in r.tags]) for r in rows] == [(44100 * 187 // 75, [("Track", "1/2"), ("Title", "One")]), (44100 * 60, [("Track", "2/2"), ("Artist", "B")])]
+
+
+def test_chapters_round_trip(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "c.ini").write_text("[0]\ntitle=One\n[44100]\nartist=B\ntitle=Two\n")
+    c = files.chapters(files.ini_entries(files.ini_lines(spark, str(tmp_path / "i"))))
+    files.chapter_lines(c).coalesce(1).write.text(str(tmp_path / "o"))
+    again = files.chapters(files.ini_entries(files.ini_lines(spark, str(tmp_path / "o"))))
+    assert again.drop("file").collect() and sorted(map(str, again.drop("file").collect())) == sorted(map(str, c.drop("file").collect()))
+
+
+def test_tag_and_file_sinks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(f"{tmp_path}/p{i}/t.mpc", bytearray(b"body%d" % i)) for i in range(6)], "path string, content binary")
+    t = d.select("path", F.posexplode(F.array(F.struct(F.lit("Title").alias("key"), F.col("path").alias("value")), F.struct(F.lit("Artist").alias("key"), F.lit("A").alias("value")))).alias("pos", "x")).select("path", "pos", "x.*")
+    out = files.tagged(d, t)
+    files.write_files(out)
+    got = files.tags(files.binaries(spark, str(tmp_path), "*.mpc"))
+    assert sorted((r.key, r.value) for r in got.collect()) == sorted([("Title", r.path) for r in d.collect()] + [("Artist", "A")] * 6)
+    read = files.binaries(spark, str(tmp_path), "*.mpc").select(F.sha2("content", 256).alias("s")).collect()
+    assert sorted(r.s for r in read) == sorted(r.sha256 for r in out.collect())
+
+
+def test_float_samples_and_clipping(spark):
+    x = np.array([[1.5, -1.5], [0.25, -0.25]])
+    assert files.wav(files.to_wav(x, 8000, 32))[1].tolist() == x.tolist()
+    assert np.allclose(files.wav(files.to_wav(x, 8000, 16))[1], [[32767 / 32768, -1], [0.25, -0.25]])
+    f = files.pcm_frames(spark.createDataFrame([("a", bytearray(files.to_wav(x, 8000, 32)))], "path string, content binary")).first()
+    assert (f.m, f.s) == ([0.0, 0.0], [1.5, 0.25])
+
+
+def test_import_folder_is_classified(spark):
+    names = ["CD 2/03 - Air.flac", "cover.jpg", "01. One.wav", "booklet.pdf", "x.lrc", "notes.txt"]
+    rows = files.classified(spark.createDataFrame([("/in/" + n,) for n in names], "path string")).collect()
+    assert [(r.kind, r.disc, r.number, r.title) for r in rows] == [("audio", 2, 3, "Air"), ("artwork", None, None, None), ("audio", 1, 1, "One"), ("booklet", None, None, None), ("lyrics", None, None, None), ("extra", None, None, None)]
