@@ -179,8 +179,21 @@ def _near(a: bytes, b: bytes, threshold: float) -> bool:
     return min(len(x), len(y)) >= threshold * max(len(x), len(y)) and similarity(x, y) >= threshold
 
 
+#: A key that more than one row in so many has is hot: there are fewer than so many such keys. Hot keys' rows stay where they
+#: are where what they meet is small, and go to SALTS places where it isn't.
+HOT, SALTS = 1_000, 64
+
+
+def _spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to facts, one row of fixed size for each key, with the number n of rows that have it. Facts of hot keys,
+    less than HOT in all, are broadcast; the rest is an ordinary join."""
+    hot = facts.where(F.col("n") * HOT > total)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(F.col("n") * HOT <= total), key))
+
+
 def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """Of (u, v) pairs those whose bags are similar enough."""
+    """Of (u, v) pairs those whose bags are similar enough. No two have the same v often; a u in many of them is salted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,21 +201,28 @@ def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
             out = pa.Table.from_batches([b.select(["u", "v"])]).filter(pa.array(keep, pa.bool_()))
             yield from out.to_batches()
 
-    p = pairs.join(bag.select(F.col("node").alias("v"), F.col("bag").alias("y")), "v").join(bag.select(F.col("node").alias("u"), F.col("bag").alias("x")), "u")
+    pairs = staged(pairs, "near-pairs")
+    hot = F.broadcast(pairs.groupBy("u").count().where(F.col("count") * HOT > pairs.count()).select("u", F.lit(SALTS).alias("salts")))
+    left = bag.select(F.col("node").alias("u"), F.col("bag").alias("x")).join(hot, "u", "left")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    p = pairs.join(hot, "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    p = p.join(bag.select(F.col("node").alias("v"), F.col("bag").alias("y")), "v").join(left, ["u", "salt"])
     return p.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
 def rest(members: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Links (u, v) between labels inside buckets that hold several. members: (key, node, lead, label)."""
+    members = staged(members, "near-labelled")
     by = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2").drop("labels", "n")
-    m = members.join(mixed, "key").join(bag.select("node", F.length("bag").alias("size")), "node")
+    mixed = by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2").drop("labels")
+    m = _spread(members, staged(mixed, "near-mixed"), "key", members.count()).drop("n").join(bag.select("node", F.length("bag").alias("size")), "node")
     m = staged(m.withColumn("minor", F.col("label") != F.col("main")), "near-rest")
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("key").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias(name))
+    def blocks(of: F.Column) -> F.Column:
+        return F.greatest(F.ceil(F.sum(F.when(of, F.col("size"))) / BLOCK_BYTES), F.ceil(F.count_if(of) / BLOCK_ROWS)).cast("int")
 
-    m = m.join(blocks(m.where("minor"), "left"), "key").join(blocks(m, "right"), "key")
+    sizes = m.groupBy("key").agg(blocks(F.col("minor")).alias("left"), blocks(F.lit(True)).alias("right"), F.count("*").alias("n"))
+    m = _spread(m, staged(sizes, "near-blocks"), "key", m.count()).drop("n")
     m = m.withColumns({"hl": F.pmod(F.xxhash64("node"), F.col("left")), "hr": F.pmod(F.xxhash64("node", F.lit(1)), F.col("right"))})
     left = m.where("minor").withColumn("hr", F.explode(F.expr("sequence(0L, right - 1)"))).withColumn("side", F.lit(True))
     right = m.withColumn("hl", F.explode(F.expr("sequence(0L, left - 1)"))).withColumn("side", F.lit(False))
@@ -250,9 +270,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     d = docs.select(F.col(id_col).alias("id"), node(text).alias("node"), F.col(text).alias("text"))
     ids = d.select("id", "node")
     k = staged(keys(d).groupBy("node").agg(F.first("bands").alias("bands")), "near-bands")
+    total = k.where("bands is not null").count() * BANDS
     k = k.select("node", F.explode("bands").alias("key"))
-    buckets = k.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").drop("n")
-    members = staged(k.join(buckets, "key"), "near-members")
+    buckets = staged(k.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "near-buckets")
+    members = staged(_spread(k, buckets, "key", total).drop("n"), "near-members")
     nodes = staged(members.select("node").distinct(), "near-nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     bag = staged(shingles(d.join(wanted, "node", "left_semi")).groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
@@ -264,18 +285,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     return _by_document(staged(ids, "near-ids"), label).select(F.col("id").alias(id_col), "node", "class", "class_id", "class_size")
 
 
-#: A key that more than one row in so many has is joined by broadcast: fewer than so many keys can be as common.
-HOT = 1_000
-
-
-def _spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to facts, one row for each key with the number n of rows that have it. Rows of a common key stay where
-    they are and its fact is broadcast, less than HOT facts in all; the rest is an ordinary join."""
-    hot = facts.where(F.col("n") * HOT > total)
-    names = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(F.col("n") * HOT <= total), key))
-
-
 def _by_document(ids: DataFrame, label: DataFrame) -> DataFrame:
     """ids (id, node) with class, class_id and class_size. Sizes and least ids are counted by text, then, over the texts
     that have a link, by class; no join sees the rows of a class in one task."""
