@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, personal data, mixing, SentencePiece ids.
 
 Each stage takes what the one before kept; all but the last return the columns of documents. Texts change where a stage
-decides so: personal data is redacted, and the mix repeats documents and shortens the last, partial repeat.
+decides so: personal data is redacted, and the mix repeats documents; where a source's words run out inside a document,
+that copy is the unchanged beginning of its text.
 
 Defined results are those of the operators: null texts count as empty, repeated ids keep a row each up to
 near-deduplication, which keeps one document of each class, so ids of different texts may still repeat after it; the mix then
@@ -40,14 +41,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every text."""
-    e = segment.encode(docs, segment.default_model(), n_best=2)
-    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "score", "ids")
+    """SentencePiece ids of every text, the next best segmentations as edits of them, and the text that the ids give back.
+    A document that the mix repeats has a row for each copy."""
+    e = segment.decode(segment.encode(docs, segment.default_model()), segment.default_model())
+    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "score", "ids", "alternatives", "decoded")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("sentencepiece", pieces)]
 
-#: No stage but the mix can be said in SQL; tests hold each against a brute-force version.
+#: No stage but the mix can be said in SQL; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
