@@ -184,12 +184,19 @@ def _near(a: bytes, b: bytes, threshold: float) -> bool:
 HOT, SALTS = 1_000, 64
 
 
+def _hot(facts: DataFrame, key: str, total: int) -> list:
+    """The hot keys, less than HOT."""
+    return [r[0] for r in facts.where(F.col("n") * HOT > total).select(key).collect()]
+
+
 def _spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to facts, one row of fixed size for each key, with the number n of rows that have it. Facts of hot keys,
-    less than HOT in all, are broadcast; the rest is an ordinary join."""
-    hot = facts.where(F.col("n") * HOT > total)
-    names = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(F.col("n") * HOT <= total), key))
+    """rows joined to facts, one row of fixed size for each key, with the number n of rows that have it. Facts of hot keys are
+    broadcast; the rest is an ordinary join."""
+    hot = _hot(facts, key, total)
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key))
 
 
 def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
@@ -202,10 +209,10 @@ def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
             yield from out.to_batches()
 
     pairs = staged(pairs, "near-pairs")
-    hot = F.broadcast(pairs.groupBy("u").count().where(F.col("count") * HOT > pairs.count()).select("u", F.lit(SALTS).alias("salts")))
-    left = bag.select(F.col("node").alias("u"), F.col("bag").alias("x")).join(hot, "u", "left")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    p = pairs.join(hot, "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    hot = _hot(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", pairs.count())
+    salts = F.when(F.col("u").isin(hot), SALTS).otherwise(1) if hot else F.lit(1)
+    left = bag.select(F.col("node").alias("u"), F.col("bag").alias("x")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    p = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), salts).cast("int"))
     p = p.join(bag.select(F.col("node").alias("v"), F.col("bag").alias("y")), "v").join(left, ["u", "salt"])
     return p.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
 
