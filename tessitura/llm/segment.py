@@ -5,6 +5,11 @@ without a piece an edge with a score below all others, written in byte pieces (o
 Viterbi pass gives the best score from the start to each node; going back from the end, A-star search uses those
 scores as its estimate of the rest, which is exact, so it settles the N best paths in order and expands little else.
 
+Scores are the model's own. Those of a unigram model are log probabilities, and the best path is its encoding. The
+models at hand are BPE models, whose scores are merge ranks and whose own encoding is no best path but what merging in
+the order of the ranks leaves: there the best path by the sum of ranks is another, longer segmentation of the same text
+(README has the shares). Both decode to the same text.
+
 Where two neighbouring characters stand side by side in no piece of the vocabulary, every path passes between them: the
 lattice of a text is a chain of independent ones, cut there (before a word's space mark, after a line feed, before most
 punctuation). Each distinct one is searched once; the N best segmentations of the text are those of the chain: only the
@@ -208,9 +213,9 @@ _EDIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.in
 _ALTERNATIVE = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))]))
 
 
-def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """(id, ids, score, alternatives): the best segmentation, and the next n_best - 1 as edits of it (at token `at`, n
-    tokens become ids)."""
+    tokens become ids). With `back` also `decoded`, what the ids give back, made in the same pass."""
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -218,9 +223,14 @@ def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id",
         for b in words.chunks(batches, "text"):
             ids, at, scores, others = segmented(b.column("text").to_pylist(), model, n_best)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVE)], ["id", "ids", "score", "alternatives"])
-
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, score double, alternatives {ALTERNATIVES}")
+            out = [b.column("id"), lists, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVE)]
+            if back:
+                sp, _ = load(model)
+                out.append(pa.array([sp.decode(ids[i:j].tolist()) for i, j in zip(at[:-1], at[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    names = ["id", "ids", "score", "alternatives"] + ["decoded"] * back
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, score double, alternatives {ALTERNATIVES}" + ", decoded string" * back)
 
 
 def summary(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
