@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, the next best segmentations as edits of them, and the text that the ids give back.
     A document that the mix repeats has a row for each copy."""
-    e = segment.decode(segment.encode(docs, segment.default_model()), segment.default_model())
+    e = segment.encode(docs, segment.default_model(), back=True)
     return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "score", "ids", "alternatives", "decoded")
 
 
