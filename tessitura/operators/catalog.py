@@ -8,7 +8,7 @@ album, formats of a release) is one grouped join here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +50,17 @@ def visible(status: Column) -> Column:
     return ~status.isin(*HIDDEN)
 
 
-def best_packages(c: Catalog) -> DataFrame:
+def best_of(packages: DataFrame) -> DataFrame:
     """(release_id, package_id, status, path): of a release's packages a visible one first, then the least id."""
     rank = F.struct((F.col("status") == "unavailable").alias("gone"), F.col("id").alias("id"))
-    p = c.packages.where(F.col("release_id").isNotNull()).groupBy("release_id").agg(F.min_by(F.struct("id", "status", "path"), rank).alias("p"))
+    p = packages.where(F.col("release_id").isNotNull()).groupBy("release_id").agg(F.min_by(F.struct("id", "status", "path"), rank).alias("p"))
     return p.select("release_id", F.col("p.id").alias("package_id"), F.col("p.status").alias("status"), F.col("p.path").alias("package_path"))
 
 
+def best_packages(c: Catalog) -> DataFrame:
+    return best_of(c.packages)
+
+
 def visible_releases(c: Catalog) -> DataFrame:
     seen = c.packages.where(visible(F.col("status"))).select(F.col("release_id").alias("id"))
     return c.releases.join(seen, "id", "left_semi")
@@ -123,24 +127,72 @@ def artist_albums(c: Catalog, artist_id: int) -> DataFrame:
     return c.groups.join(mine, "id", "left_semi").join(shown, "id", "left_semi").orderBy("original_date", fold(F.col("title")), "id")
 
 
-def formats(c: Catalog) -> DataFrame:
-    """(release_id, formats): distinct formats in order of their first medium."""
-    f = c.media.where("format is not null").groupBy("release_id", "format").agg(F.min("position").alias("p"))
+def formats(c: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """(release_id, formats): distinct formats in order of their first medium, of all releases or those of ids."""
+    m = c.media if ids is None else c.media.join(ids, "release_id", "left_semi")
+    f = m.where("format is not null").groupBy("release_id", "format").agg(F.min("position").alias("p"))
     f = f.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("p", "format"))).alias("f"))
     return f.select("release_id", F.array_join(F.col("f.format"), ",").alias("formats"))
 
 
 def album_releases(c: Catalog, group_id: int) -> DataFrame:
-    """The releases of an album with track counts, formats and covers; best package, one row a release."""
-    r = visible_releases(c).where(F.col("group_id") == group_id)
-    ids = r.select(F.col("id").alias("release_id"))
-    n = c.media.join(ids, "release_id", "left_semi").join(c.tracks.select("media_id", F.col("id").alias("track_id")), F.col("id") == F.col("media_id"))
+    """The releases of an album with track counts, formats and covers; best package, one row a release. What the album's
+    releases need is looked up by their ids, before it is grouped."""
+    mine = c.releases.where(F.col("group_id") == group_id)
+    ids = mine.select(F.col("id").alias("release_id"))
+    of = lambda d: d.join(ids, "release_id", "left_semi")
+    p = of(c.packages)
+    r = mine.join(p.where(visible(F.col("status"))).select(F.col("release_id").alias("id")), "id", "left_semi")
+    n = of(c.media).join(c.tracks.select("media_id", F.col("id").alias("track_id")), F.col("id") == F.col("media_id"))
     n = n.groupBy("release_id").agg(F.count("*").alias("track_count"))
-    cover = c.assets.where("kind = 'artwork' and role = 'front'").groupBy("release_id").agg(F.min("id").alias("cover_id"))
-    out = r.withColumnRenamed("id", "release_id").join(n, "release_id", "left").join(formats(c), "release_id", "left").join(cover, "release_id", "left").join(best_packages(c), "release_id")
+    cover = of(c.assets.where("kind = 'artwork' and role = 'front'")).groupBy("release_id").agg(F.min("id").alias("cover_id"))
+    out = r.withColumnRenamed("id", "release_id").join(n, "release_id", "left").join(formats(c, ids), "release_id", "left").join(cover, "release_id", "left").join(best_of(p), "release_id")
     return out.select("release_id", "edition", "release_date", F.coalesce("track_count", F.lit(0)).alias("track_count"), "formats", "cover_id", "package_id", "status").orderBy("release_date", "release_id")
 
 
+def group_objects(c: Catalog, groups: DataFrame) -> DataFrame:
+    """(id, album): what a client gets of an album: its fields, absent ones null, and its artists in order."""
+    a = artists_by_group(replace(c, group_artists=c.group_artists.join(groups.select(F.col("id").alias("group_id")), "group_id", "left_semi")))
+    g = groups.join(a.withColumnRenamed("group_id", "id"), "id", "left")
+    none = F.array().cast("array<struct<name:string,role:string>>")
+    return g.select("id", F.struct("id", "title", F.col("release_type").alias("releaseType"), F.col("original_date").alias("originalReleaseDate"), F.coalesce("artists", none).alias("artists")).alias("album"))
+
+
+def album_detail(c: Catalog, group_id: int) -> DataFrame:
+    """One row (album, releases) of an album that exists, with its visible releases by date as nested rows."""
+    album = group_objects(c, c.groups.where(F.col("id") == group_id)).select("album")
+    r = album_releases(c, group_id)
+    r = r.agg(F.array_sort(F.collect_list(F.struct("release_date", "release_id", *(x for x in r.columns if x not in ("release_date", "release_id"))))).alias("releases"))
+    return album.join(F.broadcast(r))  # one row
+
+
+def artist_detail(c: Catalog, artist_id: int) -> DataFrame:
+    """One row (id, name, albums) of an artist that exists, with the visible albums by title."""
+    g = artist_albums(c, artist_id)
+    a = g.agg(F.array_sort(F.collect_list(F.struct(fold(F.col("title")).alias("key"), "id", "title", "release_type", "original_date"))).alias("a"))
+    albums_ = F.transform("a", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["release_type"].alias("releaseType"), x["original_date"].alias("originalReleaseDate")))
+    return c.artists.where(F.col("id") == artist_id).join(F.broadcast(a)).select("id", "name", albums_.alias("albums"))  # one row
+
+
+def track_objects(c: Catalog) -> DataFrame:
+    """(id, media_id, track): what a client gets of each track: its artists in order, loudness where it is measured, and
+    its audio file."""
+    who = c.track_artists.join(c.artists.select(F.col("id").alias("artist_id"), "name"), "artist_id").groupBy(F.col("track_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "name", "role"))).alias("a"))
+    file = c.audio.groupBy(F.col("track_id").alias("id")).agg(F.min(F.struct(F.col("id").alias("audio_id"), "path", "size", "mime")).alias("file"))
+    t = c.tracks.join(who, "id", "left").join(file, "id", "left")
+    none = F.array().cast("array<struct<name:string,role:string>>")
+    people = F.coalesce(F.transform("a", lambda x: F.struct(x["name"].alias("name"), x["role"].alias("role"))), none)
+    audio = F.when(F.col("file").isNotNull(), F.struct(F.col("file.audio_id").alias("id"), F.col("file.size").alias("size"), F.col("file.mime").alias("mimeType"), F.concat(F.lit("/tracks/"), "id", F.lit("/audio")).alias("url")))
+    loud = F.when(F.col("lufs").isNotNull(), F.struct("lufs"))
+    return t.select("id", "media_id", F.struct("id", "number", "title", people.alias("artists"), loud.alias("loudness"), "duration", audio.alias("audio")).alias("track"))
+
+
+def health(c: Catalog, version: str, schema: int) -> DataFrame:
+    """One row: the service is up, in which version, and how much the catalog holds."""
+    n = c.packages.agg(F.count("*").alias("packages"), F.count_if(visible(F.col("status"))).alias("visible"))
+    return n.select(F.lit("ok").alias("status"), F.lit(version).alias("version"), F.lit(schema).alias("schemaVersion"), "packages", "visible")
+
+
 def release_tracks(c: Catalog, release_id: int) -> DataFrame:
     """Flat rows of a release: media by position, tracks by number, each with its audio object."""
     m = c.media.where(F.col("release_id") == release_id).select(F.col("id").alias("media_id"), "disc_number", "position", "format")
@@ -151,8 +203,11 @@ def release_tracks(c: Catalog, release_id: int) -> DataFrame:
 
 def release_detail(c: Catalog, release_id: int) -> DataFrame:
     """One row: header, album artists, media with their tracks and assets as JSON text, absent values left out."""
-    head = visible_releases(c).where(F.col("id") == release_id).withColumnRenamed("id", "release_id").join(best_packages(c), "release_id")
-    head = head.join(c.groups.select(F.col("id").alias("group_id"), F.col("title").alias("album")), "group_id").join(artists_by_group(c), "group_id", "left")
+    p = c.packages.where(F.col("release_id") == release_id)
+    r = c.releases.where(F.col("id") == release_id).join(p.where(visible(F.col("status"))).select(F.col("release_id").alias("id")), "id", "left_semi")
+    head = r.withColumnRenamed("id", "release_id").join(best_of(p), "release_id")
+    own = replace(c, group_artists=c.group_artists.join(r.select("group_id"), "group_id", "left_semi"))
+    head = head.join(c.groups.select(F.col("id").alias("group_id"), F.col("title").alias("album")), "group_id").join(artists_by_group(own), "group_id", "left")
     t = release_tracks(c, release_id).groupBy("media_id", "position", "disc_number", "format").agg(
         F.array_sort(F.collect_list(F.struct("number", "track_id", "title", "duration", "audio_path", "mime"))).alias("tracks"))
     t = t.agg(F.array_sort(F.collect_list(F.struct("position", "media_id", "disc_number", "format", "tracks"))).alias("media"))

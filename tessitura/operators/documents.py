@@ -36,7 +36,7 @@ media array<struct<format:string,position:int,tracks:array<struct<id:string,numb
 RELEASE_TYPES = ("album", "single", "ep", "compilation", "soundtrack", "live-album", "remix-album", "mixtape", "dj-mix", "other")
 ALIASES = {
     "album": ["ALBUM"], "album_artist": ["ALBUMARTIST", "ALBUM ARTIST"], "title": ["TITLE"], "artist": ["ARTIST"],
-    "number": ["TRACKNUMBER", "Track"], "date": ["DATE", "YEAR"], "original_date": ["ORIGINALDATE", "ORIGINAL YEAR"], "genre": ["GENRE"],
+    "number": ["TRACKNUMBER", "Track"], "disc": ["DISCNUMBER", "Disc"], "date": ["DATE", "YEAR"], "original_date": ["ORIGINALDATE", "ORIGINAL YEAR"], "genre": ["GENRE"],
     "label": ["PUBLISHER", "LABEL", "ORGANIZATION"], "catalogue": ["CATALOGNUMBER", "CATALOGUENUMBER", "CATALOG #"],
     "barcode": ["BARCODE"], "isrc": ["ISRC"],
     "release_id": ["MUSICBRAINZ_ALBUMID", "MUSICBRAINZ_RELEASEID", "MusicBrainz Album Id"],

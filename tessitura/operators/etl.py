@@ -56,6 +56,48 @@ def status_of(problems: Column, missing: Column) -> Column:
     return F.when(F.size(problems) > 0, "invalid").when(missing > 0, "warning").otherwise("valid")
 
 
+def verified_status(errors: Column, warnings: Column) -> Column:
+    """struct(status, verify_status, last_error) of a full check, which reads every file; a light one only knows what is
+    missing and leaves the check's own status as unverified."""
+    state = F.when(errors > 0, "checksum-failed").when(warnings > 0, "warning").otherwise("valid")
+    text = F.when(errors > 0, F.format_string("integrity verification failed (%d errors, %d warnings)", errors, warnings)).when(warnings > 0, F.format_string("%d warning(s)", warnings))
+    return F.struct(state.alias("status"), state.alias("verify_status"), text.alias("last_error"))
+
+
+def light_status(missing: Column) -> Column:
+    state = F.when(missing > 0, "warning").otherwise("valid")
+    return F.struct(state.alias("status"), F.lit("unverified").alias("verify_status"), F.when(missing > 0, F.format_string("%d referenced object(s) missing", missing)).alias("last_error"))
+
+
+def verify_applied(packages: DataFrame, checks: DataFrame) -> DataFrame:
+    """The package table after a full check: checks (path, errors, warnings) of the packages that were looked at."""
+    d = packages.join(checks.groupBy("path").agg(F.max("errors").alias("__e"), F.max("warnings").alias("__w")), "path", "left")
+    s, seen = verified_status(F.col("__e"), F.col("__w")), F.col("__e").isNotNull()
+    fields = {f: F.when(seen, s[f]).otherwise(F.col(f)) for f in ("status", "verify_status", "last_error")}
+    return d.withColumns(fields).select(packages.columns)
+
+
+def upsert_with_children(old: DataFrame, new: DataFrame, key: list[str], values: list[str], children: DataFrame, new_children: DataFrame, child_key: str, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of new put into old, and the children of every row that new has replaced by new's: an album with its artists.
+    Children carry the row's key as `on` (one column) in child_key."""
+    table = upsert(old, new, key, values)
+    gone = new.select(F.col(on).alias(child_key)).distinct()
+    return table, children.join(gone, child_key, "left_anti").unionByName(new_children)
+
+
+def report(v: DataFrame) -> DataFrame:
+    """One row: errors (missing or different files) and warnings (files that no manifest names) over all packages."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return v.agg(n(F.col("missing") + F.col("mismatched")).alias("errors"), n(F.col("extra")).alias("warnings"))
+
+
+def status(packages: DataFrame, scan_counters: DataFrame, verify_counters_: DataFrame) -> DataFrame:
+    """One row for a status page: the last scan's and the last check's counters and the packages by status."""
+    by = packages.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("packages"))
+    one = lambda d, name: d.select(F.struct(*d.columns).alias(name))
+    return one(scan_counters, "scan").join(F.broadcast(one(verify_counters_, "verify"))).join(F.broadcast(by))  # one row each
+
+
 def scan(packages: DataFrame, found: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
     """The next package table, and the counters of the run (one row)."""
     acted = actions(packages, found)
@@ -117,6 +159,20 @@ def verify_counters(v: DataFrame) -> DataFrame:
     return v.agg(F.count("*").alias("total"), is_("valid").alias("passed"), is_("warning").alias("warnings"), is_("checksum-failed").alias("failed"))
 
 
+def issued(secrets: DataFrame, name: str, secret: str, now: Column, days: int | None = None) -> DataFrame:
+    """(token_hash, name, created_at, last_used_at, expires_at, revoked_at): what is kept of new tokens or sessions; the secret
+    itself isn't. Of one digest one row stays."""
+    end = F.lit(None).cast("timestamp") if days is None else now + F.make_interval(days=F.lit(days))
+    none = F.lit(None).cast("timestamp")
+    return secrets.select(F.sha2(F.col(secret), 256).alias("token_hash"), F.col(name).alias("name"), now.alias("created_at"), none.alias("last_used_at"), end.alias("expires_at"), none.alias("revoked_at")).dropDuplicates(["token_hash"])
+
+
+def listed(tokens: DataFrame, now: Column) -> DataFrame:
+    """Tokens for a list: a short form of the digest, and whether each is active, expired or revoked; newest first."""
+    state = F.when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("expires_at") < now, "expired").otherwise("active")
+    return tokens.select(F.substring("token_hash", 1, 12).alias("id"), "name", "created_at", "last_used_at", state.alias("state")).orderBy(F.desc("created_at"), "id")
+
+
 def extended(sessions: DataFrame, used: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Sessions that were used: last use now, end that many days later."""
     u = used.select("session_hash").distinct().withColumn("__used", F.lit(True))

@@ -24,6 +24,11 @@ def from_second_difference(rows: DataFrame, key: str, order: str, delta: str) ->
     return rows.withColumn("first", F.sum(delta).over(w)).withColumn("value", F.sum("first").over(w)).drop("first")
 
 
+def thinned(rows: DataFrame, order: str, power: int) -> DataFrame:
+    """Every 2**power-th entry of restored values, renumbered."""
+    return rows.where(F.col(order) % (1 << power) == 0).withColumn(order, F.shiftright(F.col(order), power))
+
+
 def modular_chain(rows: DataFrame, key: str, order: Column, delta: str, modulus: int = 128) -> DataFrame:
     """Values coded as differences modulo a power of two."""
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -68,6 +73,21 @@ def offsets(queue: DataFrame, key: str, order: str, length: str) -> DataFrame:
     return queue.withColumn("end", F.sum(length).over(w)).withColumn("start", F.col("end") - F.col(length))
 
 
+def split_at(frames: DataFrame, marks: DataFrame, key: str, start: str, length: str, mark: str) -> DataFrame:
+    """Frames cut at the marks inside them: (key, from, to, chapter), chapter being the last mark at or before `from` (null
+    before the first). A frame meets only the marks of its own stretch, found by the mark's frame number, so the join is
+    an equi-join; frames all have the same length but for the last of a key."""
+    size = frames.groupBy(key).agg(F.max(length).alias("size"))
+    f = frames.join(size, key).withColumn("slot", F.floor(F.col(start) / F.col("size")))
+    m = marks.select(key, F.col(mark).alias("mark")).distinct().join(size, key).withColumn("slot", F.floor(F.col("mark") / F.col("size"))).drop("size")
+    inside = f.join(m, [key, "slot"], "left").groupBy(key, "slot", start, length).agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    end = F.col(start) + F.col(length)
+    cuts = F.array_distinct(F.concat(F.array(start), F.filter("marks", lambda x: (x > F.col(start)) & (x < end))))
+    p = inside.withColumn("cuts", cuts).select(key, F.explode(F.transform("cuts", lambda c, i: F.struct(c.alias("from"), F.coalesce(F.get("cuts", i + 1), end).alias("to")))).alias("p")).select(key, "p.*")
+    first = marks.select(key, F.col(mark).alias("from"), F.col(mark).alias("chapter")).distinct()
+    return as_of(p, first, key, "from", "chapter")
+
+
 def current_item(positions_: DataFrame, queue: DataFrame, key: str, at: str, item: str) -> DataFrame:
     """The queue item that plays at each position: intervals begin at `start`; before the first begins none plays."""
     return as_of(positions_, queue.select(key, F.col("start").alias(at), item), key, at, item)
@@ -111,21 +131,6 @@ def cut(frames: DataFrame, key: str, order: str, first: int, last: int) -> DataF
     return frames.where(F.col(order).between(first, last)).withColumn("frame", F.col(order) - first)
 
 
-def ring_fill(writes: DataFrame, key: str, order: str, capacity: int, high: float, low: float) -> DataFrame:
-    """A bounded buffer over a sequence of writes (positive) and reads (negative): how much was taken of each and the
-    level after it; what doesn't fit is dropped, reads get what there is. `paused` tells whether the producer stands still: from the
-    high mark until the low mark. A fold over each key's ordered rows."""
-    steps = F.array_sort(F.collect_list(F.struct(order, "amount")))
-    zero = "named_struct('level', 0D, 'paused', false, 'out', cast(array() as array<struct<at:bigint,moved:double,level:double,paused:boolean>>))"
-    fold = f"""aggregate(steps, {zero}, (acc, x) -> named_struct(
-        'level', greatest(0D, least({float(capacity)}D, acc.level + x.amount)),
-        'paused', case when greatest(0D, least({float(capacity)}D, acc.level + x.amount)) >= {high * capacity}D then true when greatest(0D, least({float(capacity)}D, acc.level + x.amount)) <= {low * capacity}D then false else acc.paused end,
-        'out', concat(acc.out, array(named_struct('at', cast(x.{order} as bigint), 'moved', greatest(0D, least({float(capacity)}D, acc.level + x.amount)) - acc.level,
-            'level', greatest(0D, least({float(capacity)}D, acc.level + x.amount)),
-            'paused', case when greatest(0D, least({float(capacity)}D, acc.level + x.amount)) >= {high * capacity}D then true when greatest(0D, least({float(capacity)}D, acc.level + x.amount)) <= {low * capacity}D then false else acc.paused end)))), acc -> acc.out)"""
-    return writes.groupBy(key).agg(steps.alias("steps")).select(key, F.explode(F.expr(fold)).alias("o")).select(key, "o.*")
-
-
 def blocks_read(reads: DataFrame, start: str, length: str, block: int = 65536) -> DataFrame:
     """The aligned blocks that reads touch, each once."""
     first, last = F.floor(F.col(start) / block), F.floor((F.col(start) + F.col(length) - 1) / block)

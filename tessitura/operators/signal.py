@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.operators.codec import noise, top
+
 FLOOR = -70.0
 BANDS, LINES = 32, 36
 
@@ -163,6 +165,57 @@ def noise_to_signal(x: Column, y: Column) -> Column:
     return F.when(e > 0, energy(F.zip_with(x, y, lambda a, b: a - b)) / e).otherwise(0.0)
 
 
+def transient_noise(x: Column, y: Column, parts: int = 3, size: int = 12) -> Column:
+    """The worst ratio of consecutive parts."""
+    part = lambda c, i: F.slice(c, i * size + 1, size)
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: noise_to_signal(part(x, i), part(y, i))))
+
+
+# How much of a line of a subband's edge shows up in the neighbour, from the edge inwards.
+ALIASES = (0.5, 0.2776, 0.1176, 0.0361, 0.0075, 0.000948, 0.0000598)
+
+
+def band_energies(lines: Column, width: int = 16, bands: int = 32) -> Column:
+    """Energy by subband of spectral lines; near an inner edge a line counts in part as its mirror image does."""
+    share = F.array(*map(F.lit, ALIASES))
+
+    def line(k: Column, n: Column) -> Column:
+        at = k * width + n
+        own = F.get(lines, at)
+        low = F.when((n < len(ALIASES)) & (k > 0), F.get(share, n) * (F.get(lines, k * width - 1 - n) - own))
+        high = F.when((n >= width - len(ALIASES)) & (k < bands - 1), F.get(share, width - 1 - n) * (F.get(lines, at + 2 * (width - n) - 1) - own))
+        return own + F.coalesce(low, high, F.lit(0.0))
+
+    n = F.least(F.floor(F.size(lines) / width).cast("int"), F.lit(bands))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: line(k, i)), F.lit(0.0), lambda a, v: a + v))
+
+
+def partition_energies(lines: Column, bounds: list[int], roots: tuple[int, int], weights: Column | None = None) -> Column:
+    """Energy of consecutive partitions of lines, `bounds` their first lines and the end; weighted by line if so asked. Partitions
+    number roots[0] up to roots[1] add amplitudes, not energies, and have the mean power of that sum."""
+    x = lines if weights is None else F.zip_with(lines, weights, lambda a, b: a * b)
+    out = []
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        part = F.slice(x, a + 1, b - a)
+        if roots[0] <= i < roots[1]:
+            amplitude = F.aggregate(part, F.lit(0.0), lambda s, v: s + F.sqrt(v))
+            out.append(amplitude * amplitude / (b - a))
+        else:
+            out.append(F.aggregate(part, F.lit(0.0), lambda s, v: s + v))
+    return F.array(*out)
+
+
+def framed(x: Column, size: int, ahead: int = 0) -> Column:
+    """An array of samples as frames of so many, each with the samples ahead of it that there are."""
+    n = F.greatest(F.ceil(F.size(x) / size).cast("int"), F.lit(1))
+    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(x, i * size + 1, size + ahead)), lambda f: F.size(f) > 0)
+
+
+def encode_blocks(x: Column, size: int = 1152, ahead: int = 0) -> Column:
+    """struct(samples, silent) by frame: what an encoder works through, silent frames to be skipped."""
+    return F.transform(framed(x, size, ahead), lambda f: F.struct(f.alias("samples"), silent(F.slice(f, 1, size)).alias("silent")))
+
+
 def signal_to_mask(lines: Column, threshold: Column, width: int = 16) -> Column:
     """By band: energy over 16 and the least threshold of its lines."""
     n = F.floor(F.size(lines) / width).cast("int")
@@ -209,6 +262,23 @@ def cepstrum(x: Column) -> Column:
     return _by_frame(x, lambda m: np.fft.irfft(np.log(np.abs(np.fft.rfft(m, axis=1)) + 1e-12), m.shape[1], axis=1))
 
 
+def cosine_window(n: int) -> np.ndarray:
+    """A raised cosine over the middle half of its length, of unit height."""
+    half = np.cos((np.arange(n // 2) + 0.5) * np.pi / n) ** 2
+    return np.concatenate([half[::-1], half])
+
+
+def windowed_spectrum(x: Column, window: str = "kaiser") -> Column:
+    """Power spectra under a Kaiser-Bessel derived or a cosine window."""
+    make = {"kaiser": kaiser_bessel, "cosine": cosine_window}[window]
+    return _by_frame(x, lambda m: np.abs(np.fft.rfft(m * make(m.shape[1]), axis=1)) ** 2)
+
+
+def phases(x: Column) -> Column:
+    """Of the lines of Hann-windowed frames; with the roots of the power spectrum the polar form."""
+    return _by_frame(x, lambda m: np.angle(np.fft.rfft(m * np.hanning(m.shape[1] + 1)[:-1], axis=1)))
+
+
 def kaiser_bessel(n: int, alpha: float = 4.0) -> np.ndarray:
     """A power-complementary window."""
     w = np.cumsum(np.kaiser(n // 2 + 1, np.pi * alpha))
@@ -320,16 +390,74 @@ def unpredictability(frames: DataFrame, key: str, order: str, spectrum: str) ->
     return frames.withColumn("chaos", F.zip_with(F.col(spectrum), guess, lambda a, g: F.abs(a - g) / (F.abs(a) + F.abs(g) + 1e-12)))
 
 
-def lfsr(seed: int, n: int) -> np.ndarray:
-    """Bits of a 32-bit shift register (feedback from bits 32, 22, 2 and 1)."""
-    out, x = np.empty(n, np.uint8), seed & 0xFFFFFFFF or 1
-    for i in range(n):
-        bit = (x ^ x >> 10 ^ x >> 30 ^ x >> 31) & 1
-        x = x >> 1 | bit << 31
-        out[i] = bit
-    return out
+def random_words(n: int, seed: tuple[int, int] = (1, 1)) -> np.ndarray:
+    """Words of the generator that fills noise bands: two shift registers combined."""
+    return noise(seed, n)[0]
 
 
 def allocate(signal: Column, mask: Column, most: int = 17) -> Column:
     """Resolution by band: each step halves the noise amplitude; raised until noise is at the mask or the limit is reached."""
     return F.zip_with(signal, mask, lambda s, m: F.when(s <= m, 0).otherwise(F.least(F.lit(most), F.ceil(F.log2(s / m) / 2))).cast("int"))
+
+
+#: The factor of one scale factor step, and the last resolution whose samples have a Huffman code.
+SCALE_STEP, LAST_CODED = 10 ** (0.1 / 1.26), 8
+
+
+def measured_noise(x: np.ndarray, res: np.ndarray, comp: np.ndarray, transient: np.ndarray) -> np.ndarray:
+    """Noise to signal of rows of 36 samples quantised at their resolution, of the worst third where the row is transient. While
+    the signal is the louder, the row's own factor for audibility counts."""
+    step = np.array([65536.0 / (2 * top(r) + 1) if r else 65536.0 for r in range(18)])[res][:, None]
+    parts = x.reshape(len(x), 3, -1)
+    error = ((np.rint(parts / step[:, :, None]) * step[:, :, None] - parts) ** 2).sum(axis=2) + 1e-30
+    power = (parts**2).sum(axis=2) + 1e-30
+    whole = transient[:, None]
+    error, power = (np.where(whole, v, v.sum(axis=1, keepdims=True)) for v in (error, power))
+    return np.where(power > error, error / (comp[:, None] * power), error / power).max(axis=1)
+
+
+def allocated(frames: DataFrame, samples: str, ratios: str, comp: str, transients: str, noise_share: float = 0.0, most: int = 15) -> DataFrame:
+    """`res` and `steps` of frames: samples are bands of 36 after their scale factors, ratios signal-to-mask by band.
+
+    By band the resolution rises until measured noise is at the mask. Then, up to the last coded resolution, the scale factors
+    are stepped down, which scales the samples up, as long as noise stays there; `steps` tells how often. A steady band of
+    little resolution before it, whose ratio is below its number times `noise_share`, becomes noise (-1).
+    Frames are independent; in a batch they go side by side, band after band."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            x = np.stack(b[samples].to_numpy()).astype(float).reshape(n, -1, 36)
+            smr, factor, moving = (np.stack(b[c].to_numpy()).astype(t) for c, t in ((ratios, float), (comp, float), (transients, bool)))
+            res, steps = np.zeros((n, x.shape[1]), int), np.zeros((n, x.shape[1]), int)
+            for k in range(x.shape[1]):
+                part, r, s, f, m = x[:, k].copy(), res[:, k], smr[:, k], factor[:, k], moving[:, k]
+                if k:
+                    r[(res[:, k - 1] < 3) & (s >= 1) & (s < k * noise_share) & steady((part.reshape(n, 3, -1) ** 2).sum(axis=2))] = -1
+                ratio = s.copy()
+                while (up := (r >= 0) & (ratio > 1) & (r < most)).any():
+                    r[up] += 1
+                    ratio[up] = s[up] * measured_noise(part[up], r[up], f[up], m[up])
+                down = (r > 0) & (r <= LAST_CODED) & (ratio < 1) & (ratio > 0) & ~m
+                # a scale factor has at most 63 steps below it
+                for _ in range(63):
+                    if not down.any():
+                        break
+                    tried = part[down] * SCALE_STEP
+                    fits = s[down] * measured_noise(tried, r[down], f[down], m[down]) <= 1
+                    at = np.flatnonzero(down)
+                    part[at[fits]] = tried[fits]
+                    steps[at[fits], k] += 1
+                    down[at[~fits]] = False
+            yield b.assign(res=list(res.astype(np.int32)), steps=list(steps.astype(np.int32)))
+
+    return frames.mapInPandas(run, f"{fields}, res array<int>, steps array<int>")
+
+
+def steady(power: np.ndarray) -> np.ndarray:
+    """Whether the energies of three parts neither double nor fall to a quarter."""
+    a, b, c = power.T
+    return ~((a < 0.5 * b) | (b < 0.5 * c) | (a < 0.5 * c) | (b < 0.25 * a) | (c < 0.25 * b) | (c < 0.25 * a))

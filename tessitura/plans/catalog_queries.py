@@ -71,11 +71,55 @@ def release_tracks(spark, sf_dir):
     return ops.release_tracks(catalog(spark, sf_dir), 1)
 
 
-@query("release_detail")
+@query("release_detail", SQL + """, t as (select m.position, m.id, m.disc_number, m.format, t.number, '{"number":' || t.number || ',"track_id":' || t.id || ',"title":"' || t.title || '","duration":' || t.duration || ',"audio_path":"' || a.path || '","mime":"' || a.mime || '"}' as j
+  from media m join tracks t on t.media_id = m.id join audio a on a.track_id = t.id where m.release_id = 1),
+d as (select position, '{"position":' || position || ',"media_id":' || id || ',"disc_number":' || disc_number || coalesce(',"format":"' || format || '"', '') || ',"tracks":[' || string_agg(j, ',' order by number) || ']}' as j from t group by position, id, disc_number, format),
+s as (select string_agg('{"id":' || id || ',"kind":"' || kind || '","role":"' || role || '","path":"' || path || '"}', ',' order by id) as j from assets where release_id = 1 and kind in ('artwork', 'booklet', 'lyrics')),
+n as (select string_agg('{"name":"' || name || '","role":"' || role || '"}', ',' order by position) as j from group_artists x join artists y on x.artist_id = y.id where x.group_id = (select group_id from releases where id = 1))
+select r.id as release_id, '{"album":"' || g.title || '","artists":[' || n.j || '],"edition":"' || r.edition || '","release_date":"' || r.release_date || '","status":"' || b.status || '","media":[' || (select string_agg(j, ',' order by position) from d) || '],"assets":[' || coalesce(s.j, '') || ']}' as json
+from seen r join groups g on g.id = r.group_id join best b on b.release_id = r.id, n, s where r.id = 1""")
 def release_detail(spark, sf_dir):
     return ops.release_detail(catalog(spark, sf_dir), 1)
 
 
+_NAMES = "(select string_agg(name || '/' || role, ',' order by position) from group_artists x join artists y on x.artist_id = y.id where x.group_id = g.id)"
+
+
+@query("album_detail", SQL + f"""select g.id, g.title, g.release_type as type, g.original_date as date, {_NAMES} as artists,
+  (select string_agg(s.id || ':' || s.release_date || ':' || b.status || ':' || (select count(*) from media m join tracks t on t.media_id = m.id where m.release_id = s.id), ',' order by s.release_date, s.id) from seen s join best b on b.release_id = s.id where s.group_id = g.id) as releases from groups g where g.id = 1""")
+def album_detail(spark, sf_dir):
+    d = ops.album_detail(catalog(spark, sf_dir), 1)
+    names = F.array_join(F.transform("album.artists", lambda x: F.concat_ws("/", x["name"], x["role"])), ",")
+    rows = F.array_join(F.transform("releases", lambda x: F.concat_ws(":", x["release_id"], x["release_date"], x["status"], x["track_count"])), ",")
+    return d.select("album.id", "album.title", F.col("album.releaseType").alias("type"), F.col("album.originalReleaseDate").alias("date"), names.alias("artists"), rows.alias("releases"))
+
+
+@query("artist_detail", SQL + """select y.id, y.name, (select string_agg(g.id || ':' || g.title || ':' || g.release_type, ',' order by lower(g.title), g.id) from groups g where g.id in (select group_id from group_artists where artist_id = y.id) and g.id in (select group_id from seen)) as albums
+from artists y where y.id = 7""")
+def artist_detail(spark, sf_dir):
+    d = ops.artist_detail(catalog(spark, sf_dir), 7)
+    return d.select("id", "name", F.array_join(F.transform("albums", lambda x: F.concat_ws(":", x["id"], x["title"], x["releaseType"])), ",").alias("albums"))
+
+
+@query("group_objects", SQL + f"select g.id, g.title, {_NAMES} as artists from groups g")
+def group_objects(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    d = ops.group_objects(c, c.groups)
+    return d.select("id", "album.title", F.array_join(F.transform("album.artists", lambda x: F.concat_ws("/", x["name"], x["role"])), ",").alias("artists"))
+
+
+@query("track_objects", SQL + """select t.id, t.media_id, t.title, y.name || '/' || x.role as artists, t.lufs, a.size, a.mime, '/tracks/' || t.id || '/audio' as url
+from tracks t join audio a on a.track_id = t.id left join track_artists x on x.track_id = t.id left join artists y on y.id = x.artist_id""")
+def track_objects(spark, sf_dir):
+    d = ops.track_objects(catalog(spark, sf_dir))
+    return d.select("id", "media_id", "track.title", F.array_join(F.transform("track.artists", lambda x: F.concat_ws("/", x["name"], x["role"])), ",").alias("artists"), "track.loudness.lufs", "track.audio.size", F.col("track.audio.mimeType").alias("mime"), "track.audio.url")
+
+
+@query("health", SQL + "select 'ok' as status, '1' as version, cast(4 as int) as schemaVersion, count(*) as packages, count(*) filter (status not in ('invalid', 'unavailable')) as visible from packages")
+def health(spark, sf_dir):
+    return ops.health(catalog(spark, sf_dir), "1", 4)
+
+
 @query("track_detail", SQL + """select t.id as track_id, t.title, t.number, m.disc_number, m.release_id, g.id as group_id, g.title as album, a.path as audio_path, a.size, a.mime, b.package_id, b.status
 from tracks t join media m on m.id = t.media_id join releases r on r.id = m.release_id join groups g on g.id = r.group_id join audio a on a.track_id = t.id join best b on b.release_id = r.id
 where b.status not in ('invalid', 'unavailable')""")
@@ -129,10 +173,13 @@ def live_sessions(spark, sf_dir):
     return ops.sessions(s, tokens, F.lit(500))
 
 
-@query("page_merge", "select c_custkey as id, c_name as title from customer where c_custkey <= 120")
+@query("page_merge", "select c_custkey as id, case when c_mktsegment in ('BUILDING', 'MACHINERY', 'AUTOMOBILE') then c_name else 'page ' || c_name end as title from customer")
 def page_merge(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
-    return ops.merge_page(c.where("id <= 80"), c.where("id between 50 and 120"))
+    """Known and page overlap in one segment and are all customers together; what is known stays as it is."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), "c_mktsegment")
+    known = c.where("c_mktsegment in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").drop("c_mktsegment")
+    page = c.where("c_mktsegment not in ('BUILDING', 'MACHINERY')").select("id", F.concat(F.lit("page "), "title").alias("title"))
+    return ops.merge_page(known, page)
 
 
 @query("assets_by_kind", SQL + "select kind, role, count(*) as n from assets group by 1, 2")

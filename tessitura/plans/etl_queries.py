@@ -123,3 +123,60 @@ def session_extend(spark, sf_dir):
 def token_revoke(spark, sf_dir):
     t = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, 1).alias("revoked_at"))
     return ops.revoked(t, "c_custkey", t.where("c_custkey % 3 = 0"), F.lit(2))
+
+
+@query("verify_statuses", _VERIFY + """, p as (select o_orderkey as k from orders)
+select k as id, coalesce(case when status = 'checksum-failed' then 'checksum-failed' else status end, 'valid') as status, coalesce(status, 'unverified') as verify_status,
+  case when missing + mismatched > 0 then 'integrity verification failed (' || (missing + mismatched) || ' errors, ' || extra || ' warnings)' when extra > 0 then extra || ' warning(s)' end as last_error from p left join w on w.package = p.k""")
+def verify_statuses(spark, sf_dir):
+    v = _verified(spark, sf_dir).select(F.col("package").cast("string").alias("path"), (F.col("missing") + F.col("mismatched")).alias("errors"), F.col("extra").alias("warnings"))
+    null = F.lit(None).cast("string")
+    p = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("path"), F.lit("m").alias("manifest_sha256"), F.lit("f").alias("fingerprint"), F.lit("valid").alias("status"), F.lit("unverified").alias("verify_status"), F.lit("s").alias("last_scan"), null.alias("last_error"))
+    return ops.verify_applied(p, v).select("id", "status", "verify_status", "last_error")
+
+
+@query("light_statuses", "select o_orderkey as id, case when o_orderkey % 4 > 0 then 'warning' else 'valid' end as status, 'unverified' as verify_status, case when o_orderkey % 4 > 0 then (o_orderkey % 4) || ' referenced object(s) missing' end as last_error from orders")
+def light_statuses(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ops.light_status(F.col("o_orderkey") % 4).alias("s")).select("id", "s.*")
+
+
+@query("verify_report", _VERIFY + "select cast(sum(missing + mismatched) as bigint) as errors, cast(sum(extra) as bigint) as warnings from v")
+def verify_report(spark, sf_dir):
+    return ops.report(_verified(spark, sf_dir))
+
+
+@query("library_status", _SCAN + """, v as (select count(*) filter (o_orderstatus = 'P') as unavailable, count(*) filter (o_orderstatus <> 'P') as valid from orders where o_orderkey % 5 <> 0)
+select (select count(*) from a) as scanned, (select count(*) filter (action = 'added') from a) as added, valid, unavailable from v""")
+def library_status(spark, sf_dir):
+    counters = ops.scan(_state(spark, sf_dir), _found(spark, sf_dir), "s2")[1]
+    s = ops.status(_state(spark, sf_dir), counters, ops.verify_counters(_verified(spark, sf_dir)))
+    return s.select(F.col("scan.total").alias("scanned"), "scan.added", F.col("packages")["valid"].alias("valid"), F.col("packages")["unavailable"].alias("unavailable"))
+
+
+@query("upsert_releases", """
+with a as (select o_custkey as g, o_orderpriority as r, min(o_orderkey) as v from orders where o_orderkey % 3 <> 0 group by 1, 2), b as (select o_custkey as g, o_orderpriority as r, min(-o_orderkey) as v from orders where o_orderkey % 2 = 0 group by 1, 2)
+select coalesce(a.g, b.g) as g, coalesce(a.r, b.r) as r, coalesce(b.v, a.v) as v from a full join b on a.g = b.g and a.r = b.r""")
+def upsert_releases(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderpriority").alias("r"), F.col("o_orderkey").alias("v"))
+    return ops.upsert(o.where("v % 3 <> 0").groupBy("g", "r").agg(F.min("v").alias("v")), o.where("v % 2 = 0").withColumn("v", -F.col("v")), ["g", "r"], ["v"])
+
+
+@query("upsert_album_artists", """
+select c_custkey as group_id, case when c_custkey % 2 = 0 then n.n_name else 'old' end as artist from customer c join nation n on n.n_nationkey = c.c_nationkey where c_custkey % 3 > 0 or c_custkey % 2 = 0""")
+def upsert_album_artists(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), "n_name")
+    old, new = c.where("id % 3 > 0"), c.where("id % 2 = 0")
+    _, children = ops.upsert_with_children(old.select("id", "title"), new.select("id", "title"), ["id"], ["title"], old.select(F.col("id").alias("group_id"), F.lit("old").alias("artist")), new.select(F.col("id").alias("group_id"), F.col("n_name").alias("artist")), "group_id", "id")
+    return children
+
+
+@query("token_list", """
+with t as (select sha256('mpk_' || c_custkey) as h, c_name as name, c_custkey as k from customer)
+select substr(h, 1, 12) as id, name, case when k % 4 = 0 then 'revoked' when k % 3 = 0 then 'expired' else 'active' end as state from t""")
+def token_list(spark, sf_dir):
+    ts = lambda x: F.to_timestamp(F.lit(x))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("mpk_"), "c_custkey").alias("secret"), F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
+    new = lambda d, days: ops.issued(d, "name", "secret", ts("2026-01-01"), days)
+    t = new(c.where("k % 3 = 0"), 30).unionByName(new(c.where("k % 3 > 0"), None))
+    gone = c.where("k % 4 = 0").select(F.sha2("secret", 256).alias("token_hash"))
+    return ops.listed(ops.revoked(t, "token_hash", gone, ts("2026-01-02")), ts("2026-03-01")).select("id", "name", "state")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tessitura.plans import catalog_queries, document_queries, etl_queries, scalar_queries, sequence_queries, signal_queries  # noqa: F401
+    from tessitura.plans import catalog_queries, codec_queries, display_queries, document_queries, etl_queries, ingest_queries, scalar_queries, sequence_queries, signal_queries  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessitura.operators import queues
 from tessitura.operators import sequences as ops
 from tessitura.plans.catalog_tables import read
 from tessitura.plans.registry import query
@@ -135,10 +136,72 @@ def frame_cut(spark, sf_dir):
     return ops.cut(f, "user_id", "n", 2, 5).drop("n")
 
 
-@query("ring_levels")
+@query("ring_levels", """
+with recursive e as (select user_id, event_id, case when event_id % 3 = 0 then -1.5::double else 1.0::double end as amount, row_number() over (partition by user_id order by event_id) as rn from events),
+r as (select user_id, event_id, rn, amount, greatest(0.0::double, amount) as level, greatest(0.0::double, amount) as moved, false as paused from e where rn = 1
+  union all select e.user_id, e.event_id, e.rn, e.amount, greatest(0.0::double, least(8.0::double, r.level + e.amount)), greatest(0.0::double, least(8.0::double, r.level + e.amount)) - r.level,
+    case when greatest(0.0::double, least(8.0::double, r.level + e.amount)) >= 6.4 then true when greatest(0.0::double, least(8.0::double, r.level + e.amount)) <= 1.6 then false else r.paused end
+  from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+select user_id, event_id as at, moved, level, paused, abs(amount - moved) as missing from r""")
 def ring_levels(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, -1.5).otherwise(1.0).alias("amount"))
-    return ops.ring_fill(e, "user_id", "event_id", 8, 0.8, 0.2)
+    return queues.ring_fill(e, "user_id", "event_id", 8, 0.8, 0.2)
+
+
+@query("queue_edits", """
+with q as (select l_orderkey, list(p order by line) as v from (select l_orderkey, l_linenumber as line, min(l_partkey) as p from lineitem group by 1, 2) group by 1)
+select l_orderkey, array_to_string(case when l_orderkey % 5 = 0 then [-2] else v end, ',') as items, cast(case when l_orderkey % 5 = 0 then 0 else least(len(v) - 1, 1) end as int) as index from q""")
+def queue_edits(spark, sf_dir):
+    """Each order's items are put in line, one more is played next, then the second is chosen, the first removed, the next
+    chosen; every fifth queue is then given up for another item."""
+    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("item"))
+    put = line.select("l_orderkey", F.col("n").cast("int").alias("n"), F.lit("enqueue").alias("op"), "item", F.lit(0).alias("at"))
+    step = lambda n, op, item, at: F.struct(F.lit(n).alias("n"), F.lit(op).alias("op"), F.lit(item).cast("bigint").alias("item"), F.lit(at).alias("at"))
+    after = F.array(step(100, "play_next", -1, 0), step(101, "move_to", None, 1), step(102, "remove_at", None, 0), step(103, "next", None, 0), step(104, "move_to", None, 99))
+    end = F.array(step(105, "clear", None, 0), step(106, "play_next", -2, 0), step(107, "previous", None, 0))
+    rest = line.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.when(F.col("l_orderkey") % 5 == 0, F.concat(after, end)).otherwise(after)).alias("s")).select("l_orderkey", "s.*")
+    q = queues.edited(put.unionByName(rest), "l_orderkey", "n", "item", "at")
+    return q.select("l_orderkey", F.array_join("items", ",").alias("items"), "index")
+
+
+@query("gapless_program", _QUEUE.replace("with q as", "with q0 as") + """, k as (select l_orderkey, line, greatest(len_ - line - part % 3, 0) as kept from q0),
+e as (select l_orderkey, line, kept, cast(sum(kept) over (partition by l_orderkey order by line) as bigint) as last from k) select l_orderkey, line, last as "end", cast(last - kept as bigint) as start from e""")
+def gapless_program(spark, sf_dir):
+    q = _queue(spark, sf_dir).drop("start", "end").withColumns({"head": F.col("line"), "tail": F.col("part") % 3})
+    return queues.program(q, "l_orderkey", "line", "len_", "head", "tail").select("l_orderkey", "line", "end", "start")
+
+
+@query("play_order", "select l_orderkey, disc, line, row_number() over (partition by l_orderkey order by disc, line) - 1 as place from (select distinct l_orderkey, l_linenumber as line, case when l_linenumber % 2 = 0 then 1 else 2 end as disc from lineitem)")
+def play_order(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2).alias("disc"), F.col("l_linenumber").alias("line")).distinct()
+    return queues.play_order(t, "l_orderkey", "disc", "line").withColumn("place", F.col("place").cast("long"))
+
+
+@query("cached_blocks")
+def cached_blocks(spark, sf_dir):
+    r = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7919 % 3000000).alias("s"), (F.col("event_id") % 200000).alias("n"))
+    return queues.cached_blocks(r, "event_id", "s", "n")
+
+
+@query("seek_thinned", _EVENTS + ", n as (select user_id, v, row_number() over (partition by user_id order by event_id) - 1 as i from e) select user_id, i // 4 as entry, v as value from n where i % 4 = 0")
+def seek_thinned(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    e = _events(spark, sf_dir).withColumn("entry", (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("long"))
+    d = ops.from_second_difference(ops.second_difference(e, "user_id", "entry", "v"), "user_id", "entry", "delta")
+    return ops.thinned(d, "entry", 2).select("user_id", "entry", "value")
+
+
+@query("frame_chapters", f"""
+with f as (select user_id, frame * 100 as "from", frame * 100 + 100 as "to" from ({_FRAMES})), m as (select distinct user_id, event_id * 37 % 900 as mark from events),
+c as (select f.user_id, f."from" as a, f."to" as b, m.mark from f left join m on m.user_id = f.user_id and m.mark > f."from" and m.mark < f."to"),
+s as (select user_id, a as s, b from c union select user_id, mark, b from c where mark is not null),
+p as (select user_id, s as "from", coalesce(lead(s) over (partition by user_id, b order by s), b) as "to" from s)
+select p.*, (select max(mark) from m where m.user_id = p.user_id and m.mark <= p."from") as chapter from p""")
+def frame_chapters(spark, sf_dir):
+    f = _frames(spark, sf_dir).select("user_id", (F.col("frame") * 100).alias("start"), F.lit(100).cast("long").alias("len_"))
+    m = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 37 % 900).alias("mark"))
+    return ops.split_at(f, m, "user_id", "start", "len_", "mark")
 
 
 @query("blocks_read", "with r as (select event_id * 1000 % 5000000 as s, event_id % 200000 as n from events) select distinct b as block from (select unnest(range(cast(s // 65536 as bigint), cast((s + n - 1) // 65536 + 1 as bigint))) as b from r where n > 0)")

@@ -20,10 +20,10 @@ def frame_quantised(spark, sf_dir):
     return _frames(spark, sf_dir).select("id", F.array_join(ops.quantised(F.col("x"), F.lit(20.0), 7), ",").alias("q"))
 
 
-@query("frame_peaks", "select vec_id as id, round(list_max([abs(cast(x as double)) for x in embedding[1:16]]), 9) as p0, round(list_max([abs(cast(x as double)) for x in embedding[17:32]]), 9) as p1 from embeddings")
+@query("frame_peaks", "select vec_id as id, " + ", ".join(f"round(list_max([abs(cast(x as double)) for x in embedding[{16 * i + 1}:{16 * i + 16}]]), 9) as p{i}" for i in range(4)) + " from embeddings")
 def frame_peaks(spark, sf_dir):
-    p = ops.block_peaks(F.col("x"), 2, 16)
-    return _frames(spark, sf_dir).select("id", F.round(p[0], 9).alias("p0"), F.round(p[1], 9).alias("p1"))
+    p = ops.block_peaks(F.col("x"), 4, 16)
+    return _frames(spark, sf_dir).select("id", *(F.round(p[i], 9).alias(f"p{i}") for i in range(4)))
 
 
 @query("frame_energy", "select vec_id as id, round(list_sum([cast(x as double) * x for x in embedding]), 6) as energy, len([x for x in embedding if x <> 0]) = 0 as silent from embeddings")
@@ -38,12 +38,16 @@ def mid_side(spark, sf_dir):
     return _frames(spark, sf_dir).select("id", total(m).alias("mid"), total(s).alias("side"))
 
 
-@query("mid_side_choice")
+@query("mid_side_choice", """
+with e as (select vec_id as id, unnest(range(1, 33)) as i, embedding from embeddings), v as (select id, i, cast(embedding[i] as double) as l, cast(embedding[i + 32] as double) as r from e),
+b as (select id, i, log2(greatest(1.0::double, l * l * 100)) + log2(greatest(1.0::double, r * r * 100)) as a, log2(greatest(1.0::double, (l + r) / 2 * ((l + r) / 2) * 100)) + log2(greatest(1.0::double, (l - r) / 2 * ((l - r) / 2) * 100)) as b from v)
+select id, string_agg(case when b < a then '1' else '0' end, '' order by i) as use from b group by id""")
 def mid_side_choice(spark, sf_dir):
     sq = lambda c: F.transform(c, lambda v: v * v * 100)
     l, r = F.slice("x", 1, 32), F.slice("x", 33, 32)
     m, s = ops.mid_side(l, r)
-    return _frames(spark, sf_dir).select("id", ops.use_mid_side(sq(l), sq(r), sq(m), sq(s)).alias("use"))
+    use = ops.use_mid_side(sq(l), sq(r), sq(m), sq(s))
+    return _frames(spark, sf_dir).select("id", F.array_join(F.transform(use, lambda x: x.cast("int").cast("string")), "").alias("use"))
 
 
 @query("noise_ratio", """with q as (select vec_id as id, [cast(x as double) for x in embedding] as x, [round_even(cast(x as double) * 16, 0) / 16 for x in embedding] as y from embeddings)
@@ -58,11 +62,11 @@ def scale_factors(spark, sf_dir):
     return _frames(spark, sf_dir).select("id", F.round(ops.scale_factor(F.col("id") % 60), 9).alias("factor"))
 
 
-@query("signal_to_mask", "select vec_id as id, round(list_sum([cast(x as double) * x for x in embedding[1:16]]) / 16 / 0.5::double, 6) as b0, round(list_sum([cast(x as double) * x for x in embedding[49:64]]) / 16 / 0.5::double, 6) as b3 from embeddings")
+@query("signal_to_mask", "select vec_id as id, " + ", ".join(f"round(list_sum([cast(x as double) * x for x in embedding[{16 * i + 1}:{16 * i + 16}]]) / 16 / (list_min([abs(cast(x as double)) for x in embedding[{16 * i + 1}:{16 * i + 16}]]) + 0.5::double), 6) as b{i}" for i in range(4)) + " from embeddings")
 def signal_to_mask(spark, sf_dir):
-    p, t = F.transform("x", lambda v: v * v), F.transform("x", lambda v: F.lit(0.5))
+    p, t = F.transform("x", lambda v: v * v), F.transform("x", lambda v: F.abs(v) + 0.5)
     b = ops.signal_to_mask(p, t)
-    return _frames(spark, sf_dir).select("id", F.round(b[0], 6).alias("b0"), F.round(b[3], 6).alias("b3"))
+    return _frames(spark, sf_dir).select("id", *(F.round(b[i], 6).alias(f"b{i}") for i in range(4)))
 
 
 @query("bit_allocation", "select vec_id as id, array_to_string([case when abs(x) <= 0.05 then 0 else cast(least(17, ceil(log2(abs(cast(x as double)) / 0.05) / 2)) as int) end for x in embedding], ',') as bits from embeddings")
@@ -71,14 +75,39 @@ def bit_allocation(spark, sf_dir):
     return _frames(spark, sf_dir).select("id", F.array_join(ops.allocate(s, m), ",").alias("bits"))
 
 
-@query("power_spectra")
+#: Lines of the windowed frames by the definition of the transform, and a list of numbers as whole multiples of 1/scale.
+_LINES = """
+with w as (select vec_id as id, label as track, [cast(embedding[n] as double) * (0.5 - 0.5 * cos(2 * pi() * (n - 1) / 64)) for n in range(1, 65)] as x, embedding from embeddings),
+l as (select id, track, unnest(range(33)) as k, x from w),
+c as (select id, track, k, list_sum([x[n + 1] * cos(2 * pi() * k * n / 64) for n in range(64)]) as re, list_sum([x[n + 1] * sin(2 * pi() * k * n / 64) for n in range(64)]) as im from l),
+p as (select id, track, k, re * re + im * im as power from c)
+"""
+
+
+def _whole(c, scale):
+    return F.array_join(F.transform(c, lambda v: F.round(v * scale).cast("long").cast("string")), ",")
+
+
+@query("power_spectra", _LINES + """, q as (select vec_id as id, unnest(range(33)) as k, [cast(v as double) for v in embedding] as x from embeddings),
+d as (select id, k, ln(sqrt(pow(list_sum([x[n + 1] * cos(2 * pi() * k * n / 64) for n in range(64)]), 2) + pow(list_sum([x[n + 1] * sin(2 * pi() * k * n / 64) for n in range(64)]), 2)) + 1e-12) as lg from q),
+e as (select id, list(lg order by k) as lg from d group by id), f as (select id, unnest(range(64)) as n, lg from e),
+g as (select id, n, (lg[1] + lg[33] * cos(pi() * n) + 2 * list_sum([lg[k + 1] * cos(2 * pi() * k * n / 64) for k in range(1, 32)])) / 64 as c from f)
+select p.id, string_agg(cast(cast(round(power * 1e5) as bigint) as varchar), ',' order by k) as power, any_value(h.c) as cepstrum from p join (select id, string_agg(cast(cast(round(c * 1e5) as bigint) as varchar), ',' order by n) as c from g group by id) h on h.id = p.id group by p.id""")
 def power_spectra(spark, sf_dir):
-    return _frames(spark, sf_dir).select("id", ops.power_spectrum(F.col("x")).alias("power"), ops.cepstrum(F.col("x")).alias("cepstrum"))
+    return _frames(spark, sf_dir).select("id", _whole(ops.power_spectrum(F.col("x")), 1e5).alias("power"), _whole(ops.cepstrum(F.col("x")), 1e5).alias("cepstrum"))
+
 
+_BARK = "(13 * atan(0.00076::double * {0}) + 3.5::double * atan(pow({0} / 7500, 2)))"
 
-@query("masked_thresholds")
+
+@query("masked_thresholds", _LINES + f""", b as (select i, i * 22050 / 32.0::double as hz, {_BARK.format("(i * 22050 / 32.0::double)")} as z from range(33) t(i)),
+h as (select i, greatest(hz, 20) / 1000 as f, z from b), q as (select i, z, pow(10.0::double, (3.64::double * pow(f, -0.8::double) - 6.5::double * exp(-0.6::double * pow(f - 3.3::double, 2)) + 1e-3 * pow(f, 4)) / 10) * 1e-6 as quiet from h),
+s as (select a.i as i, c.i as k, pow(10.0::double, (15.81::double + 7.5::double * (a.z - c.z + 0.474::double) - 17.5::double * sqrt(1 + pow(a.z - c.z + 0.474::double, 2))) / 10) as spread from q a, q c),
+m as (select p.id, s.i, sum(p.power * s.spread) * pow(10.0::double, -1.4::double) as v from p join s on s.k = p.k group by p.id, s.i)
+select m.id, string_agg(cast(cast(round(log10(greatest(m.v, q.quiet)) * 1e5) as bigint) as varchar), ',' order by m.i) as threshold from m join q on q.i = m.i group by m.id""")
 def masked_thresholds(spark, sf_dir):
-    return _frames(spark, sf_dir).select("id", ops.masking(ops.power_spectrum(F.col("x")), 44100).alias("threshold"))
+    t = ops.masking(ops.power_spectrum(F.col("x")), 44100)
+    return _frames(spark, sf_dir).select("id", _whole(F.transform(t, lambda v: F.log10(v)), 1e5).alias("threshold"))
 
 
 @query("prediction")
@@ -86,16 +115,67 @@ def prediction(spark, sf_dir):
     return _frames(spark, sf_dir).select("id", ops.predictors(F.col("x")).alias("coefficients"), ops.shaped(F.col("x"), [0.5, -0.25], 0.05).alias("shaped"))
 
 
-@query("spectral_chaos")
+@query("spectral_chaos", _LINES + """, g as (select *, 2 * lag(power, 1) over w - lag(power, 2) over w as guess from p window w as (partition by track, k order by id)),
+u as (select track, id, k, abs(power - guess) / (abs(power) + abs(guess) + 1e-12) as chaos from g)
+select track, id, string_agg(cast(cast(round(chaos * 1e5) as bigint) as varchar), ',' order by k) as chaos from u group by track, id""")
 def spectral_chaos(spark, sf_dir):
     d = _frames(spark, sf_dir).withColumn("p", ops.power_spectrum(F.col("x")))
-    return ops.unpredictability(d, "track", "id", "p").select("track", "id", "chaos")
+    u = ops.unpredictability(d, "track", "id", "p")
+    return u.select("track", "id", _whole("chaos", 1e5).alias("chaos"))
 
 
-@query("pre_echo")
+@query("pre_echo", """
+with t as (select label as track, vec_id as id, embedding, lag(embedding) over (partition by label order by vec_id) as b from embeddings)
+select track, id, array_to_string([cast(round(case when b is null then abs(cast(embedding[i] as double)) else least(abs(cast(embedding[i] as double)), 2 * abs(cast(b[i] as double))) end * 1e6) as bigint) for i in range(1, 65)], ',') as limited from t""")
 def pre_echo(spark, sf_dir):
     d = _frames(spark, sf_dir).withColumn("t", F.transform("x", lambda v: F.abs(v)))
-    return ops.pre_echo_limited(d, "track", "id", "t").select("track", "id", "limited")
+    return ops.pre_echo_limited(d, "track", "id", "t").select("track", "id", _whole("limited", 1e6).alias("limited"))
+
+
+_SHARES = "[" + ", ".join(f"{x}::double" for x in ops.ALIASES) + "]"
+
+
+@query("band_energies", f"""
+with p as (select vec_id as id, [cast(v as double) * v for v in embedding] as p, {_SHARES} as f from embeddings), b as (select id, p, f, unnest(range(4)) as k from p),
+l as (select id, k, [p[16 * k + n + 1] + case when n < 7 and k > 0 then f[n + 1] * (p[16 * k - n] - p[16 * k + n + 1]) when n > 8 and k < 3 then f[16 - n] * (p[16 * k + 32 - n] - p[16 * k + n + 1]) else 0 end for n in range(16)] as e from b)
+select id, string_agg(cast(cast(round(list_sum(e) * 1e6) as bigint) as varchar), ',' order by k) as energy from l group by id""")
+def band_energies(spark, sf_dir):
+    p = F.transform("x", lambda v: v * v)
+    return _frames(spark, sf_dir).select("id", _whole(ops.band_energies(p, 16, 4), 1e6).alias("energy"))
+
+
+@query("partition_energies", """
+with p as (select vec_id as id, [cast(v as double) * v for v in embedding] as p, [abs(cast(v as double)) for v in embedding] as a, embedding as x from embeddings)
+select id, array_to_string([cast(round(v * 1e6) as bigint) for v in [list_sum(p[1:2]), list_sum(p[3:6]), pow(list_sum(a[7:12]), 2) / 6, pow(list_sum(a[13:30]), 2) / 18, list_sum(p[31:64])]], ',') as plain,
+  cast(round(list_sum([p[i] * i for i in range(31, 65)]) * 1e6) as bigint) as weighted from p""")
+def partition_energies(spark, sf_dir):
+    p, n = F.transform("x", lambda v: v * v), [0, 2, 6, 12, 30, 64]
+    w = ops.partition_energies(p, n, (2, 4), F.transform("x", lambda v, i: (i + 1).cast("double")))
+    return _frames(spark, sf_dir).select("id", _whole(ops.partition_energies(p, n, (2, 4)), 1e6).alias("plain"), F.round(w[4] * 1e6).cast("long").alias("weighted"))
+
+
+@query("transient_noise", """with q as (select vec_id as id, [cast(x as double) for x in embedding[1:36]] as x, [round_even(cast(x as double) * 8, 0) / 8 for x in embedding[1:36]] as y from embeddings)
+select id, round(list_max([list_sum([(x[12 * b + i] - y[12 * b + i]) * (x[12 * b + i] - y[12 * b + i]) for i in range(1, 13)]) / list_sum([x[12 * b + i] * x[12 * b + i] for i in range(1, 13)]) for b in range(3)]), 6) as ratio from q""")
+def transient_noise(spark, sf_dir):
+    d = _frames(spark, sf_dir).select("id", F.slice("x", 1, 36).alias("x")).withColumn("y", ops.restored(ops.quantised(F.col("x"), F.lit(8.0), 64), F.lit(1 / 8), 64))
+    return d.select("id", F.round(ops.transient_noise(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+@query("encode_blocks", """
+with x as (select vec_id as id, [case when vec_id % 3 = 0 and i > 20 then 0.0 else embedding[i] end for i in range(1, 65)] as x from embeddings), f as (select id, unnest(range(4)) as n, x from x)
+select id, n as frame, cast(len(x[20 * n + 1:20 * n + 28]) as int) as samples, len([v for v in x[20 * n + 1:20 * n + 20] if v <> 0]) = 0 as silent from f""")
+def encode_blocks(spark, sf_dir):
+    x = F.transform("x", lambda v, i: F.when((F.col("id") % 3 == 0) & (i >= 20), 0.0).otherwise(v))
+    f = _frames(spark, sf_dir).select("id", F.posexplode(ops.encode_blocks(x, 20, 8)).alias("frame", "f"))
+    return f.select("id", F.col("frame").cast("long").alias("frame"), F.size("f.samples").alias("samples"), "f.silent")
+
+
+@query("band_resolutions")
+def band_resolutions(spark, sf_dir):
+    """Resolutions and scale factor steps of three bands of 36 samples made of each vector."""
+    x = F.transform(F.flatten(F.array(F.slice("x", 1, 36), F.slice("x", 29, 36), F.reverse(F.slice("x", 1, 36)))), lambda v: v * 30000)
+    d = _frames(spark, sf_dir).select("id", x.alias("x"), F.array(*((F.col("id") % 40 * (b + 1)).cast("double") for b in range(3))).alias("smr"), F.array(*(F.lit(1.0 + b) for b in range(3))).alias("comp"), F.array(F.col("id") % 2 == 0, F.lit(False), F.lit(False)).alias("moving"))
+    return ops.allocated(d, "x", "smr", "comp", "moving", 8.0).select("id", F.array_join("res", ",").alias("res"), F.array_join("steps", ",").alias("steps"))
 
 
 @query("subband_frames")
