@@ -143,6 +143,44 @@ def test_neighbours(spark):
     assert mih.search(few, few).count() == 6 and mih.search(few.where("false"), few).count() == 0
 
 
+def _recall(spark, x, k=10):
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in mih.search(d, d.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for i, mine in got.items():
+        dist = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((np.arange(len(x)), dist)) if j != i][:k]
+        assert [m[0] for m in sorted(mine)] == list(range(1, k + 1)) and all(abs(m[2] - dist[m[1]]) < 1e-12 for m in mine)
+        hits += len({m[1] for m in mine} & {*order})
+    assert sorted(got) == list(range(0, len(x), 100))
+    return hits / (k * len(got))
+
+
+def test_neighbours_by_key_where_vectors_have_structure(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((300, 32))
+    x = np.repeat(centres, 20, axis=0) + 0.05 * rng.standard_normal((6000, 32))
+    x = np.concatenate([x, rng.standard_normal((40, 32)) * 3])  # and some far from all others
+    model = mih.fit(x)
+    assert model.reached < 0.1, model.reached
+    codes = model.codes(x)
+    for i in (0, 77, 6010):
+        far = mih.limits(model.radius, codes.shape[1])
+        found = {int(v) for v in mih.probes(codes[i], model.radius)}
+        by_keys = np.array([any((j << 16) + int(c[j]) in found for j in range(len(c))) for c in codes[:500]])
+        assert (by_keys == (np.bitwise_count(codes[:500] ^ codes[i]) <= far).any(axis=1)).all()
+    monkeypatch.setattr(mih, "HOT", 50)
+    assert _recall(spark, x) >= 0.9
+
+
+def test_neighbours_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mih, "INDEX_BLOCK", 700)
+    monkeypatch.setattr(mih, "QUERY_BLOCK", 9)
+    assert _recall(spark, np.random.default_rng(9).standard_normal((4000, 32))) >= 0.9
+
+
 @pytest.mark.parametrize("radius", [0, 5, 16, 33, 47])
 def test_probing_finds_every_code_in_the_radius(radius):
     rng = np.random.default_rng(radius)
