@@ -9,8 +9,9 @@ Features are known by their 32-bit checksum. Those of a text are its distinct wo
 its runs of signs (their first three) and whether it has words in capitals;
 of those in the sample the `features` with the largest chi-squared statistic against the category are used.
 
-The models are fitted on at most `sample` labelled rows for each value of each category, chosen by the hash of the id; the
-driver gets their checksums, four bytes a feature. Everything else, the scoring of all texts, is distributed.
+The models are fitted on at most `sample` labelled rows for each value of each category, chosen by the hash of the id, and on
+no more of their documents than have `SAMPLE_BYTES` of features; the driver gets their checksums, four bytes a feature. The
+tables at hand label two categories, low quality and toxicity; `fit` takes any number. Everything else, the scoring of all texts, is distributed.
 
 Defined results: null and empty texts have no feature and so the base rate; a category without both values in the sample
 has its rate as probability and rejects nothing; labels that are null take no part, ids with several label rows or
@@ -29,12 +30,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.llm import words
-from tessitura.llm.common import ship, table
+from tessitura.llm.common import ship, staged, table
 
 SAMPLE, FEATURES, FOLDS = 2_500, 1_024, 3
+#: The sample's features that the driver takes at most.
+SAMPLE_BYTES = 96 << 20
 #: A feature speaks for or against a category from this chi-squared statistic on (odds of chance below 1 in 10,000).
 STRONG = 15.1
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -181,7 +185,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[tuple[np.ndarray, tuple[int, ...]]]:
-    """The bounded sample: up to `sample` rows for each value of each category."""
+    """The bounded sample: up to `sample` rows for each value of each category, and of the documents that have their ids, in
+    the order of the ids' hashes, as many as have `SAMPLE_BYTES` of features together."""
     named = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values()))).dropna()
     picks = [named.where(f"y{i} = {v}").orderBy(F.xxhash64("id"), "id").limit(sample) for i in range(len(categories)) for v in (0, 1)]
     some = reduce(DataFrame.unionByName, picks).distinct()
@@ -193,9 +198,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
             distinct, index, offsets = words.split(b.column("text"))
             got, at = words.spread([tuple(features(w)) for w in distinct], index, offsets, np.uint32)
             rows = [np.unique(got[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(b.column(y) for y in ys)], ["features", *ys])
-
-    rows = d.mapInArrow(run, "features binary, " + ", ".join(f"{y} int" for y in ys)).collect()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column("place"), *(b.column(y) for y in ys)], ["features", "place", *ys])
+
+    d = d.withColumn("place", F.xxhash64("id")).drop("id")
+    made = staged(d.mapInArrow(run, "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys)), "chain-sample")
+    # an id may have many documents: the least places first, then what fits
+    few = made.orderBy("place", "features").limit(4 * len(categories) * sample)
+    upto = F.sum(F.length("features") + 64).over(W.orderBy("place", "features").rowsBetween(W.unboundedPreceding, 0))
+    rows = few.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).drop("upto").collect()
     return [(np.frombuffer(c, np.uint32), v) for c, v in sorted((bytes(r.features), tuple(r[y] for y in ys)) for r in rows)]
 
 
@@ -213,7 +223,7 @@ def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", tex
     plain = [(x.earlier, x.bias, x.threshold) for x in chain]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = words.Cache(lambda ws: [sorted(number[f] for f in features(w) if f in number) for w in ws])
+        cache = words.Cache(lambda ws: [sorted(number[f] for f in features(w) if f in number) for w in ws], limit=250_000)
         for b in words.chunks(batches, text):
             distinct, index, offsets = words.split(b.column(text))
             got, at = words.spread(cache.get(distinct), index, offsets, np.int64)

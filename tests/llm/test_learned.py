@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.llm import bagminhash, chains, mih
 from tessitura.llm.components import components
@@ -224,3 +225,30 @@ def test_toxic_documents_are_found(spark):
     assert kept.columns == d.columns and kept.count() == len(rows) - 100
     none = chains.chain_for(d.where("false"), lab.where("false"))
     assert chains.score(d.where("false"), none).count() == 0 and chains.clean(d, none).count() == len(rows)
+
+
+def test_scores_equal_a_slow_version_and_three_categories_chain(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(60)] + ["rubbish", "IDIOT", "scum!!", "Höhle", "don't", "x-y", "10%"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    junk, mean = [int("rubbish" in t) for t in texts], [int("IDIOT" in t or "scum" in t) for t in texts]
+    both = [int(a and b) for a, b in zip(junk, mean)]
+    chain = chains.fit([(chains.codes(t), (a, b, c)) for t, a, b, c in zip(texts, junk, mean, both)], ["junk", "mean", "both"])
+    assert [len(c.earlier) for c in chain] == [0, 1, 2] and chain[2].earlier[0] > 0 and chain[2].earlier[1] > 0
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "rubbish " * 30_000])], "doc_id int, text string").repartition(3)
+    for x in chains.score(d, chain).collect():
+        text = [*texts, "", "rubbish " * 30_000][x.doc_id]
+        has, ps = {f for w in text.split() for f in chains.features(w)}, []
+        for c in chain:
+            z = c.bias + sum(v for f, v in c.weights.items() if f in has) + sum(w * p for w, p in zip(c.earlier, ps))
+            ps.append(1 / (1 + np.exp(-z)))
+            assert x[f"p_{c.category}"] == pytest.approx(ps[-1], abs=1e-9) and x[f"is_{c.category}"] == int(ps[-1] >= c.threshold)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    d = spark.createDataFrame([(i % 5, f"word{i} other{i}") for i in range(500)], "doc_id int, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id int, toxic int")
+    rows = lambda: chains.training_rows(d, lab, {"toxic": F.col("toxic")}, sample=2)
+    assert len(rows()) == 8
+    monkeypatch.setattr(chains, "SAMPLE_BYTES", 300)
+    assert 0 < len(rows()) < 5
