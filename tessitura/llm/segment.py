@@ -179,7 +179,7 @@ def _cache(model: str) -> words.Cache:
             p = lattice.best(text, 2)
             return array("i", p[0][1]).tobytes(), p[0][0], p[0][0] - p[1][0] if len(p) > 1 else np.inf
 
-        _caches[model] = words.Cache(lambda ws: [one(w) for w in ws], limit=300_000)
+        _caches[model] = words.Cache(lambda ws: [one(w) for w in ws], limit=200_000)
     return _caches[model]
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text that are worked on at once in a Python worker.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
