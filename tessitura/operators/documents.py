@@ -201,6 +201,20 @@ def enriched(tracks: DataFrame, external: DataFrame, keys: list[str], fields: li
     return d.withColumns({f: filled(F.col(f), F.col(f"__{f}")) for f in fields}).drop(*(f"__{f}" for f in fields))
 
 
+def external_applied(own: DataFrame, external: DataFrame, key: str) -> DataFrame:
+    """Own album and release fields (one row for each key) with what is empty filled from the external release of the same key:
+    (key, doc) with the external catalog's JSON. Of several documents the least counts."""
+    x = external.groupBy(key).agg(F.min(chosen_release(F.col("doc"))).alias("doc")).select(key, F.from_json("doc", EXTERNAL).alias("x"))
+    group = F.col("x")["release-group"]
+    fields = {
+        "title": F.col("x.title"), "date": F.col("x.date"), "country": F.col("x.country"), "barcode": F.col("x.barcode"), "release_id": F.col("x.id"),
+        "group_id": group["id"], "original_date": group["first-release-date"], "release_type": media.release_type(group["primary-type"]),
+        "media_count": F.when(F.size("x.media") > 0, F.size("x.media").cast("string")),
+    }
+    d = own.join(x, key, "left")
+    return d.select(key, *((filled(F.col(n), c) if n in own.columns else c).alias(n) for n, c in fields.items()))
+
+
 def first_per_role(art: DataFrame, key: str, order: str) -> DataFrame:
     """One picture for each role: local files before embedded ones, then by order; roles without a local file keep theirs."""
     return art.groupBy(key, "role").agg(F.min_by("path", F.struct(F.when(F.col("local"), 0).otherwise(1), order)).alias("path"))

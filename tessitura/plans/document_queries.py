@@ -32,7 +32,17 @@ def manifest_problems(spark, sf_dir):
     return m.select("id", F.array_join(ops.problems(F.col("m")), ",").alias("problems"))
 
 
-@query("manifest_fingerprints")
+#: The canonical text of each order's manifest, put together piece by piece.
+_CANON = """
+with l as (select l_orderkey as k, l_linenumber as n, min(l_partkey) as part, min(l_discount) as d from lineitem group by 1, 2),
+t as (select k, string_agg('{"track":' || (case when k % 11 = 0 then 1 else n end) || ',"title":"T' || part || '","loudness":{"trackLUFS":' || (case when k % 13 = 0 then 9.0::double else -6 - d end) || '},"audio":{"path":"'
+  || case when k % 17 = 0 then '../' || n else 'audio/' || n end || '","sha256":"' || sha256(cast(part as varchar)) || '"}}', ',' order by case when k % 11 = 0 then 1 else n end, 'T' || part, case when k % 13 = 0 then 9.0::double else -6 - d end, case when k % 17 = 0 then '../' || n else 'audio/' || n end) as tracks from l group by k),
+j as (select k as id, '{"format":"album","version":' || (case when k % 19 = 0 then 2 else 1 end) || ',"album":{' || case when k % 7 <> 0 then '"title":"Album ' || k || '",' else '' end || '"artists":[{"name":"A"}],"releaseType":"'
+  || case when k % 5 = 0 then 'opera' else 'album' end || '"},"media":[{"disc":1,"tracks":[' || tracks || ']}]}' as json from t where k % 23 <> 0)
+"""
+
+
+@query("manifest_fingerprints", _CANON + "select id, sha256(json) as fingerprint, json as canonical from j")
 def manifest_fingerprints(spark, sf_dir):
     m = ops.parsed(_manifests(spark, sf_dir))
     return m.where("m.format is not null").select("id", ops.fingerprint(F.col("m")).alias("fingerprint"), ops.canonical(F.col("m")).alias("canonical"))
@@ -78,6 +88,44 @@ def tag_projection(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.array_join(F.transform(t, lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("tags"))
 
 
+#: A field of each kind and the value that it has for a part.
+_FIELDS = {
+    "album": "p_name", "album_artist": "p_brand", "release_type": "case p_partkey % 3 when 0 then 'EP' when 1 then 'Live' end", "original_date": "cast(1900 + p_size as varchar)", "genre": "p_type", "date": "cast(1950 + p_size as varchar)",
+    "country": "case when p_partkey % 2 = 0 then 'XE' end", "label": "'L' || p_size", "catalogue": "'C' || p_partkey", "barcode": "cast(p_partkey * 7 as varchar)", "release_id": "'r' || p_partkey", "group_id": "'g' || p_size", "source": "'Shop'",
+}
+_KEYS = {f: ops.ALIASES[f][0] for f in _FIELDS}
+
+
+@query("tag_projection_whole", "select p_partkey as id, array_to_string([x for x in [" + ", ".join(f"'{_KEYS[f]}=' || {_FIELDS[f]}" for f in sorted(_FIELDS, key=lambda f: _KEYS[f])) + "] if x is not null], ',') as tags from part")
+def tag_projection_whole(spark, sf_dir):
+    t = ops.to_tags({f: F.expr(v.replace("varchar", "string")) for f, v in _FIELDS.items()})
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(t, lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("tags"))
+
+
+_MAPPED = {"title": "album", "original_date": "original_date", "date": "date", "country": "country", "label": "label", "catalogue": "catalogue", "barcode": "barcode", "release_id": "release_id", "group_id": "group_id"}
+
+
+@query("tag_albums_whole", "select p_partkey as id, " + ", ".join(f"{_FIELDS[f]} as {n}" for n, f in _MAPPED.items()) + ", case p_partkey % 3 when 0 then 'ep' when 1 then 'live-album' end as release_type, p_brand as artists, p_type as genres, 'Shop' as store, 'digital-download' as source_type from part")
+def tag_albums_whole(spark, sf_dir):
+    """Every album field from the tags that its projection makes."""
+    t = ops.to_tags({f: F.expr(v.replace("varchar", "string")) for f, v in _FIELDS.items()})
+    a = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ops.album_of(t).alias("a"))
+    return a.select("id", *(F.col(f"a.{n}").alias(n) for n in _MAPPED), F.col("a.release_type").alias("release_type"), F.array_join("a.artists", ",").alias("artists"), F.array_join("a.genres", ",").alias("genres"), F.col("a.store").alias("store"), F.col("a.source_type").alias("source_type"))
+
+
+@query("external_apply", """
+select o_orderkey as id, case when o_orderkey % 2 = 0 then 'Own' when o_orderkey % 3 > 0 then 'X' || o_orderkey end as title, case when o_orderkey % 3 > 0 then 'r' || o_orderkey end as release_id, case when o_orderkey % 3 > 0 then 'single' end as release_type,
+  case when o_orderkey % 3 > 0 then strftime(o_orderdate, '%Y') end as original_date, case when o_orderkey % 3 > 0 then '2' end as media_count from orders""")
+def external_apply(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders")
+    own = o.select(k.alias("id"), F.when(k % 2 == 0, "Own").otherwise("").alias("title"), F.lit(None).cast("string").alias("barcode"))
+    group = F.struct(F.lit("g").alias("id"), F.lit("Single").alias("primary-type"), F.date_format("o_orderdate", "yyyy").alias("first-release-date"))
+    doc = F.to_json(F.struct(F.concat(F.lit("r"), k).alias("id"), F.concat(F.lit("X"), k).alias("title"), group.alias("release-group"), F.array(F.struct(F.lit(1).alias("position")), F.struct(F.lit(2).alias("position"))).alias("media")))
+    x = o.where("o_orderkey % 3 > 0").select(k.alias("id"), F.when(k % 5 == 0, F.concat(F.lit('{"releases":['), doc, F.lit("]}"))).otherwise(doc).alias("doc"))
+    return ops.external_applied(own, x, "id").select("id", "title", "release_id", "release_type", "original_date", "media_count")
+
+
 @query("tag_collapse", "select conv_id, min(turn) as pos, arg_min(role, turn) as tag, string_agg(text, chr(0) order by turn) as value from (select conv_id, turn, role, min(text) as text from conversations group by all) group by conv_id, lower(role)")
 def tag_collapse(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("value"))

@@ -269,6 +269,17 @@ def pcm_frames(files: DataFrame, size: int = 1152) -> DataFrame:
                      lambda path, i, t, error: (path, i, *(t or (None, None, None, None, None)), error))
 
 
+def wav_files(frames: DataFrame, bits: int = 16, scale: float = 1.0) -> DataFrame:
+    """(path, content): a WAV file of each path's frames (path, frame_no, rate, l, r) in order, scaled and clipped."""
+
+    def run(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("frame_no", kind="stable")
+        x = np.stack([np.concatenate([np.zeros(0), *p[c]]) for c in ("l", "r")], axis=1) * scale
+        return pd.DataFrame({"path": [names[0]], "content": [to_wav(np.clip(x, -1, 1) if bits == 32 else x, int(p["rate"].iloc[0]), bits)]})
+
+    return frames.select("path", "frame_no", "rate", "l", "r").groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 # ---- block streams -----------------------------------------------------------
 
 def varint(data: bytes, at: int) -> tuple[int, int]:

@@ -88,3 +88,29 @@ def test_manifest_pretty_formats_every_order(spark, tmp_path):
     assert got.keys() == {k for k, *_ in rows if k % 23}
     assert all(json.dumps(json.loads(x), indent=2, ensure_ascii=False) == x for x in got.values())
     assert [t["title"] for t in json.loads(got[4000])["media"][0]["tracks"]] == ["T28001", "T28002"]
+
+
+def test_merge_keeps_unknown_fields(spark):
+    import json
+    import random
+
+    r = random.Random(3)
+
+    def value(depth):
+        kind = r.randrange(5 if depth else 3)
+        return r.randrange(9) if kind == 0 else None if kind == 1 else "é\"x" if kind == 2 else [value(depth - 1) for _ in range(r.randrange(4))] if kind == 3 else {k: value(depth - 1) for k in r.sample("abcd", r.randrange(4))}
+
+    def merged(a, b):
+        if isinstance(a, dict) and isinstance(b, dict):
+            out = dict(a)
+            for k in b:
+                out[k] = merged(a[k], b[k]) if k in a else b[k]
+            return out
+        return [merged(a[i], x) if i < len(a) else x for i, x in enumerate(b)] if isinstance(a, list) and isinstance(b, list) else b
+
+    from tessitura.operators import documents
+
+    pairs = [({k: value(3) for k in "abc"}, {k: value(3) for k in "bcd"}) for _ in range(60)]
+    d = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)] + [(60, None, "{}"), (61, "{}", None)], "i int, a string, b string")
+    got = {x.i: x.m for x in d.select("i", documents.merged(F.col("a"), F.col("b")).alias("m")).collect()}
+    assert all(json.loads(got[i]) == merged(a, b) for i, (a, b) in enumerate(pairs)) and got[60] == got[61] == "{}"

@@ -241,3 +241,54 @@ def test_import_folder_is_classified(spark):
     names = ["CD 2/03 - Air.flac", "cover.jpg", "01. One.wav", "booklet.pdf", "x.lrc", "notes.txt"]
     rows = files.classified(spark.createDataFrame([("/in/" + n,) for n in names], "path string")).collect()
     assert [(r.kind, r.disc, r.number, r.title) for r in rows] == [("audio", 2, 3, "Air"), ("artwork", None, None, None), ("audio", 1, 1, "One"), ("booklet", None, None, None), ("lyrics", None, None, None), ("extra", None, None, None)]
+
+
+def test_wav_sink_round_trip(spark, tmp_path):
+    x = np.random.default_rng(1).uniform(-1, 1, (3000, 2))
+    d = spark.createDataFrame([("a.wav", bytearray(files.to_wav(x, 8000, 24)))], "path string, content binary")
+    out = files.wav_files(files.pcm_frames(d, 500).repartition(4), 24).first()
+    assert out.path == "a.wav" and bytes(out.content) == files.to_wav(x, 8000, 24)
+    loud = files.wav_files(files.pcm_frames(d, 500), 16, 4.0).first()
+    assert np.allclose(files.wav(bytes(loud.content))[1], np.clip(x * 4, -1, 32767 / 32768), atol=1e-4)
+
+
+def test_tables_are_made_and_migrated_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessitura.sources import tables
+
+    t = tables.opened(spark, str(tmp_path / "c"))
+    assert "sessions" in t and t["artists"].columns == ["id", "name"] and max(tables.applied(spark, str(tmp_path / "c")).values()) == 2
+    add = tables.Step(3, {"artists": lambda old: old["artists"].unionByName(spark.createDataFrame([(1, "A")], "id bigint, name string")).withColumn("sort", F.lower("name"))})
+    broken = tables.Step(4, {"groups": lambda old: old["groups"].select("nothing")})
+    assert tables.opened(spark, str(tmp_path / "c"), [*tables.STEPS, add])["artists"].collect() == [(1, "A", "a")]
+    assert tables.opened(spark, str(tmp_path / "c"), [*tables.STEPS, add])["artists"].count() == 1
+    with pytest.raises(Exception):
+        tables.opened(spark, str(tmp_path / "c"), [*tables.STEPS, add, broken])
+    assert tables.applied(spark, str(tmp_path / "c"))["groups"] == 1
+    with pytest.raises(ValueError):
+        tables.opened(spark, str(tmp_path / "c"))
+
+
+def test_samples_are_pulled_by_position(spark, tmp_path):
+    from tessitura.streaming import samples
+
+    x = np.random.default_rng(2).uniform(-1, 1, (2500, 2)).astype("<f4")
+    (tmp_path / "a.wav").write_bytes(files.to_wav(x, 8000, 32))
+    seen = []
+    spark.sparkContext.environment["PYTHONPATH"] = spark.sparkContext.environment.get("PYTHONPATH", "")
+    q = samples.stream(spark, str(tmp_path / "a.wav"), 1000, 100).writeStream.foreachBatch(lambda d, n: seen.append(d.orderBy("position").collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = [r for b in seen for r in b]
+    assert [r.position for r in rows] == list(range(100, 2500)) and max(map(len, seen)) <= 1000
+    assert np.allclose([[r.l, r.r] for r in rows], x[100:])
+
+
+def test_replay_has_pre_roll_and_stale_rows_go(spark):
+    d = spark.createDataFrame([("a", i, g) for i in range(100) for g in (1, 2) if g == 1 or i < 50], "track string, frame int, gen int")
+    rows = scans.replay(d.where("gen = 1"), "track", "frame", 60, 32).collect()
+    assert sorted(r.frame for r in rows) == list(range(28, 100)) and all(r.wanted == (r.frame >= 60) for r in rows)
+    assert {r.gen for r in scans.current(d, "gen", "track").collect()} == {2}
