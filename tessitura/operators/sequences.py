@@ -6,11 +6,36 @@ many and each is bounded by one file's length. Lookups are arithmetic or window-
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def folded(rows: DataFrame, key: str, order: str, inputs: list[str], schema: str, start: Callable[[], Any], step: Callable[..., tuple[Any, tuple]]) -> DataFrame:
+    """(key, order, schema's columns): step(state, *inputs) gives the next state and a row's values, from start() at each key's
+    first row. One sorted pass over a partition, with one key's state in memory: for what no window function can carry."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = [key, order, *(x.split()[0] for x in schema.split(", "))]
+    d = rows.select(key, order, *inputs).repartition(F.col(key)).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, first = None, None, True
+        for b in batches:
+            out = []
+            for k, o, *values in zip(b[key], b[order], *(b[c] for c in inputs)):
+                if first or k != now:
+                    now, state, first = k, start(), False
+                state, made = step(state, *values)
+                out.append((k, o, *made))
+            yield pd.DataFrame(out, columns=names)
+
+    return d.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {schema}")
+
+
 def second_difference(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """`delta`: t[i] - 2 t[i-1] + t[i-2], with what is before the start as 0, and `coded` with its sign in the low bit."""
     w = W.partitionBy(key).orderBy(order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.operators import psychoacoustics as ear
 from tessitura.operators import signal as ops
 from tessitura.plans.catalog_tables import read
 from tessitura.plans.registry import query
@@ -206,3 +207,79 @@ def worst_spectrum(spark, sf_dir):
     a = _frames(spark, sf_dir)
     b = a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))
     return a.join(b, "id").select("id", F.round(F.aggregate(ops.worst(F.col("x"), F.col("y")), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+_PARTS = "with p as (select vec_id as id, label as track, [list_sum([cast(v as double) * v for v in embedding[8 * i + 1:8 * i + 8]]) for i in range(8)] as e, [list_sum([cast(v as double) * v * (0.1 + 0.1 * i) for v in embedding[8 * i + 1:8 * i + 8]]) for i in range(8)] as w from embeddings)"
+_BARKS = [0.5 * i for i in range(8)]
+
+
+def _parts(spark, sf_dir):
+    p = F.transform("x", lambda v: v * v)
+    e = ops.partition_energies(p, list(range(0, 65, 8)), (8, 8))
+    return _frames(spark, sf_dir).select("id", "track", e.alias("e"), F.transform(e, lambda v, i: v * (0.1 + 0.1 * i)).alias("w"))
+
+
+@query("masking_spread", _PARTS + """, r as (select i, j, case when j - i between -5 and 7 then pow(10.0::double, (15.81::double + 7.5::double * (0.5 * (j - i) + 0.474::double) - 17.5::double * sqrt(1 + pow(0.5 * (j - i) + 0.474::double, 2))) / 10) else 0 end as m from range(8) a(i), range(8) b(j)),
+x as (select id, unnest(range(8)) as i, e, w from p), s as (select id, j, sum(e[x.i + 1] * m) as e, sum(w[x.i + 1] * m) as w from x join r on r.i = x.i group by id, j),
+o as (select id, j, e, w / e as q from s),
+t as (select id, j, e / 8 * least(case when q <= 0.05737540597 then pow(10.0::double, -1.8::double) when q < 0.5871011603 then pow(10.0::double, -0.1::double * (6 - 12 * 0.229::double)) * pow(q, 12 * 0.099011159::double) else pow(10.0::double, -0.6::double) end, 0.2::double) as t from o)
+select id, string_agg(cast(cast(round(t * 1e8) as bigint) as varchar), ',' order by j) as threshold from t group by id""")
+def masking_spread(spark, sf_dir):
+    import numpy as np
+
+    m = ear.spreading(np.array(_BARKS))
+    t = ear.tonality_offset(ear.spread(F.col("e"), m), ear.spread(F.col("w"), m), [8] * 8, [0.2] * 8, 18.0, 6.0)
+    return _parts(spark, sf_dir).select("id", _whole(t, 1e8).alias("threshold"))
+
+
+@query("line_thresholds", f"""
+with t as (select vec_id as id, [cast(v as double) * v for v in embedding] as t, {_SHARES} as f from embeddings), l as (select id, t, f, unnest(range(64)) as i from t),
+m as (select id, i, least(t[i + 1], case when i % 16 < 7 and i > 15 then t[i - 2 * (i % 16)] / f[i % 16 + 1] when i % 16 > 8 and i < 48 then t[i + 2 * (16 - i % 16)] / f[16 - i % 16] else t[i + 1] end) as v from l)
+select id, string_agg(cast(cast(round(v * 1e8) as bigint) as varchar), ',' order by i) as threshold from m group by id""")
+def line_thresholds(spark, sf_dir):
+    t = F.transform("x", lambda v: v * v)
+    return _frames(spark, sf_dir).select("id", _whole(ear.line_thresholds(t, 16, 4), 1e8).alias("threshold"))
+
+
+@query("quiet_thresholds", _PARTS + """, l as (select id, e, unnest(range(64)) as k from p)
+select id, string_agg(cast(cast(round(pow(sqrt(e[k // 8 + 1]) + sqrt((0.01 + k * 0.001::double) * 1.5 * 0.25), 2) * 1e8) as bigint) as varchar), ',' order by k) as threshold from l group by id""")
+def quiet_thresholds(spark, sf_dir):
+    t = ear.in_quiet(F.col("e"), [0.01 + k * 0.001 for k in range(64)], list(range(0, 65, 8)), F.lit(1.5))
+    return _parts(spark, sf_dir).select("id", _whole(t, 1e8).alias("threshold"))
+
+
+@query("raised_ratios", _PARTS + """, l as (select id, e, unnest(range(8)) as k from p)
+select id, string_agg(cast(cast(round(greatest(e[k + 1], least(0.15::double, list_max(e[k + 1:8]))) * 1e8) as bigint) as varchar), ',' order by k) as ratios from l group by id""")
+def raised_ratios(spark, sf_dir):
+    return _parts(spark, sf_dir).select("id", _whole(ear.raised(F.col("e"), 0.15), 1e8).alias("ratios"))
+
+
+@query("stereo_thresholds")
+def stereo_thresholds(spark, sf_dir):
+    """Thresholds of all stereo modes, of the first half of each vector as left and the second as right."""
+    sums = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(F.slice(c, i * 8 + 1, 8), F.lit(0.0), lambda a, v: a + v * v))
+    l, r = F.slice("x", 1, 32), F.slice("x", 33, 32)
+    m, s = ops.mid_side(l, r)
+    d = _frames(spark, sf_dir).select("id", *(sums(c).alias(k) for k, c in zip("lrms", (l, r, m, s))))
+    e = {k: F.col(k) for k in "lrms"}
+    t = lambda k: F.transform(k, lambda v: v * 0.1)
+    modes = (3, 4, 5, 6, *ear.STEREO, 22)
+    rows = F.array(*(F.struct(F.lit(m).alias("mode"), ear.mid_side_thresholds(e, t("l"), t("r"), m, [8] * 4).alias("t")) for m in modes))
+    return d.select("id", F.explode(rows).alias("x")).select("id", "x.mode", *(F.array_join(F.transform(f"x.t.{k}", lambda v: F.round(F.least(v, F.lit(1e6)) * 1e6).cast("long").cast("string")), ",").alias(k) for k in "lrms"))
+
+
+@query("adapted_thresholds")
+def adapted_thresholds(spark, sf_dir):
+    """Loudness, post-masking and short blocks of each track's frames in order."""
+    d = _parts(spark, sf_dir)
+    a = ear.adapted_quiet(d, "track", "id", "e", "w", [1e6] * 8, 20.0)
+    m = ear.post_masked(d, "track", "id", "e", [0.05] * 8)
+    pieces = F.array(*(F.slice("e", 2 * i + 1, 2) for i in range(4)))
+    s = ear.short_blocks(d.withColumn("pieces", pieces), "track", "id", "pieces", [2, 2], 0.5, 1.5)
+    return a.join(m, ["track", "id"]).join(s, ["track", "id"])
+
+
+@query("unpredictable_lines")
+def unpredictable_lines(spark, sf_dir):
+    d = _frames(spark, sf_dir).withColumns({"p": ops.power_spectrum(F.col("x")), "f": ops.phases(F.col("x"))})
+    return ear.unpredictable(d, "track", "id", "p", "f").select("track", "id", "unpredictability")

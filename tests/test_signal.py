@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import codec, queues, signal
+from tessitura.operators import codec, psychoacoustics, queues, signal
 
 
 def rows(spark, x):
@@ -132,3 +132,106 @@ def test_cache_and_buffer_against_a_loop(spark):
         want.append((k, i, level[k] - old, level[k], paused[k], max(0.0, old + a - 8, -old - a)))
     got = queues.ring_fill(spark.createDataFrame(moves, "k int, i int, amount double").repartition(3), "k", "i", 8, 0.8, 0.2).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_what_the_ear_remembers_frame_by_frame(spark):
+    r = np.random.default_rng(11)
+    e = 10 ** r.uniform(-2, 4, (2, 30, 6))
+    d = spark.createDataFrame([(t, i, e[t, i].tolist(), (e[t, i] / 2).tolist(), e[t, i].reshape(3, 2).tolist()) for t in range(2) for i in range(30)], "t int, i int, l array<double>, r array<double>, parts array<array<double>>").repartition(4)
+    quiet = [1.0, 2.0, 0.5, 10.0, 1.0, 3.0]
+    got = {(x.t, x.i): x for x in psychoacoustics.adapted_quiet(d, "t", "i", "l", "r", [1e4] * 6, 20.0).collect()}
+    masked = {(x.t, x.i): x.masked for x in psychoacoustics.post_masked(d, "t", "i", "l", quiet).collect()}
+    short = {(x.t, x.i): x for x in psychoacoustics.short_blocks(d, "t", "i", "parts", [3, 4], 0.5, 20.0).collect()}
+    for t in range(2):
+        loud, a, b, tau, old, last, older = 0.0, [0.0] * 6, [0.0] * 6, [0.0] * 6, [0.0] * 6, [0.0] * 2, [0.0] * 2
+        for i in range(30):
+            loud = 0.98 * loud + 0.02 * 0.5 * sum((x + x / 2) * 1e4 for x in e[t, i])
+            assert (got[t, i].loudness, got[t, i].adapted) == pytest.approx((loud, 1 + 20 * loud * 5.023772e-08))
+            for n in range(6):
+                f = e[t, i, n] / quiet[n]
+                kept = old[n] ** tau[n] if old[n] > 1 else 1.0
+                a[n] += 0.5 * (f - a[n])
+                b[n] += 0.15 * (f - b[n])
+                if kept < f:
+                    tau[n] = 0.8 if a[n] <= b[n] else 0.2 + b[n] / a[n] * 0.6
+                old[n] = max(f, kept)
+                assert masked[t, i][n] == pytest.approx(old[n] * quiet[n])
+            low, moved = list(last), [False] * 2
+            for part in e[t, i].reshape(3, 2):
+                for n in range(2):
+                    if part[n] > last[n]:
+                        moved[n] |= part[n] > last[n] * 20 or part[n] > older[n] * 40
+                    else:
+                        low[n] = min(low[n], part[n])
+                    older[n], last[n] = last[n], part[n]
+            assert short[t, i].threshold == pytest.approx([low[0] * 0.5 / 3, low[1] * 0.5 / 4]) and short[t, i].transient == moved
+
+
+def test_prediction_of_lines(spark):
+    n, steps = 16, 6
+    r = np.random.default_rng(12)
+    turn, size = r.uniform(0, 3, n), r.uniform(1, 2, n)
+    noise_at = 3  # all lines turn and grow steadily but one
+    rows_ = []
+    for i in range(steps):
+        p, a = turn * i, size + 0.1 * i
+        p[noise_at], a[noise_at] = r.uniform(0, 6), r.uniform(1, 3)
+        rows_.append((i, (a * a).tolist(), p.tolist(), [0, 0, 0, 100] + [0] * 12))
+    d = spark.createDataFrame(rows_, "i int, e array<double>, p array<double>, v array<int>").withColumn("k", F.lit(1))
+    out = {x.i: x.unpredictability for x in psychoacoustics.unpredictable(d, "k", "i", "e", "p").collect()}
+    assert np.allclose(out[0], 1) and all(max(c for j, c in enumerate(out[i]) if j != noise_at) < 1e-6 for i in range(2, steps)) and max(out[i][noise_at] for i in range(2, steps)) > 0.1
+    assert all(x.unpredictability[noise_at] <= 0.04 for x in psychoacoustics.unpredictable(d, "k", "i", "e", "p", "v").collect())
+
+
+def _stereo(mode, e, l, r, w):
+    out = {"l": [], "r": [], "m": [], "s": []}
+    for n in range(len(w)):
+        el, er, em, es = (e[k][n] for k in "lrms")
+        v = {"l": l[n], "r": r[n]}
+        v["m"] = v["s"] = max(em, es) / max(el, er) * min(l[n], r[n])
+        if mode in (3, 4) and n:
+            middle = min(em, es) / max(em, es) < min(el, er) / max(el, er)
+            keep = ("m" if em > es else "s") if middle else ("l" if el > er else "r")
+            drop = {"m": "s", "s": "m", "l": "r", "r": "l"}[keep]
+            for k in ("l", "r", "m", "s") if mode == 3 else (drop,):
+                if k != keep:
+                    v[k] = 1e18
+        if mode == 5:
+            v["s"] *= 2
+        if mode in (10, 11, 12, 13, 15, 22) and 4 * el > er and el < 4 * er and em != es:
+            weak, strong = ("s", "m") if em > es else ("m", "s")
+            db, kept = {10: (-1.5, 0.5), 11: (-2, 0.25), 12: (-2.5, 0.125), 13: (-3, 0.0625), 15: (-3, 0), 22: (-2.5, 0)}[mode]
+            x = e[weak][n] * 10 ** (db / 10) / w[n]
+            if v[weak] > x:
+                v[weak] = kept * v[weak] + (1 - kept) * x if mode != 22 else max(x, e[strong][n] / w[n] * 0.025)
+        for k in v:
+            out[k].append(v[k])
+    return out
+
+
+@pytest.mark.parametrize("mode", [3, 4, 5, 6, 10, 11, 12, 13, 15, 22])
+def test_stereo_thresholds_case_by_case(spark, mode):
+    r = np.random.default_rng(mode)
+    rows_ = [[(10 ** r.uniform(-1, 2, 4)).tolist() for _ in range(4)] for _ in range(25)]
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(rows_)], "id int, l array<double>, r array<double>, m array<double>, s array<double>")
+    t = lambda k: F.transform(k, lambda v: v * 0.3)
+    for x in d.select("id", psychoacoustics.mid_side_thresholds({k: F.col(k) for k in "lrms"}, t("l"), t("r"), mode, [2, 3, 4, 5]).alias("t")).collect():
+        e = dict(zip("lrms", rows_[x.id]))
+        want = _stereo(mode, e, [v * 0.3 for v in e["l"]], [v * 0.3 for v in e["r"]], [2, 3, 4, 5])
+        assert all(x.t[k] == pytest.approx(want[k]) for k in "lrms")
+
+
+def test_voice_is_found_at_its_period(spark):
+    n = np.arange(2048)
+    voice = sum(np.sin(2 * np.pi * k * 40 / 2048 * n) / k for k in range(1, 20))
+    hiss = np.random.default_rng(13).standard_normal(2048)
+    power = lambda x: np.abs(np.fft.rfft(x * np.hanning(2048))) ** 2
+    base = psychoacoustics.period(psychoacoustics.voice_cepstrum(power(voice + 0.01 * hiss)))
+    times = base / (2048 / 40)  # the period or a multiple of it
+    assert base > 0 and abs(times - round(times)) < 0.05 * round(times), base
+    assert psychoacoustics.period(psychoacoustics.voice_cepstrum(power(hiss))) == 0
+    lines = psychoacoustics.voice_lines(2048 / 40)
+    assert lines[20] == 100 and lines[30] == 0 and len(lines) == 300 and not psychoacoustics.voice_lines(0.0).any()
+    assert psychoacoustics.transient_bands is not None
+    got = spark.createDataFrame([([True, False], [False, False])], "l array<boolean>, r array<boolean>").select(psychoacoustics.transient_bands(F.col("l"), F.col("r"), [(0, 9), (10, 20)], 8)).first()[0]
+    assert got == [True, True, True, False, False, False, False, False]
