@@ -15,7 +15,7 @@ tables at hand label two categories, low quality and toxicity; `fit` takes any n
 
 Defined results: null and empty texts have no feature and so the base rate; a category without both values in the sample
 has its rate as probability and rejects nothing; labels that are null take no part, ids with several label rows or
-documents take part with each; repeated rows keep a row each; an empty table gives an empty result; `score` ignores
+documents take part with each that differs; repeated rows keep a row each; an empty table gives an empty result; `score` ignores
 other columns, `clean` keeps them.
 """
 
@@ -30,7 +30,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.llm import words
@@ -202,10 +201,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
 
     d = d.withColumn("place", F.xxhash64("id")).drop("id")
     made = staged(d.mapInArrow(run, "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys)), "chain-sample")
-    # an id may have many documents: the least places first, then what fits
-    few = made.orderBy("place", "features").limit(4 * len(categories) * sample)
-    upto = F.sum(F.length("features") + 64).over(W.orderBy("place", "features").rowsBetween(W.unboundedPreceding, 0))
-    rows = few.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).drop("upto").collect()
+    made = made.distinct().withColumn("tie", F.xxhash64("features"))
+    # an id may have many documents: the least places first, as many as fit
+    sizes = made.select("place", "tie", (F.length("features") + 64).alias("size")).orderBy("place", "tie").limit(4 * len(categories) * sample).collect()
+    fits = int(np.searchsorted(np.cumsum([r.size for r in sizes]), SAMPLE_BYTES, "right"))
+    if not fits:
+        return []
+    last = sizes[fits - 1]
+    rows = made.where((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("tie") <= last.tie)).drop("place", "tie").collect()
     return [(np.frombuffer(c, np.uint32), v) for c, v in sorted((bytes(r.features), tuple(r[y] for y in ys)) for r in rows)]
 
 

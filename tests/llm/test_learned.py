@@ -246,7 +246,7 @@ def test_scores_equal_a_slow_version_and_three_categories_chain(spark):
 
 
 def test_sample_is_bounded(spark, monkeypatch):
-    d = spark.createDataFrame([(i % 5, f"word{i} other{i}") for i in range(500)], "doc_id int, text string")
+    d = spark.createDataFrame([(i % 5, "".join(chr(97 + int(c)) for c in str(i)) + " other") for i in range(500)], "doc_id int, text string")
     lab = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id int, toxic int")
     rows = lambda: chains.training_rows(d, lab, {"toxic": F.col("toxic")}, sample=2)
     assert len(rows()) == 8
