@@ -57,28 +57,35 @@ def parsed(rows: DataFrame, text: str = "json") -> DataFrame:
 
 
 def problems(m: Column) -> Column:
-    """Codes of the rules a manifest breaks, in a fixed order."""
+    """Codes of the rules a manifest breaks, in a fixed order. What several rules look at is made once."""
     tracks = F.flatten(F.transform(m["media"], lambda d: d["tracks"]))
-    files = F.concat(*(F.coalesce(F.transform(m[k], lambda a: a["path"]), F.array().cast("array<string>")) for k in ("artwork", "booklet", "lyrics", "extras")),
-                     F.coalesce(F.transform(tracks, lambda t: t["audio"]["path"]), F.array().cast("array<string>")))
-    discs = F.transform(m["media"], lambda d: d["disc"])
+    paths = [F.coalesce(F.transform(m[k], lambda a: a["path"]), F.array().cast("array<string>")) for k in ("artwork", "booklet", "lyrics", "extras")]
     empty = lambda c: F.coalesce(c == "", c.isNull())
     none = lambda a: F.coalesce(F.size(a) <= 0, F.lit(True))
-    rules = {
-        "E_JSON": m.isNull() | m["format"].isNull(),
-        "E_VERSION": ~F.coalesce(m["version"] == 1, F.lit(False)),
-        "E_TITLE": empty(m["album"]["title"]),
-        "E_ARTISTS": none(m["album"]["artists"]) | F.exists(m["album"]["artists"], lambda a: empty(a["name"])),
-        "E_RELEASE_TYPE": m["album"]["releaseType"].isNotNull() & ~m["album"]["releaseType"].isin(*RELEASE_TYPES),
-        "E_MEDIA": none(m["media"]) | F.exists(m["media"], lambda d: none(d["tracks"])),
-        "E_DISC": F.exists(discs, lambda d: F.coalesce(d < 1, F.lit(True))) | (F.size(F.array_distinct(discs)) < F.size(discs)),
-        "E_TRACK": F.exists(m["media"], lambda d: F.size(F.array_distinct(d["tracks"]["track"])) < F.size(d["tracks"])) | F.exists(tracks, lambda t: F.coalesce(t["track"] < 1, F.lit(True)) | empty(t["title"])),
-        "E_PATH": F.exists(files, lambda p: ~path_ok(p)),
-        "E_DUPLICATE_PATH": F.size(F.array_distinct(files)) < F.size(files),
-        "E_SHA256": F.exists(tracks, lambda t: t["audio"]["sha256"].isNotNull() & ~is_sha256(t["audio"]["sha256"])),
-        "E_LOUDNESS": F.exists(tracks, lambda t: t["loudness"]["trackLUFS"].isNotNull() & ~plausible(t["loudness"]["trackLUFS"])),
-    }
-    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))
+
+    def codes(x: Column) -> Column:
+        rules = {
+            "E_JSON": m.isNull() | m["format"].isNull(),
+            "E_VERSION": ~F.coalesce(m["version"] == 1, F.lit(False)),
+            "E_TITLE": empty(m["album"]["title"]),
+            "E_ARTISTS": none(m["album"]["artists"]) | F.exists(m["album"]["artists"], lambda a: empty(a["name"])),
+            "E_RELEASE_TYPE": m["album"]["releaseType"].isNotNull() & ~m["album"]["releaseType"].isin(*RELEASE_TYPES),
+            "E_MEDIA": none(m["media"]) | F.exists(m["media"], lambda d: none(d["tracks"])),
+            "E_DISC": F.exists(x["discs"], lambda d: F.coalesce(d < 1, F.lit(True))) | (F.size(F.array_distinct(x["discs"])) < F.size(x["discs"])),
+            "E_TRACK": F.exists(m["media"], lambda d: F.size(F.array_distinct(d["tracks"]["track"])) < F.size(d["tracks"])) | F.exists(x["tracks"], lambda t: F.coalesce(t["track"] < 1, F.lit(True)) | empty(t["title"])),
+            "E_PATH": F.exists(x["files"], lambda p: ~path_ok(p)),
+            "E_DUPLICATE_PATH": F.size(F.array_distinct(x["files"])) < F.size(x["files"]),
+            "E_SHA256": F.exists(x["tracks"], lambda t: t["audio"]["sha256"].isNotNull() & ~is_sha256(t["audio"]["sha256"])),
+            "E_LOUDNESS": F.exists(x["tracks"], lambda t: t["loudness"]["trackLUFS"].isNotNull() & ~plausible(t["loudness"]["trackLUFS"])),
+        }
+        return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))
+
+    def with_files(x: Column) -> Column:
+        sound = F.coalesce(F.transform(x["tracks"], lambda t: t["audio"]["path"]), F.array().cast("array<string>"))
+        return F.struct(x["tracks"].alias("tracks"), F.concat(*paths, sound).alias("files"), F.transform(m["media"], lambda d: d["disc"]).alias("discs"))
+
+    once = F.transform(F.transform(F.array(F.struct(tracks.alias("tracks"))), with_files), codes)
+    return F.element_at(once, 1)
 
 
 def canonical(m: Column) -> Column:

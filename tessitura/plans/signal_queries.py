@@ -256,14 +256,14 @@ def raised_ratios(spark, sf_dir):
 
 @query("stereo_thresholds")
 def stereo_thresholds(spark, sf_dir):
-    """Thresholds of all stereo modes, of the first half of each vector as left and the second as right."""
+    """Thresholds of four stereo modes, of the first half of each vector as left and the second as right."""
     sums = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(F.slice(c, i * 8 + 1, 8), F.lit(0.0), lambda a, v: a + v * v))
     l, r = F.slice("x", 1, 32), F.slice("x", 33, 32)
     m, s = ops.mid_side(l, r)
     d = _frames(spark, sf_dir).select("id", *(sums(c).alias(k) for k, c in zip("lrms", (l, r, m, s))))
     e = {k: F.col(k) for k in "lrms"}
     t = lambda k: F.transform(k, lambda v: v * 0.1)
-    modes = (3, 4, 5, 6, *ear.STEREO, 22)
+    modes = (3, 5, 10, 22)
     rows = F.array(*(F.struct(F.lit(m).alias("mode"), ear.mid_side_thresholds(e, t("l"), t("r"), m, [8] * 4).alias("t")) for m in modes))
     return d.select("id", F.explode(rows).alias("x")).select("id", "x.mode", *(F.array_join(F.transform(f"x.t.{k}", lambda v: F.round(F.least(v, F.lit(1e6)) * 1e6).cast("long").cast("string")), ",").alias(k) for k in "lrms"))
 
