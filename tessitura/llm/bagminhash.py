@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words
-from tessitura.llm.common import packed, ship, staged, table
+from tessitura.llm.common import hot_keys, packed, ship, spread_join, staged, table
 from tessitura.llm.components import components
 
 WORDS, SLOTS, ROWS, THRESHOLD = 5, 64, 4, 0.8
@@ -179,24 +179,8 @@ def _near(a: bytes, b: bytes, threshold: float) -> bool:
     return min(len(x), len(y)) >= threshold * max(len(x), len(y)) and similarity(x, y) >= threshold
 
 
-#: A key that more than one row in so many has is hot: there are fewer than so many such keys. Hot keys' rows stay where they
-#: are where what they meet is small, and go to SALTS places where it isn't.
-HOT, SALTS = 1_000, 64
-
-
-def _hot(facts: DataFrame, key: str, total: int) -> list:
-    """The hot keys, less than HOT."""
-    return [r[0] for r in facts.where(F.col("n") * HOT > total).select(key).collect()]
-
-
-def _spread(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to facts, one row of fixed size for each key, with the number n of rows that have it. Facts of hot keys are
-    broadcast; the rest is an ordinary join."""
-    hot = _hot(facts, key, total)
-    if not hot:
-        return rows.join(facts, key)
-    is_hot = F.col(key).isin(hot)
-    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key))
+#: Places that the pairs of a hot lead go to.
+SALTS = 64
 
 
 def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
@@ -209,7 +193,7 @@ def links(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
             yield from out.to_batches()
 
     pairs = staged(pairs, "near-pairs")
-    hot = _hot(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", pairs.count())
+    hot = hot_keys(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", pairs.count())
     salts = F.when(F.col("u").isin(hot), SALTS).otherwise(1) if hot else F.lit(1)
     left = bag.select(F.col("node").alias("u"), F.col("bag").alias("x")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     p = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), salts).cast("int"))
@@ -222,14 +206,14 @@ def rest(members: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     members = staged(members, "near-labelled")
     by = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1 and n > 2").drop("labels")
-    m = _spread(members, staged(mixed, "near-mixed"), "key", members.count()).drop("n").join(bag.select("node", F.length("bag").alias("size")), "node")
+    m = spread_join(members, staged(mixed, "near-mixed"), "key", members.count()).drop("n").join(bag.select("node", F.length("bag").alias("size")), "node")
     m = staged(m.withColumn("minor", F.col("label") != F.col("main")), "near-rest")
 
     def blocks(of: F.Column) -> F.Column:
         return F.greatest(F.ceil(F.sum(F.when(of, F.col("size"))) / BLOCK_BYTES), F.ceil(F.count_if(of) / BLOCK_ROWS)).cast("int")
 
     sizes = m.groupBy("key").agg(blocks(F.col("minor")).alias("left"), blocks(F.lit(True)).alias("right"), F.count("*").alias("n"))
-    m = _spread(m, staged(sizes, "near-blocks"), "key", m.count()).drop("n")
+    m = spread_join(m, staged(sizes, "near-blocks"), "key", m.count()).drop("n")
     m = m.withColumns({"hl": F.pmod(F.xxhash64("node"), F.col("left")), "hr": F.pmod(F.xxhash64("node", F.lit(1)), F.col("right"))})
     left = m.where("minor").withColumn("hr", F.explode(F.expr("sequence(0L, right - 1)"))).withColumn("side", F.lit(True))
     right = m.withColumn("hl", F.explode(F.expr("sequence(0L, left - 1)"))).withColumn("side", F.lit(False))
@@ -280,7 +264,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     total = k.where("bands is not null").count() * BANDS
     k = k.select("node", F.explode("bands").alias("key"))
     buckets = staged(k.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "near-buckets")
-    members = staged(_spread(k, buckets, "key", total).drop("n"), "near-members")
+    members = staged(spread_join(k, buckets, "key", total).drop("n"), "near-members")
     nodes = staged(members.select("node").distinct(), "near-nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     bag = staged(shingles(d.join(wanted, "node", "left_semi")).groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
@@ -300,10 +284,10 @@ def _by_document(ids: DataFrame, label: DataFrame) -> DataFrame:
     linked = label.unionByName(label.select(F.col("label").alias("node"), "label").distinct()).distinct()
     linked = staged(texts.join(linked, "node").withColumnRenamed("label", "class"), "near-linked")
     c = staged(linked.groupBy("class").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n")), "near-sizes")
-    found = _spread(linked.select("node", "class", F.col("n").alias("copies")), c, "class", linked.count()).drop("n").withColumnRenamed("copies", "n")
+    found = spread_join(linked.select("node", "class", F.col("n").alias("copies")), c, "class", linked.count()).drop("n").withColumnRenamed("copies", "n")
     alone = texts.join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("class"), F.col("low").alias("class_id"), F.col("n").alias("class_size"), "n")
     facts = staged(found.select(alone.columns).unionByName(alone), "near-facts")
-    return _spread(ids, facts, "node", ids.count()).drop("n")
+    return spread_join(ids, facts, "node", ids.count()).drop("n")
 
 
 def _composed(label: DataFrame, more: DataFrame) -> DataFrame:

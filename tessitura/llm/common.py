@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.session import scratch_dir, staged
 
-__all__ = ["scratch_dir", "staged", "table", "ship", "packed", "let", "running", "spans_of", "NO_SPANS"]
+__all__ = ["scratch_dir", "staged", "table", "ship", "packed", "hot_keys", "spread_join", "let", "running", "spans_of", "NO_SPANS"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -30,6 +30,25 @@ NO_SPANS = "cast(array() as array<struct<a:int,b:int,v:string,c:string,e:string>
 CHUNK = 256
 
 
+#: A key that more than one row in so many has is hot: there are fewer than so many such keys.
+HOT = 1_000
+
+
+def hot_keys(facts: DataFrame, key: str, total: int) -> list:
+    """The hot keys, less than HOT, of facts with the number n of rows for each key."""
+    return [r[0] for r in facts.where(F.col("n") * HOT > total).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to facts, one row of fixed size for each key, with the number n of rows that have it. Facts of hot keys are
+    broadcast, so their rows stay where they are; the rest is an ordinary join."""
+    hot = hot_keys(facts, key, total)
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key))
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """All columns of docs as one struct `row`, beside the named ones: no name of the caller's can clash."""
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)) if docs.columns else F.struct()

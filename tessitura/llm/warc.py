@@ -1,7 +1,10 @@
 """WARC archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 An archive is written with Spark's text sink, whose rows are raw bytes here and whose line separator is an empty
-skippable frame, which every Zstandard reader passes over; so archives go to any file system that Spark writes to.
+skippable frame, which every Zstandard reader passes over; so archives go to any file system that Spark writes to. (A cast
+from binary to string keeps the bytes: Spark's strings are not validated when they are made, and the sink writes them as
+they are. The tests compare whole archives byte by byte through their digests.) An archive holds the pages of one partition, that
+is at most spark.sql.files.maxPartitionBytes of input before compression; only a larger single page makes a larger one.
 It is read as a binary file: the dictionary comes from the leading skippable frame, each further frame is found by its
 block headers and decoded alone, and the record in it is validated: version, mandatory fields, the declared length against the
 block, the closing blank lines, and the payload's digest.
@@ -24,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import scratch_dir, ship, staged, table
+from tessitura.llm.common import scratch_dir, ship, spread_join, staged, table
 
 DICTIONARY_MAGIC = bytes.fromhex("5d2a4d18")
 FRAME_MAGIC = bytes.fromhex("28b52ffd")
@@ -57,8 +60,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload: str = "html", r
     """(id, digest, first): the rows that revisit the record `first`."""
     p = staged(pages.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(payload), F.lit("")), 256).alias("digest"))
                .where(F.octet_length(F.coalesce(F.col(payload), F.lit(""))) >= revisit_bytes), "warc-digests")
-    first = p.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    return p.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
+    first = staged(p.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "warc-first")
+    return spread_join(p, first, "digest", p.count()).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
 
 
 def _record(kind: str, name, url: str | None, digest: str, size: int, first, payload: bytes) -> bytes:

@@ -58,6 +58,15 @@ def test_fast_path_equals_tokenizer():
     assert all(ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, at[:-1], at[1:]))
 
 
+def test_whole_table_equals_tokenizer(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    c = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    tok = token_files.Words(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    distinct, index, offsets = words.split(pa.array(texts))
+    ids, at = words.spread(c.get(distinct), index, offsets)
+    assert all(ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, at[:-1], at[1:]))
+
+
 def test_added_tokens_in_text_equal_tokenizer():
     c = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
     tok = token_files.Words(public_tokenizers.path("word_bpe_49k.json")).tokenizer
