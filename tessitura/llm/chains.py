@@ -226,7 +226,7 @@ def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", tex
     plain = [(x.earlier, x.bias, x.threshold) for x in chain]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = words.Cache(lambda ws: [sorted(number[f] for f in features(w) if f in number) for w in ws], limit=250_000)
+        cache = words.Cache(lambda ws: [sorted(number[f] for f in features(w) if f in number) for w in ws], limit=400_000)
         for b in words.chunks(batches, text):
             distinct, index, offsets = words.split(b.column(text))
             got, at = words.spread(cache.get(distinct), index, offsets, np.int64)
