@@ -319,17 +319,23 @@ def cosine_bank(bands: int = BANDS, taps: int = 512) -> np.ndarray:
     return 2 * proto * np.cos((2 * k + 1) * np.pi / (2 * bands) * (n - (taps - 1) / 2) + (-1.0) ** k * np.pi / 4)
 
 
-def analysed(x: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def bank_of(prototype: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A cosine-modulated bank of a given low pass, such as a format prescribes."""
+    n, k = np.arange(len(prototype)), np.arange(bands)[:, None]
+    return prototype * np.cos((2 * k + 1) * np.pi / (2 * bands) * (n - (len(prototype) - 1) / 2) + (-1.0) ** k * np.pi / 4)
+
+
+def analysed(x: np.ndarray, bands: int = BANDS, bank: np.ndarray | None = None) -> np.ndarray:
     """Subband samples (rows of bands) of one channel, every `bands` samples."""
-    h = cosine_bank(bands)
+    h = cosine_bank(bands) if bank is None else bank
     padded = np.concatenate([np.zeros(h.shape[1] - 1), x, np.zeros(-len(x) % bands)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, h.shape[1])[bands - 1 :: bands]
     return windows @ h[:, ::-1].T
 
 
-def synthesised(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def synthesised(s: np.ndarray, bands: int = BANDS, bank: np.ndarray | None = None) -> np.ndarray:
     """The inverse, delayed by a filter's length less one."""
-    h = cosine_bank(bands)[:, ::-1]
+    h = (cosine_bank(bands) if bank is None else bank)[:, ::-1]
     out = np.zeros((len(s) + 1) * bands + h.shape[1])
     for i, row in enumerate(s @ h):
         at = (i + 1) * bands - 1

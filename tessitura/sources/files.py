@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import media
 from tessitura.functions.levels import cue_sample
 from tessitura.operators import documents
-from tessitura.operators.codec import Reader, Writer
+from tessitura.operators.codec import FrameCoder, Reader, Tables, Writer
 
 # The package suffix and the largest manifest; limits of tags and pictures; magic words of the formats;
 # sample rates by their code; extensions of sound and pictures.
@@ -503,6 +503,34 @@ def blocks(files: DataFrame) -> DataFrame:
                      lambda path, i, t, error: (path, i, *(t or (None, None, None, None)), error))
 
 
+def stream_checks(files: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(path, frames, blocks, error): whole streams of version 8 decoded down to their samples, without making sound of them.
+    The header's number of samples tells how many frames there must be."""
+    tables = tables or Tables()
+
+    def work(data: bytes) -> Iterator[tuple]:
+        header, frames, n = None, 0, 0
+        for key, _, _, payload in stream_blocks(data):
+            if key == "SH":
+                header = stream_header(payload)
+                total = -(-header["samples"] // FRAME_SAMPLES)
+            elif key == "AP":
+                if header is None:
+                    raise ValueError("sound before the header")
+                here = min(1 << header["block_power"], total - frames)
+                r, coder = Reader(payload), FrameCoder(header["bands"] - 1, header["mid_side"], tables)
+                for _ in range(here):
+                    coder.read(r)
+                if here <= 0 or len(r.bits) - r.at >= 8:
+                    raise ValueError(f"block {n} has bits left over")
+                frames, n = frames + here, n + 1
+        if header is None or frames != total:
+            raise ValueError("the stream ends early")
+        yield frames, n
+
+    return _per_file(files, "path string, frames bigint, blocks bigint, error string", work, lambda path, i, t, error: (path, *(t or (None, None)), error))
+
+
 def cut_stream(data: bytes, first: int, last: int) -> bytes:
     """Samples first to last (exclusive; 0: the end) of a stream of version 8, cut at whole blocks: the header tells how many
     samples of the first block are silence and how many there are in all. Gains are dropped, the encoder is kept."""

@@ -235,3 +235,12 @@ def test_voice_is_found_at_its_period(spark):
     assert psychoacoustics.transient_bands is not None
     got = spark.createDataFrame([([True, False], [False, False])], "l array<boolean>, r array<boolean>").select(psychoacoustics.transient_bands(F.col("l"), F.col("r"), [(0, 9), (10, 20)], 8)).first()[0]
     assert got == [True, True, True, False, False, False, False, False]
+
+
+def test_bank_of_a_given_prototype():
+    n = np.arange(512)
+    proto = np.sinc(1.12 * (n - 255.5) / 64) * np.kaiser(512, 7.0)
+    bank = signal.bank_of(2 * proto / proto.sum())
+    assert np.allclose(bank, signal.cosine_bank())
+    x = np.random.default_rng(4).standard_normal(640)
+    assert np.allclose(signal.synthesised(signal.analysed(x, bank=bank), bank=bank), signal.synthesised(signal.analysed(x)))

@@ -292,3 +292,20 @@ def test_replay_has_pre_roll_and_stale_rows_go(spark):
     rows = scans.replay(d.where("gen = 1"), "track", "frame", 60, 32).collect()
     assert sorted(r.frame for r in rows) == list(range(28, 100)) and all(r.wanted == (r.frame >= 60) for r in rows)
     assert {r.gen for r in scans.current(d, "gen", "track").collect()} == {2}
+
+
+def test_streams_are_checked_to_their_samples(spark):
+    import random
+
+    from tessitura.operators import codec
+    from tests.test_codec import _frames
+
+    r = random.Random(3)
+    frames = _frames(r, 10, 20)
+    ap = [files.block("AP", codec.encode_block(frames[i : i + 4], 20, True)) for i in range(0, 10, 4)]
+    head = lambda samples: files.STREAM_MAGIC + files.block("SH", files.header_payload(samples, 0, 44100, 21, 2, True, 2), True)
+    good = head(10 * 1152 - 5) + b"".join(ap) + files.block("SE", b"")
+    data = {"good": good, "short": head(11 * 1152) + b"".join(ap) + files.block("SE", b""), "missing": head(10 * 1152) + ap[0] + ap[2], "long": head(8 * 1152) + b"".join(ap), "cut": good[: len(good) // 2], "late": files.STREAM_MAGIC + ap[0]}
+    got = {x.path: x for x in files.stream_checks(spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "path string, content binary")).collect()}
+    assert (got["good"].frames, got["good"].blocks, got["good"].error) == (10, 3, None)
+    assert all(got[k].error for k in data if k != "good")
