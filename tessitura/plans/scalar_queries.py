@@ -152,6 +152,8 @@ def json_properties(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("crc32_text", None)
+@query("crc32_text", """
+select p_partkey as id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(p_name, ''), lambda c: cast(ascii(c) as bigint))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))), 4294967295) as crc from part""")
 def crc32_text(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.crc32("p_name").alias("crc"))

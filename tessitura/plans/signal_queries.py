@@ -279,7 +279,10 @@ def adapted_thresholds(spark, sf_dir):
     return a.join(m, ["track", "id"]).join(s, ["track", "id"])
 
 
-@query("unpredictable_lines")
+@query("unpredictable_lines", _LINES + """, q as (select track, id, k, power as e, sqrt(power) as a, atan2(im, re) as f from (select p.*, c.re, c.im from p join c on c.id = p.id and c.k = p.k)),
+v as (select *, coalesce(lag(a, 1) over w, 0) as a1, coalesce(lag(a, 2) over w, 0) as a2, coalesce(lag(f, 1) over w, 0) as f1, coalesce(lag(f, 2) over w, 0) as f2 from q window w as (partition by track, k order by id)),
+u as (select track, id, k, sqrt(greatest(e + (2 * a1 - a2) * ((2 * a1 - a2) - 2 * a * cos(f - 2 * f1 + f2)), 0)) / (a + abs(2 * a1 - a2)) as u from v)
+select track, id, string_agg(cast(cast(round(u * 1e4) as bigint) as varchar), ',' order by k) as unpredictability from u group by track, id""")
 def unpredictable_lines(spark, sf_dir):
     d = _frames(spark, sf_dir).withColumns({"p": ops.power_spectrum(F.col("x")), "f": ops.phases(F.col("x"))})
-    return ear.unpredictable(d, "track", "id", "p", "f").select("track", "id", "unpredictability")
+    return ear.unpredictable(d, "track", "id", "p", "f").select("track", "id", _whole("unpredictability", 1e4).alias("unpredictability"))
