@@ -117,25 +117,28 @@ def ring_fill(writes: DataFrame, key: str, order: str, capacity: float, high: fl
     return out.withColumnRenamed("k", key)
 
 
-def cached_blocks(reads: DataFrame, order: str, start: str, length: str, block: int = 65536, slots: int = 16) -> DataFrame:
-    """(order, block, hit): the aligned blocks that reads ask for, one after the other, against a cache of so many blocks that
-    drops the one that came first. Whether a block is there depends on the fetches since its own, so this is one pass over
-    the reads of one client, with the cache as its state."""
+def cached_blocks(reads: DataFrame, key: str, order: str, start: str, length: str, block: int = 65536, slots: int = 16) -> DataFrame:
+    """(key, order, block, hit): the aligned blocks that each client's reads ask for, one after the other, against its cache of
+    so many blocks that drops the one that came first. Whether a block is there depends on the fetches since its own, so this
+    is one sorted pass with a client's cache as its state."""
     first, last = F.floor(F.col(start) / block), F.floor((F.col(start) + F.col(length) - 1) / block)
-    asked = reads.where(F.col(length) > 0).select(F.col(order).alias("o"), F.explode(F.sequence(first, last)).alias("block"))
-    asked = asked.repartition(1).sortWithinPartitions("o", "block")
-    kind = reads.schema[order].dataType.simpleString()
+    asked = reads.where(F.col(length) > 0).select(F.col(key).alias("k"), F.col(order).alias("o"), F.explode(F.sequence(first, last)).alias("block"))
+    asked = asked.repartition("k").sortWithinPartitions("k", "o", "block")
+    kinds = [reads.schema[c].dataType.simpleString() for c in (key, order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, None] = {}
+        now, begun = None, False
         for b in batches:
             hits = []
-            for x in b.column("block").to_pylist():
+            for k, x in zip(b.column("k").to_pylist(), b.column("block").to_pylist()):
+                if not begun or k != now:
+                    now, begun, cache = k, True, {}
                 hits.append(x in cache)
                 if not hits[-1]:
                     cache[x] = None
                     if len(cache) > slots:
                         del cache[next(iter(cache))]
-            yield pa.RecordBatch.from_arrays([b.column("o"), b.column("block"), pa.array(hits, pa.bool_())], ["o", "block", "hit"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.bool_())], ["k", "o", "block", "hit"])
 
-    return asked.mapInArrow(run, f"o {kind}, block bigint, hit boolean").withColumnRenamed("o", order)
+    return asked.mapInArrow(run, f"k {kinds[0]}, o {kinds[1]}, block bigint, hit boolean").withColumnsRenamed({"k": key, "o": order})

@@ -179,8 +179,8 @@ def play_order(spark, sf_dir):
 
 @query("cached_blocks")
 def cached_blocks(spark, sf_dir):
-    r = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7919 % 3000000).alias("s"), (F.col("event_id") % 200000).alias("n"))
-    return queues.cached_blocks(r, "event_id", "s", "n")
+    r = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 3000000).alias("s"), (F.col("event_id") % 200000).alias("n"))
+    return queues.cached_blocks(r, "user_id", "event_id", "s", "n")
 
 
 @query("seek_thinned", _EVENTS + ", n as (select user_id, v, row_number() over (partition by user_id order by event_id) - 1 as i from e) select user_id, i // 4 as entry, v as value from n where i % 4 = 0")

@@ -114,15 +114,16 @@ def test_windows_and_phases(spark):
 
 def test_cache_and_buffer_against_a_loop(spark):
     r = np.random.default_rng(7)
-    reads = [(i, int(s), int(n)) for i, (s, n) in enumerate(zip(r.integers(0, 4_000_000, 400), r.integers(0, 300_000, 400)))]
-    got = queues.cached_blocks(spark.createDataFrame(reads, "o int, s bigint, n bigint").repartition(5), "o", "s", "n").orderBy("o", "block").collect()
-    cache, want = [], []
-    for o, s, n in reads:
+    reads = [(k, i, int(s), int(n)) for k in range(3) for i, (s, n) in enumerate(zip(r.integers(0, 4_000_000, 150), r.integers(0, 300_000, 150)))]
+    got = queues.cached_blocks(spark.createDataFrame(reads, "k int, o int, s bigint, n bigint").repartition(5), "k", "o", "s", "n").orderBy("k", "o", "block").collect()
+    caches, want = {}, []
+    for k, o, s, n in reads:
         for b in range(s // 65536, (s + n - 1) // 65536 + 1) if n else []:
-            want.append((o, b, b in cache))
+            cache = caches.setdefault(k, [])
+            want.append((k, o, b, b in cache))
             if b not in cache:
-                cache = (cache + [b])[-16:]
-    assert [tuple(x) for x in got] == want and any(x[2] for x in want)
+                caches[k] = (cache + [b])[-16:]
+    assert [tuple(x) for x in got] == want and any(x[3] for x in want)
     moves = [(k, i, float(a)) for k in range(5) for i, a in enumerate(r.uniform(-3, 3, 200))]
     level, paused, want = {}, {}, []
     for k, i, a in moves:
