@@ -105,7 +105,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, cache = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for b in words.chunks(batches, "text"):
+        for b in words.chunks(batches, "text", 4_000_000):
             distinct, index, offsets = words.split(b.column("text"))
             ids, at = words.spread(cache.get(distinct), index, offsets)
             ids = np.insert(ids, at[1:], end_id)
