@@ -119,28 +119,38 @@ def _logistic(x: _Matrix, y: np.ndarray, ridge: float = 1.0, rounds: int = 150)
 
 
 class _Sample:
-    """All rows' features in a row, and the row of each."""
+    """All rows' features in a row, by their number among the distinct ones, and the row of each."""
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *rows])
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate([np.zeros(0, np.uint32), *rows])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.names = np.unique(flat)
+        self.code = np.empty(len(flat), np.int32)
+        for i in range(0, len(flat), 1 << 18):  # places are 64-bit numbers: a part at a time
+            self.code[i : i + (1 << 18)] = np.searchsorted(self.names, flat[i : i + (1 << 18)])
 
     def select(self, keep: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         """The features that speak most for or against y in the rows to keep, sorted."""
-        n, p = keep.sum(), y[keep].sum()
-        mine = keep[self.row]
-        names, all_ = np.unique(self.flat[mine], return_counts=True)
-        pos = np.bincount(np.searchsorted(names, self.flat[mine & (y[self.row] > 0)]), minlength=len(names)).astype(float)
+        n, p, m = keep.sum(), y[keep].sum(), len(self.names)
+        all_, pos = self.counts(keep, m), self.counts(keep & (y > 0), m).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = np.nan_to_num(n * (pos * (n - p) - (all_ - pos) * p) ** 2 / (p * (n - p) * all_ * (n - all_)))
         chi[(all_ < 3) | (all_ >= n)] = 0
         strong = np.flatnonzero(chi >= STRONG)
-        return np.sort(names[strong[np.lexsort((names[strong], -chi[strong]))][:most]])
+        return np.sort(self.names[strong[np.lexsort((self.names[strong], -chi[strong]))][:most]])
+
+    def counts(self, keep: np.ndarray, m: int) -> np.ndarray:
+        out = np.zeros(m, np.int64)
+        for i in range(0, len(self.code), 1 << 18):
+            out += np.bincount(self.code[i : i + (1 << 18)][keep[self.row[i : i + (1 << 18)]]], minlength=m)
+        return out
 
     def matrix(self, names: np.ndarray, earlier: np.ndarray) -> _Matrix:
-        at = np.minimum(np.searchsorted(names, self.flat), max(len(names) - 1, 0))
-        hit = names[at] == self.flat if len(names) else np.zeros(len(self.flat), bool)
+        number = np.full(len(self.names), -1, np.int32)
+        number[np.searchsorted(self.names, names)] = np.arange(len(names))
+        at = number[self.code]
+        hit = at >= 0
         return _Matrix(self.row[hit], at[hit], len(names), earlier)
 
 
@@ -208,8 +218,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     if not fits:
         return []
     last = sizes[fits - 1]
-    rows = made.where((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("tie") <= last.tie)).drop("place", "tie").collect()
-    return [(np.frombuffer(c, np.uint32), v) for c, v in sorted((bytes(r.features), tuple(r[y] for y in ys)) for r in rows)]
+    rows = made.where((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("tie") <= last.tie)).drop("place", "tie").toArrow()
+    marks = list(zip(*(rows.column(y).to_pylist() for y in ys)))
+    return [(np.frombuffer(c, np.uint32), v) for c, v in sorted(zip(rows.column("features").to_pylist(), marks))]
 
 
 def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", text: str = "text") -> DataFrame:
