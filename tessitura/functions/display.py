@@ -90,7 +90,7 @@ def encoder_name(stream_version: Column, version: Column) -> Column:
     last = v % 10
     two = F.concat(F.floor(v / 100).cast("string"), F.lit("."), F.lpad((v % 100).cast("string"), 2, "0"))
     old = (
-        F.when(v == 0, "Buschmann 1.7.0...9, Klemm 0.90...1.05")
+        F.when(v == 0, "not recorded")
         .when(last == 0, F.concat(F.lit("Release "), F.floor(v / 100).cast("string"), F.lit("."), (F.floor(v / 10) % 10).cast("string")))
         .when(last.isin(2, 4, 6, 8), F.concat(F.lit("Beta "), two))
         .otherwise(F.concat(F.lit("--Alpha-- "), two))

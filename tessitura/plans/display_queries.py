@@ -54,11 +54,11 @@ def client_routes(spark, sf_dir):
 
 
 @query("request_credentials", """
-with c as (select c_custkey as id, 'mpk_' || c_custkey as secret from customer)
+with c as (select c_custkey as id, 'tok_' || c_custkey as secret from customer)
 select id, case when id % 4 in (0, 1) then secret end as cookie, case when id % 5 in (0, 1, 2) then secret end as token, id % 4 in (0, 1) and id % 3 <> 0 and id % 7 >= 3 as ok from c""")
 def request_credentials(spark, sf_dir):
     k = F.col("c_custkey")
-    secret = F.concat(F.lit("mpk_"), k)
+    secret = F.concat(F.lit("tok_"), k)
     header = F.when(k % 4 == 0, F.concat(F.lit("a=b; sid="), secret, F.lit("; c=d"))).when(k % 4 == 1, F.concat(F.lit("sid2=x;sid="), secret)).when(k % 4 == 2, "sid=; a=b").otherwise("other=1")
     body = F.when(k % 5 == 0, F.concat(F.lit('{"token":"'), secret, F.lit('"}'))).when(k % 5 == 1, F.concat(F.lit('{"x": 1, "token" : "'), secret, F.lit('", "y": 2}'))).when(k % 5 == 2, F.concat(F.lit('{"token"\t:\t"'), secret, F.lit('"}'))).when(k % 5 == 3, '{"token": 5}').otherwise("{}")
     c = read(spark, sf_dir, "customer").select(k.alias("id"), display.cookie(header, "sid").alias("cookie"), display.body_token(body).alias("token"), F.sha2(secret, 256).alias("digest"), F.when(k % 3 == 0, 1).alias("revoked"), (k % 7).alias("expires"))
@@ -67,7 +67,7 @@ def request_credentials(spark, sf_dir):
 
 @query("encoder_names", """
 with e as (select event_id as id, cast(event_id % 117 as int) as v, cast(1 + event_id % 3 as int) as a, cast(event_id % 32 as int) as b, cast(event_id % 9 as int) as c from events)
-select id, case when v = 0 then 'Buschmann 1.7.0...9, Klemm 0.90...1.05' when v % 10 = 0 then 'Release ' || (v // 100) || '.' || (v // 10 % 10) when v % 10 in (2, 4, 6, 8) then 'Beta ' || (v // 100) || '.' || lpad(cast(v % 100 as varchar), 2, '0')
+select id, case when v = 0 then 'not recorded' when v % 10 = 0 then 'Release ' || (v // 100) || '.' || (v // 10 % 10) when v % 10 in (2, 4, 6, 8) then 'Beta ' || (v // 100) || '.' || lpad(cast(v % 100 as varchar), 2, '0')
   else '--Alpha-- ' || (v // 100) || '.' || lpad(cast(v % 100 as varchar), 2, '0') end as old,
   case when a * 100 + b > 116 then case when b % 2 = 1 then '--Unstable-- ' else '--Stable-- ' end || a || '.' || b || '.' || c
     when b % 10 = 0 then 'Release ' || ((a * 100 + b) // 100) || '.' || ((a * 100 + b) // 10 % 10) when b % 2 = 0 then 'Beta ' || a || '.' || lpad(cast(b as varchar), 2, '0') else '--Alpha-- ' || a || '.' || lpad(cast(b as varchar), 2, '0') end as new,

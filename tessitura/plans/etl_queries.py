@@ -171,11 +171,11 @@ def upsert_album_artists(spark, sf_dir):
 
 
 @query("token_list", """
-with t as (select sha256('mpk_' || c_custkey) as h, c_name as name, c_custkey as k from customer)
+with t as (select sha256('tok_' || c_custkey) as h, c_name as name, c_custkey as k from customer)
 select substr(h, 1, 12) as id, name, case when k % 4 = 0 then 'revoked' when k % 3 = 0 then 'expired' else 'active' end as state from t""")
 def token_list(spark, sf_dir):
     ts = lambda x: F.to_timestamp(F.lit(x))
-    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("mpk_"), "c_custkey").alias("secret"), F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("tok_"), "c_custkey").alias("secret"), F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
     new = lambda d, days: ops.issued(d, "name", "secret", ts("2026-01-01"), days)
     t = new(c.where("k % 3 = 0"), 30).unionByName(new(c.where("k % 3 > 0"), None))
     gone = c.where("k % 4 = 0").select(F.sha2("secret", 256).alias("token_hash"))
