@@ -145,7 +145,7 @@ def keys(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(made.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("node"), pc.if_else(pa.array(full), lists, pa.scalar(None, lists.type))], ["node", "bands"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, bands array<bigint>")
+    return docs.select("node", "text").mapInArrow(words.frugal(run), "node binary, bands array<bigint>")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def shingles(docs: DataFrame) -> DataFrame:
             ends = np.searchsorted(rows, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "bag"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, bag binary")
+    return docs.select("node", "text").mapInArrow(words.frugal(run), "node binary, bag binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -210,7 +210,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column("place"), *(b.column(y) for y in ys)], ["features", "place", *ys])
 
     d = d.withColumn("place", F.xxhash64("id")).drop("id")
-    made = staged(d.mapInArrow(run, "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys)), "chain-sample")
+    made = staged(d.mapInArrow(words.frugal(run), "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys)), "chain-sample")
     made = made.distinct().withColumn("tie", F.xxhash64("features"))
     # an id may have many documents: the least places first, as many as fit
     sizes = made.select("place", "tie", (F.length("features") + 64).alias("size")).orderBy("place", "tie").limit(4 * len(categories) * sample).collect()
@@ -236,11 +236,15 @@ def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", tex
     weights = np.array([[x.weights.get(f, 0.0) for f in all_] for x in chain]).reshape(len(chain), len(all_))
     plain = [(x.earlier, x.bias, x.threshold) for x in chain]
 
+    def numbered(word: str) -> bytes:
+        own = sorted(number[f] for f in features(word) if f in number)
+        return np.array(own, np.int32).tobytes() if own else b""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = words.Cache(lambda ws: [sorted(number[f] for f in features(w) if f in number) for w in ws], limit=400_000)
+        cache = words.Cache(lambda ws: [numbered(w) for w in ws], limit=400_000)
         for b in words.chunks(batches, text):
             distinct, index, offsets = words.split(b.column(text))
-            got, at = words.spread(cache.get(distinct), index, offsets, np.int64)
+            got, at = words.spread(cache.get(distinct), index, offsets)
             row = np.repeat(np.arange(b.num_rows), np.diff(at))
             pairs = np.unique(row * max(len(all_), 1) + got)
             row, got = pairs // max(len(all_), 1), pairs % max(len(all_), 1)
@@ -252,7 +256,7 @@ def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", tex
                 cols += [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(words.frugal(run), schema)
 
 
 def chain_for(docs: DataFrame, labels: DataFrame) -> list[Link]:

@@ -179,7 +179,7 @@ def _cache(model: str) -> words.Cache:
             p = lattice.best(text, 2)
             return array("i", p[0][1]).tobytes(), p[0][0], p[0][0] - p[1][0] if len(p) > 1 else np.inf
 
-        _caches[model] = words.Cache(lambda ws: [one(w) for w in ws], limit=200_000)
+        _caches[model] = words.Cache(lambda ws: [one(w) for w in ws], limit=300_000)
     return _caches[model]
 
 
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["id", "ids", "score", "alternatives"] + ["decoded"] * back
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, score double, alternatives {ALTERNATIVES}" + ", decoded string" * back)
+    return d.mapInArrow(words.frugal(run), f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, score double, alternatives {ALTERNATIVES}" + ", decoded string" * back)
 
 
 def summary(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def summary(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id"
                 pa.array([[a["score"] for a in o] for o in others], pa.list_(pa.float64())), pa.array([json.dumps([a["edits"] for a in o]) for o in others], pa.string()), pa.array(same, pa.bool_()),
             ], names)
 
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_crc32 bigint, score double, next_scores array<double>, edits string, round_trip boolean")
+    return d.mapInArrow(words.frugal(run), f"id {d.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_crc32 bigint, score double, next_scores array<double>, edits string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

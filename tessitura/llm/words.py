@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -27,6 +29,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) ->
             yield batch.slice(at)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at a task's end what it has freed goes back to the system: workers wait for their next task beside those of
+    other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 def spread(per_word: list, index: np.ndarray, offsets: np.ndarray, dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """per_word: a sequence of numbers for each distinct word, or its bytes; index: the distinct word at each place;
     offsets: where each text begins among the places. The numbers of all texts in a row, and where each text begins among them."""
