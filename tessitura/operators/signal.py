@@ -1,7 +1,7 @@
 """Signal operators: loudness, true peak, energies, spectra, quantisation and filterbanks.
 
 What is independent by frame runs as Arrow batches of whole frames (NumPy); what carries state runs per track in order. An
-album's loudness is measured over its concatenated program, so its group is the album: bounded by one album's length.
+album's loudness is measured over its concatenated program in chunks: the filter is linear, so states add up from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessitura.operators.codec import noise, top
+from tessitura.session import arrow_batches, staged
 
 FLOOR = -70.0
 BANDS, LINES = 32, 36
@@ -39,28 +43,6 @@ def k_weights(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def biquad(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The filter over columns of x, block by block with its impulse response and the state's response: no loop by sample."""
-    n = len(x)
-    impulse = np.zeros((block, 1))
-    impulse[0] = 1
-    h = _direct(b, a, impulse, np.zeros((2, 1)))[0][:, 0]
-    states = [_direct(b, a, np.zeros((block, 1)), s)[0][:, 0] for s in (np.array([[1.0], [0.0]]), np.array([[0.0], [1.0]]))]
-    size = 1 << (2 * block - 1).bit_length()
-    spectrum = np.fft.rfft(h, size)
-    y, z = np.empty_like(x), np.zeros((2, x.shape[1]))
-    for at in range(0, n, block):
-        part = x[at : at + block]
-        m = len(part)
-        out = np.fft.irfft(np.fft.rfft(part, size, axis=0) * spectrum[:, None], size, axis=0)[:m]
-        out += states[0][:m, None] * z[0] + states[1][:m, None] * z[1]
-        y[at : at + m] = out
-        last = lambda v, i: v[m - i] if m >= i else np.zeros(x.shape[1])
-        if m >= 2:
-            z = np.stack([b[1] * last(part, 1) - a[1] * last(out, 1) + b[2] * last(part, 2) - a[2] * last(out, 2), b[2] * last(part, 1) - a[2] * last(out, 1)])
-    return y
-
-
 def _direct(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y, z = np.empty_like(x), z.copy()
     for i, v in enumerate(x):
@@ -69,16 +51,56 @@ def _direct(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple
     return y, z
 
 
-def integrated(x: np.ndarray, rate: int) -> float:
-    """Gated loudness of samples by channel: 400 ms blocks every 100 ms, -70 absolute and -10 relative gate."""
-    for b, a in k_weights(rate):
-        x = biquad(b, a, x)
-    step, size = rate // 10, 4 * (rate // 10)
-    if len(x) < size:
-        return FLOOR
-    power = np.concatenate([[0.0], np.cumsum((x * x).sum(axis=1))])
-    at = np.arange(0, len(x) - size + 1, step)
-    z = (power[at + size] - power[at]) / size
+#: Samples that the filter works through at once.
+BLOCK = 4096
+
+
+@lru_cache
+def _system(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both stages as one linear system of four states: the spectrum of its impulse response, what its output is by the states
+    at a block's start, how the states go on by one sample, and what each sample of a block adds to the states at its end."""
+    stages, out, after = k_weights(rate), np.empty((BLOCK, 5)), np.empty((BLOCK, 4, 5))
+    states = [np.eye(2, 5), np.eye(2, 5, 2)]  # of five programs: each state alone, and a sample alone
+    for i in range(BLOCK):
+        y = np.eye(5)[4:] * (i == 0)
+        for k, (b, a) in enumerate(stages):
+            y, states[k] = _direct(b, a, y, states[k])
+        out[i], after[i] = y[0], np.concatenate(states)
+    return np.fft.rfft(out[:, 4], 2 * BLOCK), out[:, :4], after[0, :, :4], after[::-1, :, 4].T
+
+
+def _gone_on(x: np.ndarray, rate: int, state: np.ndarray) -> np.ndarray:
+    """The filter's states (four by channel) after x."""
+    _, _, one, into = _system(rate)
+    for at in range(0, len(x), BLOCK):
+        part = x[at : at + BLOCK]
+        state = np.linalg.matrix_power(one, len(part)) @ state + into[:, BLOCK - len(part) :] @ part
+    return state
+
+
+def _weighted(x: np.ndarray, rate: int, state: np.ndarray) -> np.ndarray:
+    """x filtered from these states on, block by block with the impulse response and the states': no loop by sample. From the
+    first sample that is no number on there is no value."""
+    spectrum, free, _, _ = _system(rate)
+    y = np.empty_like(x)
+    for at in range(0, len(x), BLOCK):
+        part = x[at : at + BLOCK]
+        out = np.fft.irfft(np.fft.rfft(np.nan_to_num(part), 2 * BLOCK, axis=0) * spectrum[:, None], 2 * BLOCK, axis=0)[: len(part)] + free[: len(part)] @ state
+        if np.isnan(part).any():
+            out[np.isnan(part).any(axis=1).argmax() :] = np.nan
+        y[at : at + BLOCK], state = out, _gone_on(part, rate, state)
+    return y
+
+
+def _energies(y: np.ndarray, at: int, step: int) -> np.ndarray:
+    """Energy of all channels by 100 ms of the program, of samples that begin `at` samples into it."""
+    cuts = np.arange(at // step + 1, (at + len(y) - 1) // step + 1) * step - at
+    return np.add.reduceat((y * y).sum(axis=1), np.concatenate([[0], cuts])) if len(y) else np.zeros(0)
+
+
+def _gated(steps: np.ndarray, step: int) -> float:
+    """Loudness from the energies of whole 100 ms: blocks of 400 ms every 100 ms, -70 absolute and -10 relative gate."""
+    z = (steps[:-3] + steps[1:-2] + steps[2:-1] + steps[3:]) / (4 * step) if len(steps) > 3 else np.zeros(0)
     loud = lambda p: -0.691 + 10 * np.log10(np.maximum(p, 1e-30))
     z = z[loud(z) > FLOOR]
     if len(z):
@@ -86,6 +108,12 @@ def integrated(x: np.ndarray, rate: int) -> float:
     return max(FLOOR, float(loud(z.mean()))) if len(z) else FLOOR
 
 
+def integrated(x: np.ndarray, rate: int) -> float:
+    """Gated loudness of samples by channel."""
+    step = rate // 10
+    return _gated(_energies(_weighted(x, rate, np.zeros((4, x.shape[1]))), 0, step)[: len(x) // step], step)
+
+
 @lru_cache
 def _oversampler(factor: int = 4, taps: int = 12) -> np.ndarray:
     """Windowed-sinc phases."""
@@ -94,23 +122,160 @@ def _oversampler(factor: int = 4, taps: int = 12) -> np.ndarray:
     return np.stack([np.pad(h[p::factor], (0, 2 * taps + 1 - len(h[p::factor]))) for p in range(factor)])
 
 
+def _top(x: np.ndarray, before: np.ndarray, ends: bool) -> float:
+    """Largest magnitude of the 4 times oversampled x, which goes on where `before` stopped and, unless it ends, goes on itself."""
+    whole = np.concatenate([before, x])
+    if not len(whole):
+        return 0.0
+    tops = [np.abs(np.convolve(c, phase)[len(before) : len(whole) + ends * TAIL]) for c in whole.T for phase in _oversampler()]
+    return float(np.max([t.max() for t in [*tops, np.abs(x)] if t.size], initial=0.0))
+
+
 def true_peak(x: np.ndarray) -> float:
     """Largest magnitude of the 4 times oversampled signal in dB, not below the floor."""
-    top = max((np.abs(np.convolve(c, phase)).max() for c in x.T for phase in _oversampler()), default=0.0) if len(x) else 0.0
-    top = max(top, np.abs(x).max() if x.size else 0.0)
+    return _decibels(_top(x, x[:0], True))
+
+
+def _decibels(top: float) -> float:
     return max(FLOOR, 20 * np.log10(top)) if top > 0 else FLOOR
 
 
-def loudness(frames: DataFrame, key: list[str], order: list[str], rate: int) -> DataFrame:
-    """(key..., lufs, peak_db) of frames (arrays l and r) in order: key a track, or an album for its whole program."""
-    fields = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in key)
+#: Samples of a track in one row between the passes, those before it that the oversampler still needs, rows that a worker gives
+#: back at once, bytes that it gets at once, bytes of a row group, and the runs whose starts are broadcast.
+CHUNK, TAIL, ROWS, BATCH_BYTES, GROUP_BYTES, STARTS = 4 * BLOCK, 24, 16, 4 << 20, 16 << 20, 50_000
 
-    def run(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order, kind="stable")
-        x = np.stack([np.concatenate([np.zeros(0), *p[c]]) for c in ("l", "r")], axis=1)
-        return pd.DataFrame([[*names, integrated(x, rate), true_peak(x)]], columns=[*key, "lufs", "peak_db"])
 
-    return frames.groupBy(*key).applyInPandas(run, f"{fields}, lufs double, peak_db double")
+class _Run:
+    """What one task reads of one track, cut into chunks, as if the program began with it."""
+
+    def __init__(self, rate: int) -> None:
+        self.rate, self.held, self.size, self.at, self.state, self.before = rate, [np.zeros((0, 2))], 0, 0, np.zeros((4, 2)), np.zeros((0, 2))
+
+    def add(self, x: np.ndarray) -> Iterator[tuple]:
+        self.held.append(x)
+        self.size += len(x)
+        if self.size > CHUNK:
+            x = np.concatenate(self.held)
+            while len(x) > CHUNK:
+                yield *self.cut(x[:CHUNK]), None, None, None
+                x = x[CHUNK:]
+            self.held, self.size = [x], len(x)
+
+    def cut(self, x: np.ndarray) -> tuple:
+        out = self.at, self.state.tobytes(), self.before.tobytes(), x.tobytes()
+        whole = np.concatenate([self.before, x])
+        self.at, self.state, self.before = self.at + len(x), _gone_on(x, self.rate, self.state), whole[max(0, len(whole) - TAIL) :]
+        return out
+
+    def close(self) -> tuple:
+        return *self.cut(np.concatenate(self.held)), self.at, self.state.tobytes(), self.before.tobytes()
+
+
+def _samples(l, r) -> np.ndarray:
+    """A frame's channels as columns; a null is a frame without samples, what is null or infinite in it is no number."""
+    x = [np.zeros(0) if c.values is None else c.values.to_numpy(zero_copy_only=False) for c in (l, r)]
+    if len(x[0]) != len(x[1]):
+        raise ValueError(f"channels of {len(x[0])} and {len(x[1])} samples in one frame")
+    x = np.stack(x, axis=1)
+    return np.where(np.isfinite(x), x, np.nan)
+
+
+def _chunks(frames: DataFrame, names: list[str], order: list[str], rate: int) -> DataFrame:
+    """Frames in order as chunks of at most CHUNK samples, staged: the runs are numbered by `part` and `run`, a chunk begins at
+    `at` of its run with `state` and `before`; a run's last one has its `size` and the `end` and `tail` that it leaves."""
+    cols = [F.col(c).asc_nulls_last() for c in [*names, *order]]
+    partitions = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = "part int, run bigint, at bigint, state binary, before binary, x binary, size bigint, end binary, tail binary"
+    schema = T.StructType([*(T.StructField(c, frames.schema[c].dataType) for c in names), *T.StructType.fromDDL(own).fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, label, kinds, rows = TaskContext.get().partitionId(), -1, None, [], []
+
+        def given() -> pa.RecordBatch:
+            kept = [pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.int32(), *[pa.int64()] * 2, *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 2])]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(kept, names=schema.names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names]
+            for new, l, r in zip(zip(*(batch.column(c).to_pylist() for c in names)), batch.column("l"), batch.column("r")):
+                if number < 0 or new != label:
+                    if number >= 0:
+                        rows.append((*label, part, number, *run.close()))
+                    number, label, run = number + 1, new, _Run(rate)
+                for row in run.add(_samples(l, r)):
+                    rows.append((*label, part, number, *row))
+                    if len(rows) >= ROWS:
+                        yield given()
+                if len(rows) >= ROWS:
+                    yield given()
+        if number >= 0:
+            rows.append((*label, part, number, *run.close()))
+            yield given()
+
+    ordered = frames.select(*names, *order, "l", "r").repartitionByRange(partitions, *cols).sortWithinPartitions(*cols)
+    with arrow_batches(frames.sparkSession, BATCH_BYTES):
+        return staged(ordered.mapInArrow(work, schema), "programs", **{"parquet.block.size": GROUP_BYTES, "parquet.enable.dictionary": "false"})
+
+
+def _starts(runs: DataFrame, key: list[str], within: list[str], rate: int) -> DataFrame:
+    """By run: where it begins in its program, the filter's states there, the track's last samples before, and whether it ends the track."""
+
+    def scan(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["part", "run"], ignore_index=True)
+        now, was = p[within].iloc[1:].reset_index(drop=True), p[within].iloc[:-1].reset_index(drop=True)
+        same = ((now == was) | (now.isna() & was.isna())).all(axis=1).tolist()  # tracks that go on
+        one, state, at, tail, out = _system(rate)[2], np.zeros((4, 2)), 0, np.zeros((0, 2)), []
+        for goes_on, ends, part, run, size, end, left in zip([False, *same], [not s for s in [*same, False]], p["part"], p["run"], p["size"], p["end"], p["tail"]):
+            tail = tail if goes_on else tail[:0]
+            out.append((part, run, at, state.tobytes(), tail.tobytes(), ends))
+            at, state = at + size, np.linalg.matrix_power(one, int(size)) @ state + np.frombuffer(end).reshape(4, 2)
+            tail = np.concatenate([tail, np.frombuffer(left).reshape(-1, 2)])[-TAIL:]
+        return pd.DataFrame(out, columns=["part", "run", "run_at", "run_state", "run_before", "run_ends"])
+
+    return runs.groupBy(*key).applyInPandas(scan, "part int, run bigint, run_at bigint, run_state binary, run_before binary, run_ends boolean")
+
+
+def loudness(frames: DataFrame, key: list[str], order: list[str], rate: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(key..., lufs, peak_db) of frames (arrays l and r) in order: key a track, or an album for its whole program. `within` names
+    an album's tracks, which come before `order`: the program runs on from one to the next, the peak is the greatest of theirs.
+
+    Frames in order become chunks with the filter's states as if each run were a program; the runs' own starts follow from
+    sizes and states alone, and each chunk is then metered by itself. No task holds a program, only its energies by 100 ms."""
+    keys, parts, orders = ([f"{k}{i}" for i in range(len(c))] for k, c in (("k", key), ("w", within), ("o", order)))
+    named = [F.col(f"`{c}`").alias(n) for c, n in zip([*key, *within, *order], [*keys, *parts, *orders])]
+    samples = [F.col(c).cast("array<double>").alias(c) for c in ("l", "r")]
+    chunks = _chunks(frames.select(*named, *samples), [*keys, *parts], orders, rate)
+    runs = chunks.where("size is not null").select(*keys, *parts, "part", "run", "size", "end", "tail")
+    starts = _starts(runs, keys, parts, rate)
+    step = rate // 10
+    fields = [T.StructField(k, chunks.schema[k].dataType) for k in [*keys, *parts]]
+
+    def meter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _system(rate)[2]
+        for batch in batches:
+            at, size, energies, peaks = [], [], [], []
+            for own, state, before, x, whole, begin, first, ahead, ends in zip(*(batch.column(c).to_pylist() for c in ("at", "state", "before", "x", "size", "run_at", "run_state", "run_before", "run_ends"))):
+                x, state, first, before, ahead = (np.frombuffer(v).reshape(-1, 2) for v in (x, state, first, before, ahead))
+                y = _weighted(x, rate, np.linalg.matrix_power(one, own) @ first + state)
+                at.append(begin + own)
+                size.append(len(x))
+                energies.append(_energies(y, begin + own, step))
+                peaks.append(_top(x, np.concatenate([ahead, before])[-TAIL:], ends and whole is not None))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, *parts]), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(energies, pa.list_(pa.float64())), pa.array(peaks, pa.float64())], names=[*keys, *parts, "at", "size", "energies", "peak"])
+
+    def whole(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["at", "size"], kind="stable")
+        steps = np.concatenate([np.zeros(0, int), *(a // step + np.arange(len(e)) for a, e in zip(p["at"], p["energies"]))])
+        total = np.bincount(steps, np.concatenate([np.zeros(0), *p["energies"]]))
+        tracks = [g for _, g in p.groupby(parts, dropna=False)] if parts else [p]
+        return pd.DataFrame([[*names, _gated(total[: p["size"].sum() // step], step), max(_decibels(g["peak"].to_numpy().max()) for g in tracks)]], columns=[*keys, "lufs", "peak_db"])
+
+    met = chunks.drop("end", "tail").join(F.broadcast(starts) if runs.count() <= STARTS else starts, ["part", "run"])
+    with arrow_batches(frames.sparkSession, BATCH_BYTES):
+        met = staged(met.mapInArrow(meter, T.StructType([*fields, *T.StructType.fromDDL("at bigint, size bigint, energies array<double>, peak double").fields])), "meters")
+    out = met.groupBy(*keys).applyInPandas(whole, T.StructType([*fields[: len(keys)], *T.StructType.fromDDL("lufs double, peak_db double").fields]))
+    return out.toDF(*key, "lufs", "peak_db")
 
 
 def album_peak(tracks: DataFrame, album: str, peak: str = "peak_db") -> DataFrame:

@@ -196,10 +196,7 @@ def track_loudness(spark, sf_dir):
 
 @query("album_loudness")
 def album_loudness(spark, sf_dir):
-    p = _program(spark, sf_dir)
-    tracks = ops.loudness(p, ["album", "track"], ["id"], 8000)
-    whole = ops.loudness(p, ["album"], ["track", "id"], 8000).select("album", "lufs")
-    return whole.join(ops.album_peak(tracks, "album"), "album")
+    return ops.loudness(_program(spark, sf_dir), ["album"], ["id"], 8000, ("track",))
 
 
 @query("worst_spectrum", "select a.vec_id as id, round(list_sum([greatest(cast(a.embedding[i] as double), b.embedding[i]) for i in range(1, 65)]), 6) as total from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")

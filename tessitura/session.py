@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +47,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs within gives Python workers about so many bytes at once: for rows that are large each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, name: str, compression: str = "zstd", **options) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost
     executor costs a re-read of the table instead of a recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

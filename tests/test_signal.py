@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import codec, psychoacoustics, queues, signal
+from tessitura.plans import signal_queries
 
 
 def rows(spark, x):
@@ -67,6 +68,46 @@ def test_loudness_block_by_block(spark, seed):
     assert 20 * np.log10(np.abs(x).max()) <= got.peak_db < 20 * np.log10(np.abs(x).max()) + 3
 
 
+def test_program_in_chunks_is_the_program_at_once(spark):
+    r = np.random.default_rng(11)
+    d, want = [], {}
+    for album, tracks in (("a", (40_000, 10, 3_000, 0, 25_001)), ("b", (70_000,)), ("c", (500,)), (None, (9_000, 9_000))):
+        x = [r.standard_normal((n, 2)) * np.repeat(r.uniform(0.001, 0.3, n // 500 + 1), 500)[:n, None] for n in tracks]
+        want[album] = signal.integrated(np.concatenate(x), 8000), max(signal.true_peak(v) for v in x), x
+        for t, v in enumerate(x):
+            cuts = [0, *sorted(r.integers(0, len(v) + 1, 1 if len(v) == 70_000 else 30).tolist()), len(v)]
+            d += [(album, t, n, v[i:j, 0].tolist(), v[i:j, 1].tolist()) for n, (i, j) in enumerate(zip(cuts, cuts[1:]))] + [(album, t, 99, None, None)]
+    assert want["a"][0] == pytest.approx(_loudness(np.concatenate(want["a"][2]), 8000), abs=1e-9)
+    d = spark.createDataFrame(d, "album string, t int, n int, l array<double>, r array<double>").repartition(5)
+    got = {x.album: (x.lufs, x.peak_db) for x in signal.loudness(d, ["album"], ["n"], 8000, ("t",)).collect()}
+    assert got.keys() == want.keys()
+    for album, (lufs, peak, _) in want.items():
+        assert got[album] == pytest.approx((lufs, peak), abs=1e-9)
+
+
+def test_track_over_many_tasks_has_the_peak_between_them(spark):
+    x = np.sin(np.pi / 2 * np.arange(200) + np.pi / 4)[:, None] * np.array([1.0, 0.5])  # peaks lie between samples
+    x[97:103] *= 4
+    d = spark.createDataFrame([(1, i, x[i : i + 1, 0].tolist(), x[i : i + 1, 1].tolist()) for i in range(200)], "t int, n int, l array<double>, r array<double>")
+    got = signal.loudness(d, ["t"], ["n"], 8000).first()
+    assert got.peak_db == pytest.approx(signal.true_peak(x), abs=1e-9) and got.lufs == -70
+
+
+def test_what_is_no_number_ends_the_measurement(spark):
+    x = np.random.default_rng(12).standard_normal((9000, 2)) * 0.1
+    bad = x.copy()
+    bad[6000, 1] = np.inf
+    d = spark.createDataFrame([(k, i, v[i * 900 : i * 900 + 900, 0].tolist(), v[i * 900 : i * 900 + 900, 1].tolist()) for k, v in enumerate((x, bad)) for i in range(10)], "t int, n int, l array<double>, r array<double>")
+    got = {r.t: r for r in signal.loudness(d, ["t"], ["n"], 8000).collect()}
+    assert got[0].lufs == pytest.approx(signal.integrated(x, 8000)) and got[1].lufs == pytest.approx(signal.integrated(x[:5600], 8000)) and got[1].peak_db == -70
+
+
+def test_no_task_is_given_the_samples_of_a_program(spark):
+    d = signal_queries.album_loudness(spark, "/root/testdata/sf0.001")
+    groups = [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in x]
+    assert groups and not any(c in x for x in groups for c in (" l#", " r#", " x#"))
+
+
 def test_allocation_step_by_step(spark):
     r = np.random.default_rng(5)
     n, bands = 12, 6
