@@ -141,8 +141,9 @@ def _decibels(top: float) -> float:
 
 
 #: Samples of a track in one row between the passes, those before it that the oversampler still needs, rows that a worker gives
-#: back at once, bytes that it gets at once, bytes of a row group, and the runs whose starts are broadcast.
-CHUNK, TAIL, ROWS, BATCH_BYTES, GROUP_BYTES, STARTS = 4 * BLOCK, 24, 16, 4 << 20, 16 << 20, 50_000
+#: back at once, bytes that it gets at once, rows of a row group (a limit in bytes counts compressed ones, but a reader's batch is as large as
+#: the group is without), and the runs whose starts are broadcast.
+CHUNK, TAIL, ROWS, BATCH_BYTES, GROUP_ROWS, STARTS = 4 * BLOCK, 24, 16, 4 << 20, 64, 50_000
 
 
 class _Run:
@@ -215,7 +216,7 @@ def _chunks(frames: DataFrame, names: list[str], order: list[str], rate: int) ->
 
     ordered = frames.select(*names, *order, "l", "r").repartitionByRange(partitions, *cols).sortWithinPartitions(*cols)
     with arrow_batches(frames.sparkSession, BATCH_BYTES):
-        return staged(ordered.mapInArrow(work, schema), "programs", **{"parquet.block.size": GROUP_BYTES, "parquet.enable.dictionary": "false"})
+        return staged(ordered.mapInArrow(work, schema), "programs", **{"parquet.block.row.count.limit": GROUP_ROWS, "parquet.enable.dictionary": "false"})
 
 
 def _starts(runs: DataFrame, key: list[str], within: list[str], rate: int) -> DataFrame:

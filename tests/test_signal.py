@@ -1,6 +1,7 @@
 """Signal operators against slow versions that follow the definition step by step."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,13 @@ def test_no_task_is_given_the_samples_of_a_program(spark):
     assert groups and not any(c in x for x in groups for c in (" l#", " r#", " x#"))
 
 
+def test_chunks_are_read_in_small_groups(spark):
+    d = spark.range(1000).select("id", F.lit(0).alias("n"), F.array(F.lit(0.5)).alias("l"), F.array(F.lit(0.5)).alias("r"))
+    for f in signal._chunks(d, ["id"], ["n"], 8000).inputFiles():
+        p = pq.ParquetFile(f.removeprefix("file://"))
+        assert max((p.metadata.row_group(i).num_rows for i in range(p.num_row_groups)), default=0) <= signal.GROUP_ROWS
+
+
 def test_allocation_step_by_step(spark):
     r = np.random.default_rng(5)
     n, bands = 12, 6
