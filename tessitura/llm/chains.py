@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import words
-from tessitura.llm.common import ship, staged, table
+from tessitura.llm.common import give_back, ship, staged, table
 
 SAMPLE, FEATURES, FOLDS = 2_500, 1_024, 3
 #: The sample's features that the driver takes at most.
 SAMPLE_BYTES = 96 << 20
+#: It comes to the driver in parts of about so many bytes, however many partitions the shuffle has.
+PART_BYTES = 2 << 20
 #: A feature speaks for or against a category from this chi-squared statistic on (odds of chance below 1 in 10,000).
 STRONG = 15.1
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -210,15 +212,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column("place"), *(b.column(y) for y in ys)], ["features", "place", *ys])
 
     d = d.withColumn("place", F.xxhash64("id")).drop("id")
-    made = staged(d.mapInArrow(words.frugal(run), "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys)), "chain-sample")
-    made = made.distinct().withColumn("tie", F.xxhash64("features"))
+    made = d.mapInArrow(words.frugal(run), "features binary, place bigint, " + ", ".join(f"{y} int" for y in ys))
+    made = staged(made.distinct(), "chain-sample").withColumn("tie", F.xxhash64("features"))
     # an id may have many documents: the least places first, as many as fit
     sizes = made.select("place", "tie", (F.length("features") + 64).alias("size")).orderBy("place", "tie").limit(4 * len(categories) * sample).collect()
-    fits = int(np.searchsorted(np.cumsum([r.size for r in sizes]), SAMPLE_BYTES, "right"))
+    ends = np.cumsum([r.size for r in sizes])
+    fits = int(np.searchsorted(ends, SAMPLE_BYTES, "right"))
     if not fits:
         return []
     last = sizes[fits - 1]
-    rows = made.where((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("tie") <= last.tie)).drop("place", "tie").toArrow()
+    few = made.where((F.col("place") < last.place) | (F.col("place") == last.place) & (F.col("tie") <= last.tie)).drop("place", "tie")
+    rows = few.coalesce(1 + int(ends[fits - 1]) // PART_BYTES).toArrow()
     marks = list(zip(*(rows.column(y).to_pylist() for y in ys)))
     return [(np.frombuffer(c, np.uint32), v) for c, v in sorted(zip(rows.column("features").to_pylist(), marks))]
 
@@ -262,7 +266,9 @@ def score(docs: DataFrame, chain: list[Link], id_col: str | None = "doc_id", tex
 def chain_for(docs: DataFrame, labels: DataFrame) -> list[Link]:
     """Low quality first, then toxicity given the probability of low quality."""
     categories = {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")}
-    return fit(training_rows(docs, labels, categories), list(categories))
+    chain = fit(training_rows(docs, labels, categories), list(categories))
+    give_back(docs.sparkSession)
+    return chain
 
 
 def clean(docs: DataFrame, chain: list[Link]) -> DataFrame:

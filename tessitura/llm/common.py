@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.session import scratch_dir, staged
+from tessitura import session
+from tessitura.llm import words
+from tessitura.session import scratch_dir
 
-__all__ = ["scratch_dir", "staged", "table", "ship", "packed", "hot_keys", "spread_join", "let", "running", "spans_of", "NO_SPANS"]
+__all__ = ["scratch_dir", "staged", "give_back", "table", "ship", "packed", "hot_keys", "spread_join", "let", "running", "spans_of", "NO_SPANS"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,6 +24,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back(spark: SparkSession) -> str:
+    """What the driver's Python and the native side of its JVM have freed goes back to the system; the allocator keeps it
+    otherwise, most of it what the compilers of hundreds of plans had. Gives the JVM's report, empty if it can't do this."""
+    words.release()
+    context = spark.sparkContext
+    java = context._jvm.java.lang
+    try:
+        name = context._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = context._gateway.new_array(java.Object, 4)
+        args[0], args[1] = name, "systemTrimNativeHeap"
+        # the server's class isn't open to reflection, its interface is
+        invoke = next(m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # another kind of JVM, or one before 17.0.9
+        return ""
+
+
+def staged(df: DataFrame, name: str, compression: str = "zstd", **options) -> DataFrame:
+    """As the session's; an operator of many plans has its driver give back freed memory after each."""
+    out = session.staged(df, name, compression, **options)
+    give_back(df.sparkSession)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -213,14 +213,15 @@ _EDIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.in
 _ALTERNATIVE = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))]))
 
 
-def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, n_best: int = 3, id_col: str = "doc_id", text: str = "text", back: bool = False, chunk: int = 1_000_000) -> DataFrame:
     """(id, ids, score, alternatives): the best segmentation, and the next n_best - 1 as edits of it (at token `at`, n
-    tokens become ids). With `back` also `decoded`, what the ids give back, made in the same pass."""
+    tokens become ids). With `back` also `decoded`, what the ids give back, made in the same pass. A worker has about `chunk`
+    bytes of text in work at once."""
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.chunks(batches, "text", 4_000_000):
+        for b in words.chunks(batches, "text", chunk):
             ids, at, scores, others = segmented(b.column("text").to_pylist(), model, n_best)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
             out = [b.column("id"), lists, pa.array(scores, pa.float64()), pa.array(others, _ALTERNATIVE)]

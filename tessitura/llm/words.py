@@ -35,14 +35,19 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        release()
 
     return task
 
 
+def release() -> None:
+    """What this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def spread(per_word: list, index: np.ndarray, offsets: np.ndarray, dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """per_word: a sequence of numbers for each distinct word, or its bytes; index: the distinct word at each place;
     offsets: where each text begins among the places. The numbers of all texts in a row, and where each text begins among them."""
